@@ -47,7 +47,7 @@ def search(term: str | None, *cols: str | Column) -> Column | None:
     """
     if not term:
         return None
-    pattern = F.lit(f"%{term}%")
+    pattern = f"%{term}%"
     return reduce(lambda a, b: a | b,
                   [(F.col(c) if isinstance(c, str) else c).ilike(pattern) for c in cols])
 
