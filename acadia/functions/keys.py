@@ -7,6 +7,8 @@ of all rows costs one task no more than any other key after the exchange.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +40,22 @@ def flag_exists(df: DataFrame, other: DataFrame, left_key: str, right_key: str,
         .distinct().withColumn(name, F.lit(True))
     return (df.join(keys, df[left_key] == keys["_fk"], "left").drop("_fk")
             .withColumn(name, F.coalesce(F.col(name), F.lit(False))))
+
+
+def flag_first(df: DataFrame, keys: list[str], order: list[str], name: str = "is_first",
+               when: Column | None = None) -> DataFrame:
+    """Add boolean ``name``: the row is the first of its key under ascending ``order``.
+
+    Only rows where ``when`` holds take part (others get false).  The first position per
+    key is a grouped ``min(struct(order))`` - combined map-side, so a key holding a third
+    of the rows adds one partial row per task - and is joined back on the key.
+    ``order`` must identify a row within its key (end with a unique column).
+    """
+    cond = F.lit(True) if when is None else when
+    probe = df.where(cond).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_ff_min"))
+    probe = probe.select(*[F.col(k).alias(f"_fk_{k}") for k in keys], "_ff_min")
+    on = [df[k].eqNullSafe(probe[f"_fk_{k}"]) for k in keys]
+    joined = df.join(probe, reduce(lambda a, b: a & b, on), "left")
+    me = F.struct(*[F.col(o) for o in order])
+    return (joined.withColumn(name, F.coalesce(cond & (me == F.col("_ff_min")), F.lit(False)))
+            .drop("_ff_min", *[f"_fk_{k}" for k in keys]))

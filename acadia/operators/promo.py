@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import ts_lit
+from ..functions.keys import flag_first, latest_per_key
 from ..functions.money import money_sum
 
 
@@ -33,3 +34,62 @@ def promo_code_usage(promo_codes: DataFrame, orders: DataFrame, as_of) -> DataFr
                     F.coalesce(F.col("use_count"), F.lit(0).cast("long")).alias("use_count"),
                     F.coalesce(F.col("_rev"), F.lit(0).cast("decimal(18,2)")).alias("revenue"),
                     code_status(F.col("is_active"), F.col("expires_at"), as_of).alias("code_status")))
+
+
+def promo_resolution(requests: DataFrame, promo_codes: DataFrame, partners: DataFrame,
+                     users: DataFrame, as_of) -> DataFrame:
+    """Item 25. Resolve typed codes: (request_id, code) -> outcome and discount.
+
+    The code is trimmed and upper-cased; an empty one is ``missing``.  A discount code
+    matches on ``upper(code)`` (lowest id if several do): ``inactive``, then ``expired``
+    (``expires_at < as_of``), else ``discount`` with its percentage.  Otherwise a
+    partner promo code whose partner has a user gives ``partner`` with 0 %.  Else
+    ``not_found``.  Both lookups are left joins against per-code unique frames.
+    """
+    req = requests.withColumn("code", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
+    disc = (latest_per_key(promo_codes.withColumn("_k", F.upper(F.col("code"))), ["_k"],
+                           [F.col("id").asc()])
+            .select("_k", F.col("code").alias("discount_code"), "discount_percent",
+                    "is_active", "expires_at"))
+    part = (partners.join(users.select(F.col("id").alias("_uid")),
+                          partners["user_id"] == F.col("_uid"), "left_semi")
+            .select(F.col("promo_code").alias("_pk")).distinct())
+    j = (req.join(disc, req["code"] == disc["_k"], "left")
+         .join(part, req["code"] == part["_pk"], "left"))
+    outcome = (F.when(F.col("code") == "", F.lit("missing"))
+               .when(F.col("_k").isNotNull() & ~F.col("is_active"), F.lit("inactive"))
+               .when(F.col("_k").isNotNull() & F.col("expires_at").isNotNull()
+                     & (F.col("expires_at") < ts_lit(as_of)), F.lit("expired"))
+               .when(F.col("_k").isNotNull(), F.lit("discount"))
+               .when(F.col("_pk").isNotNull(), F.lit("partner"))
+               .otherwise(F.lit("not_found")))
+    return j.select("request_id", "code", outcome.alias("outcome"),
+                    F.when(outcome == "discount", F.col("discount_percent"))
+                    .when(outcome == "partner", F.lit(0)).alias("discount"))
+
+
+def promo_code_load(batch: DataFrame, promo_codes: DataFrame, as_of=None) -> DataFrame:
+    """Item 43. Admit new promo codes: (request_id, code, discount, expires_at, ts).
+
+    code = trim + upper, required; discount = integer part of the input, where missing,
+    unparsable or 0 becomes the default 10; it must lie in 1..100; a code that already
+    exists, or an earlier request in the batch (by ts, request_id) with the same code,
+    is a ``duplicate``.  Returns every request with its normalised values and ``reason``
+    (NULL when admitted).
+    """
+    from ..constants import PROMO_DEFAULT_DISCOUNT, PROMO_DISCOUNT_RANGE
+    lo, hi = PROMO_DISCOUNT_RANGE
+    parsed = F.regexp_extract(F.trim(F.col("discount").cast("string")), r"^([+-]?\d+)", 1)
+    disc = F.when(parsed == "", F.lit(None)).otherwise(parsed.cast("int"))
+    b = (batch.withColumn("code", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
+         .withColumn("discount", F.coalesce(F.nullif(disc, F.lit(0)), F.lit(PROMO_DEFAULT_DISCOUNT))))
+    valid_code = F.col("code") != ""
+    in_range = (F.col("discount") >= lo) & (F.col("discount") <= hi)
+    # First arrival per code among requests that pass the static checks.
+    b = flag_first(b, ["code"], ["ts", "request_id"], "_first", when=valid_code & in_range)
+    existing = promo_codes.select(F.col("code").alias("_ex")).distinct()
+    j = b.join(existing, b["code"] == existing["_ex"], "left")
+    reason = (F.when(~valid_code, F.lit("code_required"))
+              .when(~in_range, F.lit("discount_range"))
+              .when(F.col("_ex").isNotNull() | ~F.col("_first"), F.lit("duplicate")))
+    return j.select("request_id", "code", "discount", "expires_at", reason.alias("reason"))

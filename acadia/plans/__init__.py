@@ -1,6 +1,6 @@
 """Registered queries: ``QUERIES[name](spark, sf_dir)`` and ``ORACLE[name]`` (DuckDB SQL)."""
 
-from . import reports  # noqa: F401  (registers items 1-24)
+from . import jobs, reports  # noqa: F401  (register items 1-46)
 from .registry import AS_OF, ORACLE, QUERIES
 
 __all__ = ["AS_OF", "ORACLE", "QUERIES"]

@@ -59,6 +59,8 @@ def with_fixtures(sql: str) -> str:
     body = sql.strip().rstrip(";")
     if not ctes:
         return body
-    if re.match(r"(?i)^with\s", body):  # merge with the query's own CTE list
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
+    m = re.match(r"(?i)^with(\s+recursive)?\s", body)
+    if m:  # merge with the query's own CTE list
+        head = "WITH RECURSIVE " if m.group(1) else "WITH "
+        return head + ",\n".join(ctes) + ",\n" + body[m.end():].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -76,6 +76,7 @@ FROM {events}""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")
+_VIEW_NAME = re.compile(r"\bf_\w+\b")
 
 
 def sources_of(view: str) -> list[str]:
@@ -111,6 +112,17 @@ class Fixtures:
             raise AttributeError(item)
         return self.view(f"f_{item}")
 
+    def sql(self, text: str) -> DataFrame:
+        """Run SQL over the fixture views (referenced by their ``f_*`` names).
+
+        Used for batch inputs of the data jobs, written once and shared with the
+        oracle's WITH prefix so both engines see the same rows.
+        """
+        used = sorted(set(_VIEW_NAME.findall(text)) & set(FIXTURE_SQL))
+        templ = _VIEW_NAME.sub(lambda m: "{%s}" % m.group(0) if m.group(0) in FIXTURE_SQL
+                               else m.group(0), text.replace("{", "{{").replace("}", "}}"))
+        return self.spark.sql(templ, **{v: self.view(v) for v in used})
+
     @cached_property
     def names(self) -> list[str]:
         return [n[2:] for n in FIXTURE_SQL]
