@@ -60,7 +60,8 @@ def _row(check: str, table: str, column: str, n) -> DataFrame:
 def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
     """Item 44. One row per applicable check: (check, table_name, column_name, violations).
 
-    Checks whose table or column is absent are skipped.  UNIQUE counts rows beyond the
+    Checks whose table or column is absent are skipped.  Row-local checks of a table
+    run in one pass over it; UNIQUE and FK checks are one aggregate / anti join each.  UNIQUE counts rows beyond the
     first per duplicated key (NULL keys never conflict); FK counts non-NULL references
     without a parent (anti join); LENGTH counts values longer than the declared
     VARCHAR; ENUM counts non-NULL values outside the commented domain.  Every check
@@ -77,10 +78,26 @@ def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
             n = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
                  .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("violations")))
             parts.append(_row("unique", t, ",".join(cols), n))
+    # NOT NULL, LENGTH and ENUM checks of one table share a single scan: one aggregate
+    # of count_if columns per table, unpivoted to rows with stack().
+    per_table: dict[str, list[tuple[str, str, F.Column]]] = {}
     for t, c in NOT_NULL:
         if has(t, c):
-            parts.append(_row("not_null", t, c, tables[t].agg(
-                F.count_if(F.col(c).isNull()).alias("violations"))))
+            per_table.setdefault(t, []).append(("not_null", c, F.col(c).isNull()))
+    for t, c, n_max in MAX_LENGTH:
+        if has(t, c):
+            per_table.setdefault(t, []).append(("length", c, F.length(F.col(c)) > n_max))
+    for t, c, dom in ENUMS:
+        if has(t, c):
+            per_table.setdefault(t, []).append(
+                ("enum", c, F.col(c).isNotNull() & ~F.col(c).isin(*dom)))
+    for t, checks in per_table.items():
+        counts = tables[t].agg(*[F.count_if(cond).alias(f"_c{i}")
+                                 for i, (_, _, cond) in enumerate(checks)])
+        args = ", ".join(f"'{kind}', '{col}', _c{i}" for i, (kind, col, _) in enumerate(checks))
+        parts.append(counts.selectExpr(
+            f"stack({len(checks)}, {args}) AS (check, column_name, violations)")
+            .select("check", F.lit(t).alias("table_name"), "column_name", "violations"))
     for t, c, pt, pc in FOREIGN_KEYS:
         if has(t, c) and has(pt, pc):
             child = tables[t].where(F.col(c).isNotNull()).select(F.col(c).alias("_fk"))
@@ -88,14 +105,6 @@ def integrity_report(tables: dict[str, DataFrame]) -> DataFrame:
             n = child.join(parent, child["_fk"] == parent["_pk"], "left_anti") \
                 .agg(F.count(F.lit(1)).alias("violations"))
             parts.append(_row("foreign_key", t, f"{c}->{pt}.{pc}", n))
-    for t, c, n_max in MAX_LENGTH:
-        if has(t, c):
-            parts.append(_row("length", t, c, tables[t].agg(
-                F.count_if(F.length(F.col(c)) > n_max).alias("violations"))))
-    for t, c, dom in ENUMS:
-        if has(t, c):
-            parts.append(_row("enum", t, c, tables[t].agg(
-                F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*dom)).alias("violations"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

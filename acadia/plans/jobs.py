@@ -703,7 +703,56 @@ def _domain_tables(fx):
             "promo_codes": fx.promo_codes, "materials": fx.materials}
 
 
-query("integrity_report")(lambda fx: integrity.integrity_report(_domain_tables(fx)))
+# Columns of each fixture view (FIXTURES.md); checks on absent columns are skipped.
+_FIXTURE_COLUMNS = {
+    "users": "id email name role email_verified created_at",
+    "otp_codes": "id email code purpose created_at expires_at used",
+    "refresh_tokens": "id user_id token_hash created_at expires_at",
+    "lessons": "id title sort_order is_free",
+    "lesson_topics": "id lesson_id text sort_order",
+    "lesson_videos": "id lesson_id title video_url is_main sort_order",
+    "course_progress": "user_id lesson_id viewed completed viewed_at completed_at",
+    "partner_applications": "id user_id name email telegram slug status created_at",
+    "partners": "id user_id slug promo_code balance total_earned",
+    "referrals": "id partner_id referred_user_id created_at",
+    "orders": "id user_id product amount referral_partner_id promo_code status created_at paid_at",
+    "partner_payouts": "l_orderkey l_linenumber partner_id amount method status created_at",
+    "promo_codes": "id code discount_percent expires_at is_active",
+    "materials": "id category title sort_order",
+}
+
+
+def _integrity_sql() -> str:
+    has = lambda t, *cs: all(c in _FIXTURE_COLUMNS[t].split() for c in cs)
+    rows = []
+    for t, cols in integrity.UNIQUE_KEYS:
+        if has(t, *cols):
+            k = ", ".join(cols)
+            nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            rows.append(f"SELECT 'unique', '{t}', '{','.join(cols)}', CAST(coalesce(sum(n - 1), 0) AS BIGINT) "
+                        f"FROM (SELECT count(*) AS n FROM f_{t} WHERE {nn} GROUP BY {k} HAVING count(*) > 1)")
+    for t, c in integrity.NOT_NULL:
+        if has(t, c):
+            rows.append(f"SELECT 'not_null', '{t}', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM f_{t}")
+    for t, c, pt, pc in integrity.FOREIGN_KEYS:
+        if has(t, c) and has(pt, pc):
+            rows.append(f"SELECT 'foreign_key', '{t}', '{c}->{pt}.{pc}', count(*) FROM f_{t} "
+                        f"WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {pc} FROM f_{pt} WHERE {pc} IS NOT NULL)")
+    for t, c, n in integrity.MAX_LENGTH:
+        if has(t, c):
+            rows.append(f"SELECT 'length', '{t}', '{c}', count(*) FILTER (WHERE length({c}) > {n}) FROM f_{t}")
+    for t, c, dom in integrity.ENUMS:
+        if has(t, c):
+            d = ", ".join(f"'{v}'" for v in dom)
+            rows.append(f"SELECT 'enum', '{t}', '{c}', count(*) FILTER (WHERE {c} IS NOT NULL "
+                        f"AND {c} NOT IN ({d})) FROM f_{t}")
+    body = "\nUNION ALL ".join(rows)
+    return f"SELECT col0 AS \"check\", col1 AS table_name, col2 AS column_name, col3 AS violations " \
+           f"FROM (SELECT * FROM ({body}) x(col0, col1, col2, col3))"
+
+
+query("integrity_report", sql=_integrity_sql())(
+    lambda fx: integrity.integrity_report(_domain_tables(fx)))
 
 # ----------------------------------------------------------- item 46: delete by key
 

@@ -24,9 +24,8 @@ def test_query_matches_oracle(spark, con, name):
         assert res["spark_rows"] == res["duck_rows"]
 
 
-def test_every_query_has_an_oracle_or_is_listed():
-    # Only the integrity report is checked by rows + its own pytest.
-    assert set(QUERIES) - set(ORACLE) <= {"integrity_report"}
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_smoke(spark):
