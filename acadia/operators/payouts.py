@@ -75,31 +75,34 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     """
     spark = requests.sparkSession
     checkpoint_dir(spark)
-    checked = payout_checks(requests, partners, rates, min_amount) \
-        .withColumn("_rid", F.monotonically_increasing_id())
-    # Freeze the ids: everything below joins back on them.
-    checked = checked.checkpoint(eager=True)
+    checked = payout_checks(requests, partners, rates, min_amount)
+    is_cand = F.col("static_reason").isNull() & (F.col("amount") <= F.col("start_balance"))
+    # Requests that fail a static check, or exceed even the starting balance, are decided
+    # without any ordering; only candidates get a (frozen) id and take part in rounds.
+    decided = checked.where(~F.coalesce(is_cand, F.lit(False))).select(
+        *requests.columns,
+        F.coalesce(F.col("static_reason"), F.lit("insufficient_balance")).alias("reason"),
+        "commission_rate", "commission_amount", "amount_to_receive",
+        F.lit(None).cast("decimal(12,2)").alias("balance_after"))
+    cands = checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id()) \
+        .checkpoint(eager=True)
     okey = [*order, "_rid"]
 
-    cand = (checked.where(F.col("static_reason").isNull()
-                          & (F.col("amount") <= F.col("start_balance")))
-            .select("_rid", "partner_id", "amount", *order,
-                    F.col("start_balance").alias("_bal")))
+    cand = cands.select("_rid", "partner_id", "amount", *order, F.col("start_balance").alias("_bal"))
     admitted_parts: list[DataFrame] = []
     rounds = 0
     while True:
-        cand = cand.where(F.col("amount") <= F.col("_bal")).checkpoint(eager=True)
+        cand = cand.where(F.col("amount") <= F.col("_bal"))
         if cand.isEmpty():
             break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"payout admission did not settle in {max_rounds} rounds")
+        # running_total checkpoints its range-partitioned layout: lineage is cut here.
         run = running_total(cand, ["partner_id"], okey, "amount", "_run")
         run = run.withColumn("_fits", F.col("_run") <= F.col("_bal"))
-        admitted_parts.append(
-            run.where("_fits").select("_rid", (F.col("_bal") - F.col("_run"))
-                                      .cast("decimal(12,2)").alias("balance_after"))
-            .checkpoint(eager=True))
+        admitted_parts.append(run.where("_fits").select(
+            "_rid", (F.col("_bal") - F.col("_run")).cast("decimal(12,2)").alias("balance_after")))
         cut = run.groupBy("partner_id").agg(
             F.coalesce(F.max(F.when(F.col("_fits"), F.col("_run"))), F.lit(0)).alias("_used"),
             F.min(F.when(~F.col("_fits"), F.struct(*okey))).alias("_stop"))
@@ -114,12 +117,11 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
             admitted = admitted.unionByName(part)
     else:
         admitted = spark.createDataFrame([], "_rid long, balance_after decimal(12,2)")
-    out = checked.join(admitted, "_rid", "left")
-    reason = F.coalesce(F.col("static_reason"),
-                        F.when(F.col("balance_after").isNull(), F.lit("insufficient_balance")))
-    cols = [c for c in requests.columns]
-    return out.select(*cols, reason.alias("reason"), "commission_rate", "commission_amount",
-                      "amount_to_receive", "balance_after")
+    judged = cands.join(admitted, "_rid", "left").select(
+        *requests.columns,
+        F.when(F.col("balance_after").isNull(), F.lit("insufficient_balance")).alias("reason"),
+        "commission_rate", "commission_amount", "amount_to_receive", "balance_after")
+    return decided.unionByName(judged)
 
 
 def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFrame, as_of,
