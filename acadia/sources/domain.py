@@ -73,9 +73,10 @@ DOMAIN_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def read_domain(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """``{base}/{name}`` read as parquet with the declared schema."""
-    return spark.read.schema(DOMAIN_SCHEMAS[name]).parquet(f"{base.rstrip('/')}/{name}")
+def read_domain(spark: SparkSession, base: str, name: str, version: str | None = None) -> DataFrame:
+    """``{base}/{name}`` (or its ``v={version}`` folder) read with the declared schema."""
+    path = f"{base.rstrip('/')}/{name}" + (f"/v={version}" if version else "")
+    return spark.read.schema(DOMAIN_SCHEMAS[name]).parquet(path)
 
 
 def read_domain_tables(spark: SparkSession, base: str, names=None) -> dict[str, DataFrame]:
