@@ -20,7 +20,8 @@ def _on(left: DataFrame, right: DataFrame, pairs) -> Column:
 
 def append_ordered(batch: DataFrame, existing: DataFrame, text_col: str,
                    parent: str | None = None, allowed_parents: tuple | None = None,
-                   order: tuple[str, str] = ("ts", "request_id")) -> DataFrame:
+                   order: tuple[str, str] = ("ts", "request_id"),
+                   optional: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
     """Item 39. Number new rows after the current maximum ``sort_order`` of their parent.
 
     ``batch``: request_id, ts, [parent], text column (+ extra columns kept as is).  The
@@ -30,9 +31,14 @@ def append_ordered(batch: DataFrame, existing: DataFrame, text_col: str,
     batch order within the parent (for lessons, ``parent=None``: the whole table).
     The numbering is skew-safe (range-partitioned, see ``functions.sequence``) and runs
     over the batch only, never over the table.  Returns every request with
-    ``sort_order`` (NULL when rejected) and ``reason``.
+    ``sort_order`` (NULL when rejected) and ``reason``.  ``optional`` text columns are
+    trimmed with blank -> NULL; ``flags`` are coerced to boolean (missing -> false).
     """
     b = batch.withColumn(text_col, F.trim(F.col(text_col)))
+    for c in optional:
+        b = b.withColumn(c, F.nullif(F.trim(F.col(c)), F.lit("")))
+    for c in flags:
+        b = b.withColumn(c, F.coalesce(F.col(c).cast("boolean"), F.lit(False)))
     reason = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit("text_required"))
     if allowed_parents is not None:
         reason = reason.when(~F.coalesce(F.col(parent).isin(*allowed_parents), F.lit(False)),

@@ -779,3 +779,120 @@ g AS (SELECT id FROM r WHERE id IN (SELECT id FROM f_lessons)
         AND id NOT IN (SELECT lesson_id FROM f_course_progress WHERE lesson_id IS NOT NULL))
 SELECT * FROM f_lesson_topics WHERE lesson_id IS NULL OR lesson_id NOT IN (SELECT id FROM g)
 """)(lambda fx: _lesson_delete(fx)[1]["lesson_topics"])
+
+
+# ------------------------------------------------- more variants of items 39, 40, 42, 46
+
+B_VIDEOS_NEW = """
+SELECT id AS request_id, lesson_id, CASE WHEN id % 9 = 0 THEN ' ' ELSE text END AS title,
+       CASE WHEN id % 2 = 0 THEN '  ' ELSE concat(' https://video.example.test/n', CAST(id AS STRING), ' ') END
+         AS video_url,
+       id % 5 = 0 AS is_main,
+       CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' SECOND * CAST(id % 600 AS INT) AS ts
+FROM f_lesson_topics"""
+
+query("append_videos", sql=f"""
+WITH req AS ({B_VIDEOS_NEW}),
+b AS (SELECT request_id, lesson_id, trim(title) AS title, nullif(trim(video_url), '') AS video_url,
+             coalesce(is_main, FALSE) AS is_main, ts,
+             CASE WHEN coalesce(trim(title), '') = '' THEN 'text_required' END AS reason FROM req),
+ok AS (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY ts, request_id) AS n
+       FROM b WHERE reason IS NULL),
+num AS (SELECT ok.request_id, CAST(coalesce(t.m, 0) + ok.n AS INT) AS sort_order FROM ok
+        LEFT JOIN (SELECT lesson_id AS par, max(sort_order) AS m FROM f_lesson_videos GROUP BY lesson_id) t
+          ON t.par = ok.lesson_id)
+SELECT b.*, num.sort_order FROM b LEFT JOIN num ON num.request_id = b.request_id
+""")(lambda fx: content.append_ordered(fx.sql(B_VIDEOS_NEW), fx.lesson_videos, "title", "lesson_id",
+                                       optional=("video_url",), flags=("is_main",)))
+
+B_VIDEO_PATCHES = """
+SELECT id AS patch_id, id, concat(' ', title) AS title, id % 3 = 0 AS set_title,
+       CASE WHEN id % 2 = 0 THEN '   ' ELSE concat('https://cdn.example.test/', CAST(id AS STRING)) END
+         AS video_url, id % 4 = 1 AS set_video_url,
+       id % 7 = 0 AS is_main, id % 5 = 0 AS set_is_main,
+       CAST(DATE '2001-07-01' AS TIMESTAMP) AS ts
+FROM f_lesson_videos"""
+
+
+def _video_patch(fx):
+    return content.sparse_patch(fx.sql(B_VIDEO_PATCHES), fx.lesson_videos, "id",
+                                {"title": "required", "video_url": "optional", "is_main": "bool"})
+
+
+query("sparse_patch_videos", sql=f"""
+WITH p0 AS ({B_VIDEO_PATCHES}),
+p AS (SELECT patch_id, id, trim(title) AS title, set_title, nullif(trim(video_url), '') AS video_url,
+             set_video_url, is_main, set_is_main, ts,
+        CASE WHEN NOT (coalesce(set_title, FALSE) OR coalesce(set_video_url, FALSE)
+                       OR coalesce(set_is_main, FALSE)) THEN 'empty'
+             WHEN id NOT IN (SELECT id FROM f_lesson_videos) THEN 'not_found'
+             WHEN coalesce(set_title, FALSE) AND coalesce(trim(title), '') = '' THEN 'blank' END AS reason
+      FROM p0),
+ok AS (SELECT * FROM p WHERE reason IS NULL)
+SELECT v.id, v.lesson_id,
+       CASE WHEN ok.set_title THEN ok.title ELSE v.title END AS title,
+       CASE WHEN ok.set_video_url THEN ok.video_url ELSE v.video_url END AS video_url,
+       CASE WHEN ok.set_is_main THEN ok.is_main ELSE v.is_main END AS is_main, v.sort_order
+FROM f_lesson_videos v LEFT JOIN ok ON ok.id = v.id
+""")(lambda fx: _video_patch(fx)[0])
+
+B_NAME_PATCHES = """
+SELECT id AS patch_id, id,
+       CASE id % 4 WHEN 0 THEN concat('  New name ', CAST(id AS STRING), ' ')
+                   WHEN 1 THEN '    '
+                   WHEN 2 THEN concat('A very long display name number ', CAST(id AS STRING))
+                   ELSE concat('N', CAST(id AS STRING)) END AS name,
+       id % 3 <> 2 AS set_name, created_at AS ts
+FROM f_users"""
+
+
+def _name_patch(fx):
+    return content.sparse_patch(fx.sql(B_NAME_PATCHES), fx.users, "id", {"name": "required"},
+                                max_len={"name": 30})
+
+
+query("sparse_patch_user_names", sql=f"""
+WITH p0 AS ({B_NAME_PATCHES}),
+p AS (SELECT patch_id, id, trim(name) AS name, set_name, ts,
+        CASE WHEN NOT coalesce(set_name, FALSE) THEN 'empty'
+             WHEN id NOT IN (SELECT id FROM f_users) THEN 'not_found'
+             WHEN coalesce(trim(name), '') = '' THEN 'blank'
+             WHEN length(trim(name)) > 30 THEN 'too_long' END AS reason FROM p0)
+SELECT patch_id, id, reason FROM p WHERE reason IS NOT NULL
+""")(lambda fx: _name_patch(fx)[1])
+
+B_PROMO_TOGGLES = """
+SELECT id AS update_id, id, id % 2 = 0 AS is_active, CAST(DATE '2001-07-01' AS TIMESTAMP) AS ts
+FROM f_promo_codes WHERE id % 3 <> 1"""
+
+query("promo_toggle", sql=f"""
+WITH u AS ({B_PROMO_TOGGLES})
+SELECT p.id, p.code, p.discount_percent, p.expires_at, coalesce(u.is_active, p.is_active) AS is_active
+FROM f_promo_codes p LEFT JOIN u ON u.id = p.id
+""")(lambda fx: content.status_transition(fx.sql(B_PROMO_TOGGLES), fx.promo_codes, "id",
+                                          "is_active", (True, False), AS_OF)[0])
+
+B_VERIFICATIONS = """
+SELECT id AS update_id, email, TRUE AS email_verified, created_at AS ts FROM f_users WHERE id % 2 = 0
+UNION ALL
+SELECT id + 100000000 AS update_id, email, TRUE, created_at FROM f_otp_codes WHERE id % 50 = 0"""
+
+query("email_verification", sql=f"""
+WITH u AS (SELECT DISTINCT email FROM ({B_VERIFICATIONS}) WHERE email IN (SELECT email FROM f_users))
+SELECT x.id, x.email, x.name, x.role, x.email_verified OR u.email IS NOT NULL AS email_verified,
+       x.created_at, CASE WHEN u.email IS NOT NULL THEN {AS_OF_SQL} END AS updated_at
+FROM f_users x LEFT JOIN u ON u.email = x.email
+""")(lambda fx: content.status_transition(fx.sql(B_VERIFICATIONS), fx.users, "email",
+                                          "email_verified", (True,), AS_OF,
+                                          {"updated_at": ts_lit(AS_OF)})[0])
+
+B_PROMO_DELETES = "SELECT id FROM f_promo_codes WHERE id % 4 = 1 UNION ALL SELECT id + 1000 FROM f_promo_codes WHERE id = 1"
+B_MATERIAL_DELETES = "SELECT id FROM f_materials WHERE id % 10 = 2"
+
+query("promo_code_delete", sql=f"""
+SELECT * FROM f_promo_codes WHERE id NOT IN (SELECT id FROM ({B_PROMO_DELETES}))
+""")(lambda fx: content.delete_by_key(fx.sql(B_PROMO_DELETES), fx.promo_codes, "id")[0])
+
+query("material_delete", sql=f"""
+SELECT * FROM f_materials WHERE id NOT IN (SELECT id FROM ({B_MATERIAL_DELETES}))
+""")(lambda fx: content.delete_by_key(fx.sql(B_MATERIAL_DELETES), fx.materials, "id")[0])
