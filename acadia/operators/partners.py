@@ -98,7 +98,8 @@ def partner_stats(partners: DataFrame, referrals: DataFrame, orders: DataFrame,
 
     Three grouped aggregates (referrals by partner, paid orders by partner, orders by
     promo code) replace the original's six counting queries; each is combined map-side
-    before its shuffle.  "Last 30 days" is ``>= as_of - 30 days`` here.
+    before its shuffle and only the per-key results are joined to the partners.
+    "Last 30 days" is ``>= as_of - 30 days`` here.
     """
     ref = referrals.groupBy(F.col("partner_id").alias("_r")).agg(
         F.count(F.lit(1)).alias("referrals_total"),
@@ -107,8 +108,7 @@ def partner_stats(partners: DataFrame, referrals: DataFrame, orders: DataFrame,
             .groupBy(F.col("referral_partner_id").alias("_o"))
             .agg(F.count(F.lit(1)).alias("purchases_total"),
                  F.count_if(since("paid_at", as_of, 30)).alias("purchases_30d")))
-    codes = partners.select(F.col("promo_code").alias("_code"))
-    promo = (orders.join(codes, orders["promo_code"] == codes["_code"], "left_semi")
+    promo = (orders.where(F.col("promo_code").isNotNull())
              .groupBy(F.col("promo_code").alias("_c"))
              .agg(F.count(F.lit(1)).alias("promo_total"),
                   F.count_if(since("created_at", as_of, 30)).alias("promo_30d")))
@@ -133,10 +133,12 @@ def partner_revenue_series(orders: DataFrame, partners: DataFrame, period: str |
     unit, back = REVENUE_PERIODS.get(period or "month", REVENUE_PERIOD_OTHER)
     cond = (F.col("status") == "paid") & F.col("referral_partner_id").isNotNull()
     cond = cond & (since("paid_at", as_of, back) if back else F.col("paid_at").isNotNull())
+    # Aggregate first (partial per task), then keep buckets of existing partners.
+    series = (orders.where(cond)
+              .groupBy(F.col("referral_partner_id").alias("partner_id"),
+                       F.date_trunc(unit, F.col("paid_at")).alias("period"))
+              .agg(F.coalesce(money_sum(F.col("amount")), F.lit(0).cast("decimal(18,2)"))
+                   .alias("revenue"),
+                   F.count(F.lit(1)).cast("int").alias("sales")))
     known = partners.select(F.col("id").alias("_pid"))
-    o = orders.where(cond).join(known, F.col("referral_partner_id") == known["_pid"], "left_semi")
-    return (o.groupBy(F.col("referral_partner_id").alias("partner_id"),
-                      F.date_trunc(unit, F.col("paid_at")).alias("period"))
-            .agg(F.coalesce(money_sum(F.col("amount")), F.lit(0).cast("decimal(18,2)"))
-                 .alias("revenue"),
-                 F.count(F.lit(1)).cast("int").alias("sales")))
+    return series.join(known, series["partner_id"] == known["_pid"], "left_semi")
