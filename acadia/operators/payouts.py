@@ -100,7 +100,9 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
             raise RuntimeError(f"payout admission did not settle in {max_rounds} rounds")
         # running_total checkpoints its range-partitioned layout: lineage is cut here.
         run = running_total(cand, ["partner_id"], okey, "amount", "_run")
-        run = run.withColumn("_fits", F.col("_run") <= F.col("_bal"))
+        # Materialise the round once: admitted rows, the cut per partner and the next
+        # round's candidates are all read from it (and lineage stops here).
+        run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)
         admitted_parts.append(run.where("_fits").select(
             "_rid", (F.col("_bal") - F.col("_run")).cast("decimal(12,2)").alias("balance_after")))
         cut = run.groupBy("partner_id").agg(
