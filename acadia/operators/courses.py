@@ -48,18 +48,6 @@ def lesson_outline(lessons: DataFrame, topics: DataFrame, videos: DataFrame,
     return items.join(keep, items["lesson_id"] == keep["_lid"], "left_semi")
 
 
-def nest_outline(outline: DataFrame) -> DataFrame:
-    """Nested form of ``lesson_outline``: one row per lesson with sorted topics/videos.
-
-    Collects each lesson's items into two arrays; use only where items per lesson are
-    few (a course page), never on an unbounded catalogue.
-    """
-    item = F.struct("sort_order", "item_id", "text", "video_url", "is_main")
-    return outline.groupBy("lesson_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "topic", item))).alias("topics"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "video", item))).alias("videos"))
-
-
 def material_listing(materials: DataFrame, category=None, public: bool = False) -> DataFrame:
     """Item 13. Materials by category then sort_order.
 
