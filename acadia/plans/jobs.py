@@ -87,31 +87,28 @@ SELECT id AS request_id,
 FROM f_lesson_topics"""
 
 B_LESSONS_NEW = """
-SELECT id AS request_id, concat(title, ' (part 2)') AS title,
-       CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(25 - id AS INT) AS ts
-FROM f_lessons"""
+SELECT id AS request_id, CASE WHEN id % 13 = 0 THEN '  ' ELSE concat(' ', title) END AS title,
+       CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' MINUTE * CAST(id % 1000 AS INT) AS ts
+FROM f_materials"""
 
 B_LESSON_PATCHES = """
-SELECT id AS patch_id, CASE WHEN id % 10 = 9 THEN id + 1000 ELSE id END AS id,
-       CASE WHEN id % 8 = 6 THEN '   ' ELSE concat('  ', lower(title), ' ') END AS title,
-       id % 2 = 0 AS set_title,
-       CAST(100 - sort_order AS INT) AS sort_order, id % 3 = 0 AS set_sort_order,
-       CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(id AS INT) AS ts
-FROM f_lessons
+SELECT user_id * 1000 + lesson_id AS patch_id, lesson_id AS id,
+       CASE WHEN user_id % 8 = 6 THEN '   ' ELSE concat(' Lesson ', CAST(lesson_id AS STRING), ' by ',
+            CAST(user_id AS STRING), ' ') END AS title,
+       user_id % 2 = 0 AS set_title,
+       CAST(100 + user_id % 50 AS INT) AS sort_order, user_id % 3 = 0 AS set_sort_order,
+       coalesce(viewed_at, CAST(DATE '2001-07-01' AS TIMESTAMP)) AS ts
+FROM f_course_progress
 UNION ALL
-SELECT id + 500 AS patch_id, id, concat('Second ', title) AS title, id % 4 = 0 AS set_title,
-       CAST(sort_order AS INT) AS sort_order, FALSE AS set_sort_order,
-       CAST(DATE '2001-07-02' AS TIMESTAMP) AS ts
-FROM f_lessons"""
+SELECT -id AS patch_id, id + 1000 AS id, 'Ghost' AS title, TRUE AS set_title,
+       CAST(1 AS INT) AS sort_order, FALSE AS set_sort_order, CAST(DATE '2001-07-02' AS TIMESTAMP) AS ts
+FROM f_materials WHERE id % 50 = 2"""
 
 B_LESSON_SEEDS = """
-SELECT id + 20 AS id, concat(title, ' II') AS title, sort_order + 20 AS sort_order, is_free,
-       id AS request_id, CAST(DATE '2001-07-01' AS TIMESTAMP) AS ts
-FROM f_lessons
-UNION ALL
-SELECT id + 30 AS id, concat(title, ' III') AS title, sort_order + 30 AS sort_order, is_free,
-       id + 100 AS request_id, CAST(DATE '2001-07-02' AS TIMESTAMP) AS ts
-FROM f_lessons"""
+SELECT CAST(id % 60 AS INT) AS id, concat('Seed ', title) AS title, CAST(id % 60 + 1 AS INT) AS sort_order,
+       id % 6 = 0 AS is_free, id AS request_id,
+       CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' MINUTE * CAST(id % 977 AS INT) AS ts
+FROM f_materials"""
 
 B_ROLE_UPDATES = """
 SELECT id AS update_id, id,
@@ -862,11 +859,14 @@ SELECT patch_id, id, reason FROM p WHERE reason IS NOT NULL
 """)(lambda fx: _name_patch(fx)[1])
 
 B_PROMO_TOGGLES = """
-SELECT id AS update_id, id, id % 2 = 0 AS is_active, CAST(DATE '2001-07-01' AS TIMESTAMP) AS ts
-FROM f_promo_codes WHERE id % 3 <> 1"""
+SELECT id AS update_id, CAST(substring(promo_code, 6) AS INT) AS id, id % 2 = 0 AS is_active,
+       created_at AS ts
+FROM f_orders WHERE promo_code LIKE 'BRAND%'"""
 
 query("promo_toggle", sql=f"""
-WITH u AS ({B_PROMO_TOGGLES})
+WITH u0 AS ({B_PROMO_TOGGLES}),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, update_id DESC) rn
+      FROM u0 WHERE is_active IN (TRUE, FALSE) AND id IN (SELECT id FROM f_promo_codes)) WHERE rn = 1)
 SELECT p.id, p.code, p.discount_percent, p.expires_at, coalesce(u.is_active, p.is_active) AS is_active
 FROM f_promo_codes p LEFT JOIN u ON u.id = p.id
 """)(lambda fx: content.status_transition(fx.sql(B_PROMO_TOGGLES), fx.promo_codes, "id",
@@ -886,7 +886,9 @@ FROM f_users x LEFT JOIN u ON u.email = x.email
                                           "email_verified", (True,), AS_OF,
                                           {"updated_at": ts_lit(AS_OF)})[0])
 
-B_PROMO_DELETES = "SELECT id FROM f_promo_codes WHERE id % 4 = 1 UNION ALL SELECT id + 1000 FROM f_promo_codes WHERE id = 1"
+B_PROMO_DELETES = """
+SELECT CAST(substring(promo_code, 6) AS INT) + CASE WHEN id % 11 = 0 THEN 1000 ELSE 0 END AS id
+FROM f_orders WHERE promo_code LIKE 'BRAND%' AND id % 4 = 1"""
 B_MATERIAL_DELETES = "SELECT id FROM f_materials WHERE id % 10 = 2"
 
 query("promo_code_delete", sql=f"""
