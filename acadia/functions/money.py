@@ -27,8 +27,9 @@ def js_round(col: Column) -> Column:
 def percent_of(part: Column, whole: Column) -> Column:
     """Whole-number percentage, ``Math.round(part / whole * 100)``; 0 when whole is 0.
 
-    Computed as floor((200*part + whole) / (2*whole)) in integer arithmetic, which is
-    exactly floor(part*100/whole + 1/2) with no binary rounding.
+    Computed as floor((200*part + whole) / (2*whole)) = floor(part*100/whole + 1/2) from
+    integer operands; the one division is exact enough that the floor is never off
+    (distance to the next integer >= 1/(2*whole), far above double precision).
     """
     p, w = part.cast("long"), whole.cast("long")
     return F.when(w > 0, F.floor((p * 200 + w) / (w * 2)).cast("int")).otherwise(F.lit(0))

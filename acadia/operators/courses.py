@@ -32,10 +32,11 @@ def lesson_outline(lessons: DataFrame, topics: DataFrame, videos: DataFrame,
     """Item 12 (detail) / 22: the topics and videos of each lesson as ordered rows.
 
     One row per item: ``lesson_id, kind ('topic'|'video'), item_id, sort_order, text``
-    (topic text or video title) and the video fields; order within a lesson is
-    ``(kind, sort_order, item_id)``.  Items of unknown lessons are dropped.  This is the
-    relational form of the nested ``topics[]``/``videos[]`` lists: nothing is collected
-    per lesson, so a lesson with many items spreads over tasks like any other rows.
+    (topic text or video title) and the video fields; ``(kind, sort_order, item_id)``
+    gives the display order within a lesson (the frame itself is not sorted).  Items of
+    unknown lessons are dropped.  This is the relational form of the nested
+    ``topics[]``/``videos[]`` lists: nothing is collected per lesson, so a lesson with
+    many items spreads over tasks like any other rows.
     """
     keep = where(lessons, eq_if("id", lesson_id)).select(F.col("id").alias("_lid"))
     t = topics.select("lesson_id", F.lit("topic").alias("kind"), F.col("id").alias("item_id"),
