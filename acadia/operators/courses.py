@@ -80,10 +80,10 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
     and completed come from the user's progress row (false when absent).
 
     The result is users x lessons by definition.  The lesson side is first reduced to
-    one row per lesson (with topic/video counts); no hint is given, so the planner
-    broadcasts it only when its measured size (AQE runtime statistics) is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a shuffled cartesian
-    product.  Progress is joined on the (user, lesson) key.
+    one row per lesson (with topic/video counts); no hint is given, so the lesson side
+    is broadcast only when its size estimate (re-checked by AQE on runtime statistics)
+    is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise Spark plans a shuffled
+    cartesian product.  Progress is joined on the (user, lesson) key.
     """
     tc = topics.groupBy(F.col("lesson_id").alias("_t")).agg(F.count(F.lit(1)).alias("topic_count"))
     vc = videos.groupBy(F.col("lesson_id").alias("_v")).agg(F.count(F.lit(1)).alias("video_count"))
