@@ -38,7 +38,7 @@ def append_ordered(batch: DataFrame, existing: DataFrame, text_col: str,
     for c in optional:
         b = b.withColumn(c, F.nullif(F.trim(F.col(c)), F.lit("")))
     for c in flags:
-        b = b.withColumn(c, F.coalesce(F.col(c).cast("boolean"), F.lit(False)))
+        b = b.withColumn(c, F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)))
     reason = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit("text_required"))
     if allowed_parents is not None:
         reason = reason.when(~F.coalesce(F.col(parent).isin(*allowed_parents), F.lit(False)),
@@ -86,9 +86,9 @@ def sparse_patch(patches: DataFrame, table: DataFrame, key: str, columns: dict[s
         if kind == "optional":
             v = F.nullif(v, F.lit(""))
         if kind == "int":
-            v = v.cast("int")
+            v = v.try_cast("int")
         if kind == "bool":
-            v = v.cast("boolean")
+            v = v.try_cast("boolean")
         p = p.withColumn(c, v)
     known = table.select(F.col(key).alias("_k")).distinct()
     p = p.join(known, p[key] == known["_k"], "left")

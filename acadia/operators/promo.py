@@ -79,11 +79,14 @@ def promo_code_load(batch: DataFrame, promo_codes: DataFrame, as_of=None) -> Dat
     from ..constants import PROMO_DEFAULT_DISCOUNT, PROMO_DISCOUNT_RANGE
     lo, hi = PROMO_DISCOUNT_RANGE
     parsed = F.regexp_extract(F.trim(F.col("discount").cast("string")), r"^([+-]?\d+)", 1)
-    disc = F.when(parsed == "", F.lit(None)).otherwise(parsed.cast("int"))
+    # Any number of digits parses (as decimal, no overflow error under ANSI); values that
+    # do not fit an integer are simply out of range.
+    num = F.when(parsed == "", F.lit(None)).otherwise(parsed.try_cast("decimal(38,0)"))
     b = (batch.withColumn("code", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
-         .withColumn("discount", F.coalesce(F.nullif(disc, F.lit(0)), F.lit(PROMO_DEFAULT_DISCOUNT))))
+         .withColumn("_num", F.coalesce(F.nullif(num, F.lit(0)), F.lit(PROMO_DEFAULT_DISCOUNT)))
+         .withColumn("discount", F.col("_num").try_cast("int")))
     valid_code = F.col("code") != ""
-    in_range = (F.col("discount") >= lo) & (F.col("discount") <= hi)
+    in_range = (F.col("_num") >= lo) & (F.col("_num") <= hi)
     # First arrival per code among requests that pass the static checks.
     b = flag_first(b, ["code"], ["ts", "request_id"], "_first", when=valid_code & in_range)
     existing = promo_codes.select(F.col("code").alias("_ex")).distinct()

@@ -654,9 +654,10 @@ query("promo_code_load", sql=f"""
 WITH b0 AS ({B_PROMO_LOAD}),
 b1 AS (SELECT request_id, ts, expires_at, upper(trim(coalesce(code, ''))) AS code,
          regexp_extract(trim(CAST(discount AS VARCHAR)), '^([+-]?\\d+)', 1) AS parsed FROM b0),
-b2 AS (SELECT *, coalesce(nullif(CASE WHEN parsed = '' THEN NULL ELSE CAST(parsed AS INT) END, 0), 10)
-                 AS discount FROM b1),
-b3 AS (SELECT *, code <> '' AS valid_code, discount >= 1 AND discount <= 100 AS in_range FROM b2),
+b2 AS (SELECT *, coalesce(nullif(CASE WHEN parsed = '' THEN NULL
+                                       ELSE TRY_CAST(parsed AS DECIMAL(38,0)) END, 0), 10) AS num FROM b1),
+b3 AS (SELECT *, TRY_CAST(num AS INT) AS discount, code <> '' AS valid_code,
+              num >= 1 AND num <= 100 AS in_range FROM b2),
 b4 AS (SELECT *, CASE WHEN valid_code AND in_range THEN row_number() OVER (
                    PARTITION BY code, valid_code AND in_range ORDER BY ts, request_id) = 1
                  ELSE FALSE END AS first FROM b3)

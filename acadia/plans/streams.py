@@ -13,7 +13,7 @@ from .jobs import _ADMITTED
 from .registry import query
 
 
-def _rate_sql(seconds: int, max_requests: int) -> str:
+def _rate_sql(seconds: int, max_requests: int, where: str = "TRUE") -> str:
     start = (f"TIMESTAMP '1970-01-01 00:00:00' + "
              f"to_seconds(CAST(floor(epoch(ts) / {seconds}) * {seconds} AS BIGINT))")
     return f"""
@@ -21,7 +21,7 @@ SELECT client_key, window_start, window_end, requests, requests > {max_requests}
        greatest(requests - {max_requests}, 0) AS rejected
 FROM (SELECT client_key, {start} AS window_start,
              {start} + to_seconds({seconds}) AS window_end, count(*) AS requests
-      FROM f_requests GROUP BY 1, 2, 3)
+      FROM f_requests WHERE {where} GROUP BY 1, 2, 3)
 """
 
 
@@ -31,6 +31,9 @@ query("rate_limit_global", sql=_rate_sql(900, 300))(
     lambda fx: rate_limit.rate_limit_report(fx.requests, limiter="global"))
 query("rate_limit_slug", sql=_rate_sql(60, 30))(
     lambda fx: rate_limit.rate_limit_report(fx.requests, limiter="slug"))
+# Sign-ups stand for the auth endpoints (20 requests per 15 minutes per client).
+query("rate_limit_auth", sql=_rate_sql(900, 20, "route IN ('signup')"))(
+    lambda fx: rate_limit.rate_limit_report(fx.requests, limiter="auth", routes=("signup",)))
 query("rate_limit_stream", sql=_rate_sql(86400, 5))(
     lambda fx: rate_limit.run_rate_limit_stream(fx.spark, fx.sf_dir, "1 day", 5))
 

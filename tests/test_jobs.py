@@ -299,3 +299,11 @@ def test_integrity_report_finds_injected_violations(spark):
     assert rep[("foreign_key", "orders", "user_id->users.id")] == 1
     assert rep[("enum", "orders", "status")] == 1
     assert rep[("not_null", "orders", "amount")] == 0
+
+
+def test_promo_code_load_huge_discount_is_out_of_range(spark):
+    existing = df(spark, [], PROMO)
+    batch = df(spark, [(1, "a", "99999999999999", None, T(2001, 1, 1)), (2, "b", "-3", None, T(2001, 1, 1))],
+               "request_id long, code string, discount string, expires_at timestamp, ts timestamp")
+    out = {r.request_id: (r.discount, r.reason) for r in promo.promo_code_load(batch, existing).collect()}
+    assert out == {1: (None, "discount_range"), 2: (-3, "discount_range")}
