@@ -12,7 +12,7 @@ from ..constants import PAYOUT_COMMISSION, PAYOUT_MIN_AMOUNT, PAYOUT_UPDATE_STAT
 from ..functions.filters import ts_lit
 from ..functions.keys import latest_per_key
 from ..functions.money import money
-from ..functions.sequence import running_total
+from ..functions.sequence import SMALL_GROUP_ROWS, largest_group, running_total
 from ..session import checkpoint_dir
 
 RATE = "decimal(5,4)"
@@ -54,7 +54,8 @@ def payout_checks(requests: DataFrame, partners: DataFrame, rates: dict | None =
 
 def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
                      rates: dict | None = None, min_amount=PAYOUT_MIN_AMOUNT,
-                     max_rounds: int | None = None) -> DataFrame:
+                     max_rounds: int | None = None,
+                     small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
     """Item 29. Admit payout requests per partner, in ``order``, against the balance.
 
     A request that passes the static checks is admitted when its amount is at most the
@@ -68,7 +69,9 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     current balance can never pass and is dropped.  Among the remaining candidates the
     running total of amounts (skew-safe, see ``functions.sequence``) admits the longest
     prefix that fits; the first candidate past it is rejected and the next round starts
-    after it with the lowered balance.  Every round admits at least one request per
+    after it with the lowered balance.  The running total is a plain window when the
+    largest partner's candidate count is under the helper's bound, and the
+    range-partitioned plan otherwise.  Every round admits at least one request per
     active partner, so a partner needs at most ``balance / min_amount + 1`` rounds;
     each round only touches the still-undecided candidates and is checkpointed to the
     session's checkpoint folder to cut lineage.
@@ -93,13 +96,14 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     rounds = 0
     while True:
         cand = cand.where(F.col("amount") <= F.col("_bal"))
-        if cand.isEmpty():
+        largest = largest_group(cand, ["partner_id"])   # size check, also the stop test
+        if largest == 0:
             break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"payout admission did not settle in {max_rounds} rounds")
-        # running_total checkpoints its range-partitioned layout: lineage is cut here.
-        run = running_total(cand, ["partner_id"], okey, "amount", "_run")
+        run = running_total(cand, ["partner_id"], okey, "amount", "_run",
+                            small_group_rows=small_group_rows, largest=largest)
         # Materialise the round once: admitted rows, the cut per partner and the next
         # round's candidates are all read from it (and lineage stops here).
         run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)

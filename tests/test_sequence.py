@@ -21,10 +21,13 @@ def test_running_total_and_sequence_match_windows(spark):
     ref = {r.id: (r.s, r.n) for r in d.select(
         "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
         F.row_number().over(w).alias("n")).collect()}
-    rt = {r.id: r.run for r in running_total(d, ["k"], ["v", "id"], "v", "run", partitions=16).collect()}
-    sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["v", "id"], "seq", partitions=16).collect()}
-    assert rt == {i: s for i, (s, _) in ref.items()}
-    assert sq == {i: n for i, (_, n) in ref.items()}
+    for bound in (None, 10**9):   # range-partitioned plan, then the size-checked window
+        rt = {r.id: r.run for r in running_total(d, ["k"], ["v", "id"], "v", "run", partitions=16,
+                                                 small_group_rows=bound).collect()}
+        sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["v", "id"], "seq", partitions=16,
+                                                   small_group_rows=bound).collect()}
+        assert rt == {i: s for i, (s, _) in ref.items()}
+        assert sq == {i: n for i, (_, n) in ref.items()}
 
 
 def test_hot_key_is_spread_over_partitions(spark):
