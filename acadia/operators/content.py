@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MATERIAL_CATEGORIES
-from ..functions.filters import ts_lit
 from ..functions.keys import flag_first, latest_per_key
 from ..functions.sequence import sequence_number
 
@@ -196,5 +195,3 @@ def delete_by_key(ids: DataFrame, table: DataFrame, key: str = "id",
                     for name, (df, fk) in (children or {}).items()}
     return new_table, new_children, report
 
-
-_ = ts_lit

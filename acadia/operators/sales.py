@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHART_DEFAULT_DAYS, PARTNERSHIP_PRODUCT
-from ..functions.filters import all_of, day_range, eq_if, page, search, since, where
+from ..functions.filters import day_range, eq_if, page, search, since, ts_lit, where
 from ..functions.money import money_sum
 
 
@@ -38,7 +38,6 @@ def dashboard_stats(users: DataFrame, orders: DataFrame, partners: DataFrame,
     Each side is a global aggregate (partial per task, one merge row), so the final
     cross join is between five one-row frames.
     """
-    from ..functions.filters import ts_lit
     lower = ts_lit(as_of) - F.make_dt_interval(days=F.lit(30))
     u = users.agg(F.count(F.lit(1)).alias("users_total"),
                   F.count_if(F.col("created_at") > lower).alias("users_last30d"))
@@ -94,7 +93,7 @@ def order_history(orders: DataFrame, user_id=None) -> DataFrame:
     """Item 21. Orders of one user, or of every user, with the listed columns.
 
     The original lists one user's orders newest first; here the key is kept in the
-    output and ordering is by (user_id, created_at desc, id desc) when a user is given.
+    output and, when a user is given, rows are ordered by (created_at desc, id desc).
     Over all users the result is left unsorted (a global sort of every order would be
     a full range shuffle that nothing downstream needs).
     """
@@ -104,5 +103,3 @@ def order_history(orders: DataFrame, user_id=None) -> DataFrame:
         rows = rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
     return rows
 
-
-_ = all_of  # re-exported helper used by callers composing their own filters
