@@ -49,8 +49,10 @@ def partner_profile(partners: DataFrame, users: DataFrame,
     Users with neither get a row with NULLs (``application_status`` NULL), as the
     original answers "not found" with a NULL status.
     """
+    extra = ([F.col("created_at").alias("partner_created_at")]
+             if "created_at" in partners.columns else [])
     prof = partners.select(F.col("user_id").alias("p_user"), F.col("id").alias("partner_id"),
-                           "slug", "promo_code", "balance", "total_earned")
+                           "slug", "promo_code", "balance", "total_earned", *extra)
     latest = latest_per_key(applications.where(F.col("user_id").isNotNull()), ["user_id"],
                             [F.col("created_at").desc(), F.col("id").desc()]) \
         .select(F.col("user_id").alias("a_user"), F.col("status").alias("last_status"))
@@ -58,7 +60,7 @@ def partner_profile(partners: DataFrame, users: DataFrame,
     return (u.join(prof, u["user_id"] == prof["p_user"], "left")
             .join(latest, u["user_id"] == latest["a_user"], "left")
             .select("user_id", "name", "email", "partner_id", "slug", "promo_code",
-                    "balance", "total_earned",
+                    "balance", "total_earned", *(["partner_created_at"] if extra else []),
                     F.col("partner_id").isNotNull().alias("has_profile"),
                     F.when(F.col("partner_id").isNull(), F.col("last_status"))
                     .alias("application_status")))
@@ -91,7 +93,8 @@ def user_entitlements(users: DataFrame, orders: DataFrame, subscriptions: DataFr
                             [F.col("expires_at").desc_nulls_first(), F.col("plan").asc()]) \
         .select(F.col("user_id").alias("c_user"), F.col("plan").alias("subscription_plan"),
                 F.col("status").alias("subscription_status"), "expires_at")
-    u = users.select(F.col("id").alias("user_id"), "email", "role")
+    u = users.select(F.col("id").alias("user_id"), "name", "email", "role", "email_verified",
+                     "created_at")
     j = (u.join(latest, u["user_id"] == latest["o_user"], "left")
          .join(sub_flags, u["user_id"] == sub_flags["s_user"], "left")
          .join(chosen, u["user_id"] == chosen["c_user"], "left"))
@@ -99,7 +102,8 @@ def user_entitlements(users: DataFrame, orders: DataFrame, subscriptions: DataFr
     has_paid = F.coalesce(F.col("_paid"), F.lit(False))
     server = F.coalesce(F.col("_server_active"), F.lit(False))
     return j.select(
-        "user_id", "email", "role", "course_plan", "subscription_plan", "subscription_status",
+        "user_id", "name", "email", "role", "email_verified", "created_at",
+        "course_plan", "subscription_plan", "subscription_status",
         "expires_at",
         has_paid.alias("has_paid_order"),
         (has_paid | is_admin).alias("course_access"),

@@ -119,6 +119,7 @@ FROM f_users WHERE id % 4 = 0"""
 B_REVIEWS = """
 SELECT id AS update_id, id,
        CASE id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'archived' END AS status,
+       CASE WHEN id % 3 = 1 THEN concat('reason ', CAST(id AS STRING)) END AS reject_reason,
        CAST(150 AS BIGINT) AS actor_id, created_at AS ts
 FROM f_partner_applications WHERE id % 2 = 1"""
 
@@ -641,12 +642,14 @@ v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DE
         AND id IN (SELECT id FROM f_partner_applications)) WHERE rn = 1)
 SELECT a.id, a.user_id, a.name, a.email, a.telegram, a.slug, coalesce(v.status, a.status) AS status,
        a.created_at, CASE WHEN v.id IS NOT NULL THEN {AS_OF_SQL} END AS reviewed_at,
-       CASE WHEN v.id IS NOT NULL THEN v.actor_id END AS reviewed_by
+       CASE WHEN v.id IS NOT NULL THEN v.actor_id END AS reviewed_by,
+       CASE WHEN v.id IS NOT NULL THEN v.reject_reason END AS reject_reason
 FROM f_partner_applications a LEFT JOIN v ON v.id = a.id
 """)(lambda fx: content.status_transition(
     fx.sql(B_REVIEWS), fx.partner_applications, "id", "status",
     ("approved", "rejected", "pending"), AS_OF,
-    {"reviewed_at": ts_lit(AS_OF), "reviewed_by": F.col("u_actor_id")})[0])
+    {"reviewed_at": ts_lit(AS_OF), "reviewed_by": F.col("u_actor_id"),
+     "reject_reason": F.col("u_reject_reason")})[0])
 
 # ------------------------------------------------------------- item 43: promo code load
 
