@@ -64,8 +64,9 @@ def application_admission(batch: DataFrame, applications: DataFrame,
     for c in OPTIONAL_TEXT:
         if c in b.columns:
             b = b.withColumn(c, _blank_to_null(F.col(c)))
-    ctype = F.coalesce(F.nullif(F.col("cooperation_type"), F.lit("")), F.lit(COOPERATION_TYPE_DEFAULT)) \
-        if "cooperation_type" in b.columns else F.lit(COOPERATION_TYPE_DEFAULT)
+    ctype = (F.coalesce(F.nullif(F.col("cooperation_type"), F.lit("")),
+                        F.lit(COOPERATION_TYPE_DEFAULT))
+             if "cooperation_type" in b.columns else F.lit(COOPERATION_TYPE_DEFAULT))
     b = b.withColumn("cooperation_type", ctype)
 
     taken = taken_slugs(applications, partners)
@@ -109,24 +110,35 @@ def partner_provisioning(promoted: DataFrame, users: DataFrame, partners: DataFr
     user id is appended.  Unlike the original, the final slug is checked as well: if it
     is still held, the row is reported as ``slug_conflict`` and not created.
     promo_code = upper(slug).  Returns every promoted user with slug, promo_code and
-    ``outcome`` (created / skipped / slug_conflict / unknown_user).
+    ``outcome`` (created / skipped / slug_conflict / unknown_user).  A user promoted
+    twice in the batch is created once (later rows ``skipped``); two users reaching the
+    same final slug: the first (ts, user_id) keeps it, the other is ``slug_conflict``.
     """
     u = users.select(F.col("id").alias("_uid"), "name", "email")
-    p = promoted.join(u, promoted["user_id"] == u["_uid"], "left")
+    p = promoted.withColumn("_seq", F.monotonically_increasing_id()) \
+        .join(u, promoted["user_id"] == u["_uid"], "left")
     existing = partners.select(F.col("user_id").alias("_puser")).distinct()
     p = p.join(existing, p["user_id"] == existing["_puser"], "left")
+    # A user promoted twice in the batch gets one partner row (ON CONFLICT (user_id)).
+    p = flag_first(p, ["user_id"], ["ts", "_seq"], "_first_user",
+                   when=F.col("_uid").isNotNull() & F.col("_puser").isNull())
     p = p.withColumn("_base", base_slug(F.col("name"), F.col("email")))
     taken = taken_slugs(applications, partners)
-    p = p.join(taken.select(F.col("taken_slug").alias("_tb")), F.col("_base") == F.col("_tb"), "left")
-    eligible = F.col("_uid").isNotNull() & F.col("_puser").isNull()
+    p = p.join(taken.select(F.col("taken_slug").alias("_tb")),
+               F.col("_base") == F.col("_tb"), "left")
+    eligible = F.col("_first_user")
     p = flag_first(p, ["_base"], ["ts", "user_id"], "_first_base", when=eligible)
     slug = F.when(F.col("_tb").isNull() & F.col("_first_base"), F.col("_base")) \
         .otherwise(F.concat(F.col("_base"), F.col("user_id").cast("string")))
     p = p.withColumn("slug", F.when(eligible, slug))
-    p = p.join(taken.select(F.col("taken_slug").alias("_tf")), F.col("slug") == F.col("_tf"), "left")
+    p = p.join(taken.select(F.col("taken_slug").alias("_tf")),
+               F.col("slug") == F.col("_tf"), "left")
+    # Two promoted users can still arrive at the same final slug: the first keeps it.
+    p = flag_first(p, ["slug"], ["ts", "user_id"], "_first_slug",
+                   when=eligible & F.col("_tf").isNull())
     outcome = (F.when(F.col("_uid").isNull(), F.lit("unknown_user"))
-               .when(F.col("_puser").isNotNull(), F.lit("skipped"))
-               .when(F.col("_tf").isNotNull(), F.lit("slug_conflict"))
+               .when(F.col("_puser").isNotNull() | ~F.col("_first_user"), F.lit("skipped"))
+               .when(F.col("_tf").isNotNull() | ~F.col("_first_slug"), F.lit("slug_conflict"))
                .otherwise(F.lit("created")))
     return p.select("user_id", "slug", F.upper(F.col("slug")).alias("promo_code"),
                     outcome.alias("outcome"))

@@ -309,3 +309,16 @@ def test_promo_code_load_huge_discount_is_out_of_range(spark):
                "request_id long, code string, discount string, expires_at timestamp, ts timestamp")
     out = {r.request_id: (r.discount, r.reason) for r in promo.promo_code_load(batch, existing).collect()}
     assert out == {1: (None, "discount_range"), 2: (-3, "discount_range")}
+
+
+def test_partner_provisioning_in_batch_duplicates(spark):
+    us = df(spark, [(5, "b@x", "Bob", "user", True, AS_OF), (7, "c@x", "Bob5", "user", True, AS_OF),
+                    (8, "d@x", "Dan", "user", True, AS_OF)], USERS)
+    parts = df(spark, [(1, 99, "bob", "BOB", D(0), D(0))], PARTNERS)
+    promoted = df(spark, [(5, T(2001, 1, 1)), (7, T(2001, 1, 2)), (8, T(2001, 1, 1)), (8, T(2001, 1, 3))],
+                  "user_id long, ts timestamp")
+    rows = sorted(((r.user_id, r.slug, r.outcome) for r in
+                   applications.partner_provisioning(promoted, us, parts, df(spark, [], APPS)).collect()),
+                  key=lambda t: (t[0], str(t[1])))
+    assert rows == [(5, "bob5", "created"), (7, "bob5", "slug_conflict"),
+                    (8, "dan", "created"), (8, None, "skipped")]
