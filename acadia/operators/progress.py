@@ -23,7 +23,8 @@ def progress_admission(events: DataFrame, lessons: DataFrame, orders: DataFrame,
     e = flag_exists(e, orders.where(F.col("status") == "paid"), "user_id", "user_id", "_paid")
     e = flag_exists(e, admins, "user_id", "_aid", "_admin")
     reason = (F.when(F.col("_lid").isNull(), F.lit("lesson_not_found"))
-              .when(~(F.col("_free") | F.col("_admin") | F.col("_paid")), F.lit("no_access"))
+              .when(~(F.coalesce(F.col("_free"), F.lit(False)) | F.col("_admin") | F.col("_paid")),
+                    F.lit("no_access"))
               .when(F.col("viewed").isNull() & F.col("completed").isNull(), F.lit("no_data")))
     completed = F.coalesce(F.col("completed"), F.lit(False))
     return e.select("event_id", "user_id", "lesson_id", "ts",
