@@ -87,12 +87,13 @@ def write_version(df: DataFrame, base: str, name: str, version: str,
                   partition_by: list[str] | None = None) -> str:
     """Write a new table state to ``{base}/{name}/v={version}`` and return the path.
 
-    The folder is new, so the write never touches the state being read; callers switch
-    readers to it after the job commits.  ``partition_by`` (e.g. a month column for
-    orders) lets later date filters prune whole folders.
+    The folder belongs to this version only, so the write never touches the state being
+    read; callers switch readers to it after the job commits.  A retried job overwrites
+    whatever a failed attempt left in its own folder.  ``partition_by`` (e.g. a month
+    column for orders) lets later date filters prune whole folders.
     """
     path = f"{base.rstrip('/')}/{name}/v={version}"
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
