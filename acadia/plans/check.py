@@ -2,7 +2,7 @@
 
 ``python -m acadia.plans.check /root/testdata/sf0.01 [name ...]`` runs both engines on
 the same parquet tables and reports, per query, row count, column names and an
-order-insensitive comparison of the values.
+order-insensitive comparison of the values, plus equal column types.
 """
 
 from __future__ import annotations
@@ -45,6 +45,22 @@ def _rows(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "date": "DATE",
+                  "double": "DOUBLE", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def _type_diffs(sdf, rel) -> list:
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in sdf.schema.fields:
+        t = f.dataType.simpleString()
+        want = _SPARK_TO_DUCK.get(t, t.upper())
+        if duck_types.get(f.name) != want:
+            out.append((f.name, t, duck_types.get(f.name)))
+    return out
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -72,6 +88,10 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"COLUMNS spark={sorted(s_cols)} duck={sorted(d_cols)}"
         return res
+    types = _type_diffs(sdf, rel)
+    if types:
+        res["status"] = f"TYPES {types}"
+        return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     if a == b:
         res["status"] = "ok"
