@@ -60,7 +60,7 @@ SELECT DISTINCT l_orderkey, l_linenumber,
             WHEN 2 THEN 'processing' ELSE 'cancelled' END AS status,
        CASE WHEN (l_orderkey + l_linenumber) % 4 = 1 THEN 'bad requisites' END AS reject_reason,
        created_at + INTERVAL '1' DAY AS ts
-FROM f_partner_payouts WHERE l_orderkey % 7 = 0"""
+FROM f_partner_payouts"""
 
 B_RESETS = """
 SELECT id AS actor_id, CASE WHEN id % 3 = 0 THEN id + 1 END AS target_user_id
@@ -114,14 +114,14 @@ B_ROLE_UPDATES = """
 SELECT id AS update_id, id,
        CASE id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'partner' WHEN 3 THEN 'owner' ELSE 'user' END AS role,
        created_at AS ts
-FROM f_users WHERE id % 4 = 0"""
+FROM f_users"""
 
 B_REVIEWS = """
 SELECT id AS update_id, id,
        CASE id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'archived' END AS status,
        CASE WHEN id % 3 = 1 THEN concat('reason ', CAST(id AS STRING)) END AS reject_reason,
        CAST(150 AS BIGINT) AS actor_id, created_at AS ts
-FROM f_partner_applications WHERE id % 2 = 1"""
+FROM f_partner_applications"""
 
 B_PROMO_LOAD = """
 SELECT id AS request_id,
@@ -877,9 +877,9 @@ FROM f_promo_codes p LEFT JOIN u ON u.id = p.id
                                           "is_active", (True, False), AS_OF)[0])
 
 B_VERIFICATIONS = """
-SELECT id AS update_id, email, TRUE AS email_verified, created_at AS ts FROM f_users WHERE id % 2 = 0
+SELECT id AS update_id, email, TRUE AS email_verified, created_at AS ts FROM f_users
 UNION ALL
-SELECT id + 100000000 AS update_id, email, TRUE, created_at FROM f_otp_codes WHERE id % 50 = 0"""
+SELECT id + 100000000 AS update_id, email, TRUE, created_at FROM f_otp_codes"""
 
 query("email_verification", sql=f"""
 WITH u AS (SELECT DISTINCT email FROM ({B_VERIFICATIONS}) WHERE email IN (SELECT email FROM f_users))
