@@ -87,11 +87,13 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
         F.coalesce(F.col("static_reason"), F.lit("insufficient_balance")).alias("reason"),
         "commission_rate", "commission_amount", "amount_to_receive",
         F.lit(None).cast("decimal(12,2)").alias("balance_after"))
-    cands = checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id()) \
-        .checkpoint(eager=True)
+    # Only candidates take part in rounds.  Their ids are frozen by the first round's
+    # checkpoint, which holds every candidate row; later rounds carry slim columns.
+    cand = (checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id())
+            .withColumn("_bal", F.col("start_balance")))
     okey = [*order, "_rid"]
-
-    cand = cands.select("_rid", "partner_id", "amount", *order, F.col("start_balance").alias("_bal"))
+    slim = ["_rid", "partner_id", "amount", *order]
+    frozen = None
     admitted_parts: list[DataFrame] = []
     rounds = 0
     while True:
@@ -107,6 +109,8 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
         # Materialise the round once: admitted rows, the cut per partner and the next
         # round's candidates are all read from it (and lineage stops here).
         run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)
+        if frozen is None:
+            frozen = run
         admitted_parts.append(run.where("_fits").select(
             "_rid", (F.col("_bal") - F.col("_run")).cast("decimal(12,2)").alias("balance_after")))
         cut = run.groupBy("partner_id").agg(
@@ -114,16 +118,15 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
             F.min(F.when(~F.col("_fits"), F.struct(*okey))).alias("_stop"))
         cand = (run.where(~F.col("_fits")).join(cut, "partner_id")
                 .where(F.struct(*okey) > F.col("_stop"))
-                .select("_rid", "partner_id", "amount", *order,
-                        (F.col("_bal") - F.col("_used")).cast("decimal(12,2)").alias("_bal")))
-
-    if admitted_parts:
-        admitted = admitted_parts[0]
-        for part in admitted_parts[1:]:
-            admitted = admitted.unionByName(part)
-    else:
-        admitted = spark.createDataFrame([], "_rid long, balance_after decimal(12,2)")
-    judged = cands.join(admitted, "_rid", "left").select(
+                .select(*slim, (F.col("_bal") - F.col("_used")).cast("decimal(12,2)").alias("_bal")))
+
+    out_cols = [*requests.columns, "commission_rate", "commission_amount", "amount_to_receive"]
+    if frozen is None:   # no candidate at all
+        return decided
+    admitted = admitted_parts[0]
+    for part in admitted_parts[1:]:
+        admitted = admitted.unionByName(part)
+    judged = frozen.select("_rid", *out_cols).join(admitted, "_rid", "left").select(
         *requests.columns,
         F.when(F.col("balance_after").isNull(), F.lit("insufficient_balance")).alias("reason"),
         "commission_rate", "commission_amount", "amount_to_receive", "balance_after")
