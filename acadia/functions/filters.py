@@ -82,3 +82,28 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, limit: int = 20)
     ordered = df.orderBy(*order)
     offset = (page_no - 1) * limit
     return (ordered.offset(offset) if offset else ordered).limit(limit)
+
+
+def page_joined(left: DataFrame, joiner, order: list[Column], page_no: int = 1,
+                limit: int = 20) -> DataFrame:
+    """One page of ``joiner(left)``, cutting the page from ``left`` first when exact.
+
+    ``joiner`` applies inner joins on unique keys (and filters) that can drop rows of
+    ``left`` but never add any, and ``order`` uses columns of ``left`` only.  The top
+    ``offset + limit`` rows of ``left`` are taken first (a bounded top-k, no full
+    shuffle) and joined; when none of them was dropped, or ``left`` has fewer rows
+    than that, the page comes from those rows alone.  Otherwise (orphan keys, a search
+    on joined columns) the full join is paged.  Both ways give the same rows.  The
+    bounded top rows are checkpointed so the check and the page read the same rows.
+    """
+    from ..session import checkpoint_dir
+    page_no = max(int(page_no or 1), 1)
+    limit = int(limit or 20)
+    need = (page_no - 1) * limit + limit
+    checkpoint_dir(left.sparkSession)
+    top = left.orderBy(*order).limit(need).checkpoint(eager=True)
+    kept = joiner(top)
+    n_top = top.count()
+    if n_top < need or kept.count() == n_top:
+        return page(kept, order, page_no, limit)
+    return page(joiner(left), order, page_no, limit)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (PARTNER_COMMISSION_RATE, PRODUCT_CLASS_OTHER, PRODUCT_CLASSES,
                          REVENUE_PERIOD_OTHER, REVENUE_PERIODS)
-from ..functions.filters import eq_if, page, since, where
+from ..functions.filters import eq_if, page_joined, since, where
 from ..functions.money import money, money_sum
 
 # Shown when an attributed order has neither promo code nor buyer e-mail.
@@ -22,17 +22,21 @@ def payout_queue(payouts: DataFrame, partners: DataFrame, users: DataFrame, stat
 
     Both joins are inner, so payouts of a missing partner (or a partner without a user)
     are not listed.  ``tie_break`` columns (default ``id``) order rows equal on
-    ``created_at``, all descending.
+    ``created_at``, all descending.  The page is cut from the newest payouts first when
+    the joins drop none of them (``functions.filters.page_joined``).
     """
     pp = where(payouts, eq_if("status", status))
     p = partners.select(F.col("id").alias("_pid"), F.col("user_id").alias("_puser"),
                         F.col("slug").alias("partner_slug"))
     u = users.select(F.col("id").alias("_uid"), F.col("email").alias("partner_email"))
-    rows = (pp.join(p, pp["partner_id"] == p["_pid"], "inner")
-            .join(u, F.col("_puser") == u["_uid"], "inner")
-            .drop("_pid", "_puser", "_uid"))
+
+    def joiner(left: DataFrame) -> DataFrame:
+        return (left.join(p, left["partner_id"] == p["_pid"], "inner")
+                .join(u, F.col("_puser") == u["_uid"], "inner")
+                .drop("_pid", "_puser", "_uid"))
+
     ties = [F.col(c).desc() for c in (tie_break or ["id"])]
-    return page(rows, [F.col("created_at").desc(), *ties], page_no, limit)
+    return page_joined(pp, joiner, [F.col("created_at").desc(), *ties], page_no, limit)
 
 
 def product_class(product: F.Column) -> F.Column:

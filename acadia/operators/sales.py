@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHART_DEFAULT_DAYS, PARTNERSHIP_PRODUCT
-from ..functions.filters import day_range, eq_if, page, search, since, ts_lit, where
+from ..functions.filters import day_range, eq_if, page_joined, search, since, ts_lit, where
 from ..functions.money import money_sum
 
 
@@ -79,14 +79,28 @@ def sales_page(orders: DataFrame, users: DataFrame, partners: DataFrame, status=
     """Item 4. One page of sales, newest first, with buyer and partner slug.
 
     The partner side is a left join, so orders attributed to a missing partner stay.
-    Ties on ``created_at`` are broken by order id (descending).
+    Ties on ``created_at`` are broken by order id (descending).  The newest
+    ``offset + limit`` orders are cut first and joined; only if the buyer join drops
+    some of them (missing user, search term) is the full join paged.
     """
-    f = _sales_filter(orders, users, status, product, start, end, term)
+    o = where(orders, eq_if("status", status), eq_if("product", product),
+              day_range("created_at", start, None) if start else None,
+              day_range("created_at", None, end) if end else None)
+    u = users.select(F.col("id").alias("buyer_id"), F.col("email").alias("buyer_email"),
+                     F.col("name").alias("buyer_name"))
     p = partners.select(F.col("id").alias("p_id"), F.col("slug").alias("partner_slug"))
-    rows = (f.join(p, f["referral_partner_id"] == p["p_id"], "left")
-            .select("id", "product", "amount", "promo_code", "status", "created_at", "paid_at",
-                    "buyer_email", "buyer_name", "partner_slug"))
-    return page(rows, [F.col("created_at").desc(), F.col("id").desc()], page_no, limit)
+
+    def joiner(left: DataFrame) -> DataFrame:
+        j = left.join(u, left["user_id"] == u["buyer_id"], "inner")
+        j = where(j, search(term, "buyer_email", "buyer_name"))
+        return (j.join(p, j["referral_partner_id"] == p["p_id"], "left")
+                .select("id", "product", "amount", "promo_code", "status", "created_at",
+                        "paid_at", "buyer_email", "buyer_name", "partner_slug"))
+
+    # Exact early cut: the page is taken from the newest orders when none of them is
+    # dropped by the buyer join (see functions.filters.page_joined).
+    return page_joined(o, joiner, [F.col("created_at").desc(), F.col("id").desc()],
+                       page_no, limit)
 
 
 def order_history(orders: DataFrame, user_id=None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PARTNERSHIP_PRODUCT, PLAN_DAYS
-from ..functions.filters import eq_if, page, search, since, where
+from ..functions.filters import eq_if, page_joined, search, since, where
 from ..functions.money import money_sum, percent_of
 
 
@@ -45,19 +45,24 @@ def subscription_page(orders: DataFrame, users: DataFrame, progress: DataFrame,
                       limit: int = 20, plan_days: dict | None = None) -> DataFrame:
     """Item 8. One page of course subscriptions with progress and plan dates.
 
-    The page is cut first (bounded top-k over orders joined to buyers), then only the
-    page's users are looked up in ``course_progress``: the progress scan is filtered by a
+    The page is cut first (bounded top-k over orders, joined to buyers; the full join
+    only when that drops rows), then only the page's users are looked up in
+    ``course_progress``: the progress scan is filtered by a
     semi-join against at most ``limit`` ids before it is aggregated.
     """
     o = where(orders.filter(F.col("product") != F.lit(PARTNERSHIP_PRODUCT)),
               eq_if("status", status))
     u = users.select(F.col("id").alias("uid"), F.col("email").alias("buyer_email"),
                      F.col("name").alias("buyer_name"))
-    rows = where(o.join(u, o["user_id"] == u["uid"], "inner"),
-                 search(term, "buyer_email", "buyer_name"))
-    rows = rows.select("id", "product", "amount", "promo_code", "status", "created_at",
-                       "paid_at", "buyer_email", "buyer_name", "user_id")
-    top = page(rows, [F.col("created_at").desc(), F.col("id").desc()], page_no, limit)
+
+    def joiner(left: DataFrame) -> DataFrame:
+        rows = where(left.join(u, left["user_id"] == u["uid"], "inner"),
+                     search(term, "buyer_email", "buyer_name"))
+        return rows.select("id", "product", "amount", "promo_code", "status", "created_at",
+                           "paid_at", "buyer_email", "buyer_name", "user_id")
+
+    top = page_joined(o, joiner, [F.col("created_at").desc(), F.col("id").desc()],
+                      page_no, limit)
 
     page_users = top.select(F.col("user_id").alias("puid")).distinct()
     done = (progress.join(F.broadcast(page_users), progress["user_id"] == page_users["puid"],
