@@ -110,18 +110,18 @@ def partner_provisioning(promoted: DataFrame, users: DataFrame, partners: DataFr
     user id is appended.  Unlike the original, the final slug is checked as well: if it
     is still held, the row is reported as ``slug_conflict`` and not created.
     promo_code = upper(slug).  Returns every promoted user with slug, promo_code and
-    ``outcome`` (created / skipped / slug_conflict / unknown_user).  A user promoted
-    twice in the batch is created once (later rows ``skipped``); two users reaching the
-    same final slug: the first (ts, user_id) keeps it, the other is ``slug_conflict``.
+    ``outcome`` (created / skipped / slug_conflict / unknown_user), one row per promoted
+    user (a user promoted twice counts once, at the first ``ts``); two users reaching
+    the same final slug: the first (ts, user_id) keeps it, the other is ``slug_conflict``.
     """
     u = users.select(F.col("id").alias("_uid"), "name", "email")
-    p = promoted.withColumn("_seq", F.monotonically_increasing_id()) \
-        .join(u, promoted["user_id"] == u["_uid"], "left")
+    # A user promoted twice in the batch gets one partner row (ON CONFLICT (user_id)):
+    # one command per user, at its first arrival.
+    once = promoted.groupBy("user_id").agg(F.min("ts").alias("ts"))
+    p = once.join(u, once["user_id"] == u["_uid"], "left")
     existing = partners.select(F.col("user_id").alias("_puser")).distinct()
     p = p.join(existing, p["user_id"] == existing["_puser"], "left")
-    # A user promoted twice in the batch gets one partner row (ON CONFLICT (user_id)).
-    p = flag_first(p, ["user_id"], ["ts", "_seq"], "_first_user",
-                   when=F.col("_uid").isNotNull() & F.col("_puser").isNull())
+    p = p.withColumn("_first_user", F.col("_uid").isNotNull() & F.col("_puser").isNull())
     p = p.withColumn("_base", base_slug(F.col("name"), F.col("email")))
     taken = taken_slugs(applications, partners)
     p = p.join(taken.select(F.col("taken_slug").alias("_tb")),

@@ -87,13 +87,14 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
         F.coalesce(F.col("static_reason"), F.lit("insufficient_balance")).alias("reason"),
         "commission_rate", "commission_amount", "amount_to_receive",
         F.lit(None).cast("decimal(12,2)").alias("balance_after"))
-    # Only candidates take part in rounds.  Their ids are frozen by the first round's
-    # checkpoint, which holds every candidate row; later rounds carry slim columns.
-    cand = (checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id())
-            .withColumn("_bal", F.col("start_balance")))
+    # Only candidates take part in rounds.  Their ids are frozen at once by a checkpoint
+    # (one job assigns and writes them), so every later read and any retry sees the same
+    # ids; rounds then carry slim columns.
+    frozen = (checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id())
+              .withColumn("_bal", F.col("start_balance")).checkpoint(eager=True))
+    cand = frozen
     okey = [*order, "_rid"]
     slim = ["_rid", "partner_id", "amount", *order]
-    frozen = None
     admitted_parts: list[DataFrame] = []
     rounds = 0
     while True:
@@ -109,8 +110,6 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
         # Materialise the round once: admitted rows, the cut per partner and the next
         # round's candidates are all read from it (and lineage stops here).
         run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)
-        if frozen is None:
-            frozen = run
         admitted_parts.append(run.where("_fits").select(
             "_rid", (F.col("_bal") - F.col("_run")).cast("decimal(12,2)").alias("balance_after")))
         cut = run.groupBy("partner_id").agg(
@@ -121,7 +120,7 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
                 .select(*slim, (F.col("_bal") - F.col("_used")).cast("decimal(12,2)").alias("_bal")))
 
     out_cols = [*requests.columns, "commission_rate", "commission_amount", "amount_to_receive"]
-    if frozen is None:   # no candidate at all
+    if not admitted_parts:   # no candidate at all
         return decided
     admitted = admitted_parts[0]
     for part in admitted_parts[1:]:
