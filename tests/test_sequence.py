@@ -45,3 +45,20 @@ def test_flag_first_and_latest(spark):
     w = Window.partitionBy("k").orderBy("v", "id")
     ref = {r.id for r in d.withColumn("n", F.row_number().over(w)).where("n = 1").collect()}
     assert first == ref == lat
+
+
+def test_page_joined_equals_full_join_page(spark):
+    from acadia.functions.filters import page, page_joined, search, where
+    rnd = random.Random(7)
+    left = spark.createDataFrame(
+        [(i, rnd.randint(0, 40), rnd.randint(1, 60)) for i in range(300)], "id long, t long, uid long")
+    right = spark.createDataFrame([(u, f"user{u}") for u in range(1, 50) if u % 7], "rid long, name string")
+    order = [F.col("t").desc(), F.col("id").desc()]
+    for term in (None, "user1"):
+        def joiner(df, term=term):
+            j = df.join(right, df["uid"] == right["rid"], "inner")
+            return where(j, search(term, "name")).select("id", "t", "uid", "name")
+        for page_no, limit in ((1, 5), (3, 7), (40, 10), (2, 400)):
+            got = [tuple(r) for r in page_joined(left, joiner, order, page_no, limit).collect()]
+            want = [tuple(r) for r in page(joiner(left), order, page_no, limit).collect()]
+            assert got == want, (term, page_no, limit)
