@@ -73,7 +73,8 @@ def catalog_counts(materials: DataFrame) -> DataFrame:
 
 
 def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
-                   videos: DataFrame, progress: DataFrame, orders: DataFrame) -> DataFrame:
+                   videos: DataFrame, progress: DataFrame, orders: DataFrame,
+                   user_ids: DataFrame | None = None) -> DataFrame:
     """Item 22. For every user and every lesson: unlocked, viewed, completed, item counts.
 
     unlocked = lesson is free, or the user is an admin, or has any paid order; viewed
@@ -83,7 +84,8 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
     one row per lesson (with topic/video counts); no hint is given, so the lesson side
     is broadcast only when its size estimate (re-checked by AQE on runtime statistics)
     is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise Spark plans a shuffled
-    cartesian product.  Progress is joined on the (user, lesson) key.
+    cartesian product.  Progress is joined on the (user, lesson) key.  ``user_ids``
+    (column ``user_id``) restricts the catalogue to those users, as for one request.
     """
     tc = topics.groupBy(F.col("lesson_id").alias("_t")).agg(F.count(F.lit(1)).alias("topic_count"))
     vc = videos.groupBy(F.col("lesson_id").alias("_v")).agg(F.count(F.lit(1)).alias("video_count"))
@@ -96,6 +98,9 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
     buyers = (orders.where(F.col("status") == "paid").select(F.col("user_id").alias("_b"))
               .distinct().withColumn("_paid", F.lit(True)))
     u = users.select(F.col("id").alias("user_id"), "role")
+    if user_ids is not None:
+        wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
+        u = u.join(wanted, u["user_id"] == wanted["_want"], "left_semi")
     u = u.join(buyers, u["user_id"] == buyers["_b"], "left").select(
         "user_id", (F.coalesce(F.col("_paid"), F.lit(False)) |
                     F.coalesce(F.col("role") == "admin", F.lit(False))).alias("has_access"))

@@ -148,3 +148,14 @@ def test_sales_page_skips_orphans_exactly(spark):
     # without orphans the early cut is used and gives the same kind of page
     clean = [r for r in rows if r[1] == 1]
     assert [r.id for r in sales.sales_page(df(spark, clean, ORDERS), u, p, limit=2).collect()] == [8, 7]
+
+
+def test_lesson_catalog_for_some_users(spark, fx):
+    ids = spark.createDataFrame([(1,), (2,)], "user_id long")
+    some = courses.lesson_catalog(fx.users, fx.lessons, fx.lesson_topics, fx.lesson_videos,
+                                  fx.course_progress, fx.orders, user_ids=ids)
+    full = courses.lesson_catalog(fx.users, fx.lessons, fx.lesson_topics, fx.lesson_videos,
+                                  fx.course_progress, fx.orders)
+    assert sorted(map(tuple, some.collect())) == \
+        sorted(map(tuple, full.where("user_id IN (1, 2)").collect()))
+    assert some.count() == 2 * fx.lessons.count()
