@@ -116,14 +116,20 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
                     "topic_count", "video_count", "has_access"))
 
 
-def progress_summary(progress: DataFrame, lessons: DataFrame) -> DataFrame:
+def progress_summary(progress: DataFrame, lessons: DataFrame,
+                     user_ids: DataFrame | None = None) -> DataFrame:
     """Item 23. Per user with progress: completed, viewed, total lessons, %, last activity.
 
     Progress rows of unknown lessons are dropped (inner join in the original, a
     semi-join here).  Last activity is the latest ``coalesce(completed_at, viewed_at)``.
+    ``user_ids`` (column ``user_id``) restricts the summary to those users before any
+    aggregation.
     """
     known = lessons.select(F.col("id").alias("_lid"))
     total = lessons.agg(F.count(F.lit(1)).alias("total_lessons"))
+    if user_ids is not None:
+        wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
+        progress = progress.join(wanted, progress["user_id"] == wanted["_want"], "left_semi")
     p = progress.join(known, progress["lesson_id"] == known["_lid"], "left_semi")
     agg = p.groupBy("user_id").agg(
         F.count_if(F.col("completed")).alias("completed_count"),

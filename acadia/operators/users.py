@@ -67,7 +67,7 @@ def partner_profile(partners: DataFrame, users: DataFrame,
 
 
 def user_entitlements(users: DataFrame, orders: DataFrame, subscriptions: DataFrame,
-                      as_of) -> DataFrame:
+                      as_of, user_ids: DataFrame | None = None) -> DataFrame:
     """Item 24. Per user: latest paid product, chosen active subscription, access flags.
 
     - ``course_plan``: product of the newest paid order (may be NULL).
@@ -78,8 +78,17 @@ def user_entitlements(users: DataFrame, orders: DataFrame, subscriptions: DataFr
       active row); ``sub_active_server`` (active and expiry NULL or after ``as_of``);
       ``sub_active_page`` (chosen row's expiry set and after ``as_of``);
       ``materials_access`` (admin or ``sub_active_server``).
+
+    ``user_ids`` (column ``user_id``) restricts the result to those users; orders and
+    subscriptions are semi-joined to them before ranking.
     """
     now = ts_lit(as_of)
+    if user_ids is not None:
+        wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
+        users = users.join(wanted, users["id"] == wanted["_want"], "left_semi")
+        orders = orders.join(wanted, orders["user_id"] == wanted["_want"], "left_semi")
+        subscriptions = subscriptions.join(wanted, subscriptions["user_id"] == wanted["_want"],
+                                           "left_semi")
     paid = orders.filter(F.col("status") == "paid")
     latest = latest_per_key(paid, ["user_id"], [F.col("created_at").desc(), F.col("id").desc()]) \
         .select(F.col("user_id").alias("o_user"), F.col("product").alias("course_plan"),

@@ -159,3 +159,14 @@ def test_lesson_catalog_for_some_users(spark, fx):
     assert sorted(map(tuple, some.collect())) == \
         sorted(map(tuple, full.where("user_id IN (1, 2)").collect()))
     assert some.count() == 2 * fx.lessons.count()
+
+
+def test_per_user_views_for_some_users(spark, fx):
+    ids = spark.createDataFrame([(4,), (8,), (12,)], "user_id long")
+    for some, full in (
+            (courses.progress_summary(fx.course_progress, fx.lessons, user_ids=ids),
+             courses.progress_summary(fx.course_progress, fx.lessons)),
+            (users.user_entitlements(fx.users, fx.orders, fx.subscriptions, T(2001, 8, 1), user_ids=ids),
+             users.user_entitlements(fx.users, fx.orders, fx.subscriptions, T(2001, 8, 1)))):
+        want = full.where("user_id IN (4, 8, 12)")
+        assert sorted(map(str, some.collect())) == sorted(map(str, want.collect()))
