@@ -322,3 +322,12 @@ def test_partner_provisioning_in_batch_duplicates(spark):
                   key=lambda t: (t[0], str(t[1])))
     want = [(5, "bob5", "created"), (7, "bob5", "slug_conflict"), (8, "dan", "created")]
     assert rows == sorted(want, key=lambda t: (t[0], str(t[1])))
+
+
+def test_promo_resolution_case_variants_lowest_id_wins(spark):
+    codes = df(spark, [(7, "Sale", 30, None, True), (3, "SALE", 10, None, False)], PROMO)
+    parts = df(spark, [], PARTNERS)
+    us = df(spark, [], USERS)
+    req = df(spark, [(1, "sale")], "request_id long, code string")
+    out = [(r.outcome, r.discount) for r in promo.promo_resolution(req, codes, parts, us, AS_OF).collect()]
+    assert out == [("inactive", None)]

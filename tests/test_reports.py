@@ -170,3 +170,11 @@ def test_per_user_views_for_some_users(spark, fx):
              users.user_entitlements(fx.users, fx.orders, fx.subscriptions, T(2001, 8, 1)))):
         want = full.where("user_id IN (4, 8, 12)")
         assert sorted(map(str, some.collect())) == sorted(map(str, want.collect()))
+
+
+def test_sales_totals_with_open_date_bounds(spark):
+    rows = [o(i, "Essential", created=T(2001, 7, i)) for i in range(1, 11)]
+    u = df(spark, [(1, "a@x", "A", "user", True, T(2001, 1, 1))], USERS)
+    orders = df(spark, rows, ORDERS)
+    assert sales.sales_totals(orders, u, start="2001-07-05").collect()[0].total == 6
+    assert sales.sales_totals(orders, u, end="2001-07-05").collect()[0].total == 5
