@@ -7,10 +7,12 @@ watermark is needed for correctness, and the state is one row per progress key (
 size of the progress table itself).  Updates are appended by ``foreachBatch`` and
 read back with the same fold.
 
-The static sides (lessons, paid-order users, admins) are re-planned for every
-micro-batch, so an order paid while the stream runs unlocks later events; each batch
-therefore pays one pass over those lookups (reduced to distinct keys before the join).
-A longer trigger interval amortises it when the orders table is very large.
+The static sides (lessons, paid-order users, admins) are executed again for every
+micro-batch, as Spark does for stream-static joins: each batch pays one pass over those
+lookups (reduced to distinct keys before the join), and a longer trigger interval
+amortises it when the orders table is very large.  Rows changed in the static files are
+seen; a parquet DataFrame keeps the file list taken when it was created, so new files
+of those tables need a restart of the stream (its checkpoint makes that safe).
 """
 
 from __future__ import annotations
