@@ -10,9 +10,9 @@ read back with the same fold.
 The static sides (lessons, paid-order users, admins) are executed again for every
 micro-batch, as Spark does for stream-static joins: each batch pays one pass over those
 lookups (reduced to distinct keys before the join), and a longer trigger interval
-amortises it when the orders table is very large.  Rows changed in the static files are
-seen; a parquet DataFrame keeps the file list taken when it was created, so new files
-of those tables need a restart of the stream (its checkpoint makes that safe).
+amortises it when the orders table is very large.  A parquet DataFrame keeps the file
+list taken when it was created, so files added to those tables later are seen after a
+restart of the stream (its checkpoint makes the restart safe).
 """
 
 from __future__ import annotations
