@@ -66,7 +66,7 @@ B_RESETS = """
 SELECT id AS actor_id, CASE WHEN id % 3 = 0 THEN id + 1 END AS target_user_id
 FROM f_users WHERE id % 7 = 0 OR role = 'admin'"""
 
-B_ACCESS_USERS = "SELECT id AS user_id FROM f_users WHERE id % 9 = 0"
+B_ACCESS_USERS = "SELECT id AS user_id FROM f_users"
 
 B_PURGE_USERS = "SELECT id AS user_id FROM f_users WHERE id % 25 = 1 OR id = 150"
 PURGE_ACTOR = 150
