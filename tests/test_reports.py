@@ -178,3 +178,21 @@ def test_sales_totals_with_open_date_bounds(spark):
     orders = df(spark, rows, ORDERS)
     assert sales.sales_totals(orders, u, start="2001-07-05").collect()[0].total == 6
     assert sales.sales_totals(orders, u, end="2001-07-05").collect()[0].total == 5
+
+
+def test_public_materials_only_four_categories(spark, fx):
+    assert courses.material_listing(fx.materials, category="updates", public=True).count() == 0
+    assert courses.material_listing(fx.materials, category="nope", public=True).count() == 0
+    maps = courses.material_listing(fx.materials, category="maps", public=True)
+    assert maps.count() == fx.materials.where("category = 'maps'").count() > 0
+    assert "category" not in maps.columns
+
+
+def test_single_lesson_and_application_detail(spark, fx):
+    one = courses.lesson_outline(fx.lessons, fx.lesson_topics, fx.lesson_videos, lesson_id=3)
+    assert {r.lesson_id for r in one.collect()} == {3}
+    eng = courses.lesson_engagement(fx.lessons, fx.course_progress, lesson_id=3).collect()
+    assert [r.id for r in eng] == [3]
+    app_id = fx.partner_applications.first().id
+    detail = users.application_detail(fx.partner_applications, fx.users, app_id=app_id).collect()
+    assert [r.id for r in detail] == [app_id] and detail[0].user_email is not None
