@@ -902,3 +902,15 @@ SELECT * FROM f_promo_codes WHERE id NOT IN (SELECT id FROM ({B_PROMO_DELETES}))
 query("material_delete", sql=f"""
 SELECT * FROM f_materials WHERE id NOT IN (SELECT id FROM ({B_MATERIAL_DELETES}))
 """)(lambda fx: content.delete_by_key(fx.sql(B_MATERIAL_DELETES), fx.materials, "id")[0])
+
+B_TOPIC_DELETES = """
+SELECT CASE WHEN id % 12 = 0 THEN id + 1 ELSE id END AS id FROM f_lesson_topics WHERE id % 6 = 0"""
+B_VIDEO_DELETES = "SELECT id FROM f_lesson_videos WHERE id % 5 = 1"
+
+query("topic_delete", sql=f"""
+SELECT * FROM f_lesson_topics WHERE id NOT IN (SELECT id FROM ({B_TOPIC_DELETES}))
+""")(lambda fx: content.delete_by_key(fx.sql(B_TOPIC_DELETES), fx.lesson_topics, "id")[0])
+
+query("video_delete", sql=f"""
+SELECT * FROM f_lesson_videos WHERE id NOT IN (SELECT id FROM ({B_VIDEO_DELETES}))
+""")(lambda fx: content.delete_by_key(fx.sql(B_VIDEO_DELETES), fx.lesson_videos, "id")[0])
