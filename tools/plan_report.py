@@ -16,6 +16,8 @@ NODES = ["Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin",
          "ArrowEvalPython", "FlatMapGroupsInPandas"]
 # Iterative or streaming queries run actions while they are built.
 SKIP = {"payout_admission", "rate_limit_stream", "progress_stream"}
+# Queries whose formatted plan tree is printed in full.
+SHOWN = ["sales_daily_range", "session_retention", "promo_code_usage"]
 
 
 def main():
@@ -42,6 +44,9 @@ def main():
         print(f"| {name} | " + " | ".join(cells) + f" | {py or ''} |")
     print("\n`payout_admission`, `rate_limit_stream` and `progress_stream` run actions while")
     print("they are built (rounds, streams) and are described in README.md instead.")
+    for name in SHOWN:
+        tree = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().treeString()
+        print(f"\n## {name}\n\n```\n{tree.rstrip()}\n```")
 
 
 if __name__ == "__main__":
