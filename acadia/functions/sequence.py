@@ -52,6 +52,16 @@ def _laid_out(df: DataFrame, keys: list, order: list, partitions: int | None) ->
 SMALL_GROUP_ROWS = 2_000_000
 
 
+def _join_back(laid: DataFrame, summary: DataFrame, key_cols: list, cols: list) -> DataFrame:
+    """Join the per-(key, partition) summary back; NULL keys match NULL keys."""
+    s = summary.select(*[F.col(k).alias(f"_sk_{k}") for k in key_cols],
+                       F.col("_pid").alias("_spid"), *cols)
+    cond = laid["_pid"] == s["_spid"]
+    for k in key_cols:
+        cond = cond & laid[k].eqNullSafe(s[f"_sk_{k}"])
+    return laid.join(s, cond, "inner").drop("_spid", *[f"_sk_{k}" for k in key_cols])
+
+
 def largest_group(df: DataFrame, keys: list) -> int:
     g = df.groupBy(*keys) if keys else df.groupBy()
     row = g.count().agg(F.max("count").alias("m")).collect()[0]
@@ -86,8 +96,7 @@ def sequence_number(df: DataFrame, keys: list, order: list, name: str = "seq",
     w = Window.partitionBy(*key_cols).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summary = summary.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
-    out = laid.join(summary.select(*key_cols, "_pid", "_first", "_before"),
-                    [*key_cols, "_pid"], "inner")
+    out = _join_back(laid, summary, key_cols, ["_first", "_before"])
     return (out.withColumn(name, F.col("_before") + (F.col("_pos") - F.col("_first")) + 1)
             .drop("_pid", "_pos", "_first", "_before"))
 
@@ -113,7 +122,7 @@ def running_total(df: DataFrame, keys: list, order: list, value: str | Column,
     summary = summary.withColumn("_before", F.sum("_t").over(w) - F.col("_t"))
     local = Window.partitionBy(*key_cols, "_pid").orderBy("_pos") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = laid.withColumn("_local", F.sum("_v").over(local)) \
-        .join(summary.select(*key_cols, "_pid", "_before"), [*key_cols, "_pid"], "inner")
+    out = _join_back(laid.withColumn("_local", F.sum("_v").over(local)), summary, key_cols,
+                     ["_before"])
     return (out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local"))
             .drop("_pid", "_pos", "_v", "_local", "_before"))

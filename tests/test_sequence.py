@@ -62,3 +62,18 @@ def test_page_joined_equals_full_join_page(spark):
             got = [tuple(r) for r in page_joined(left, joiner, order, page_no, limit).collect()]
             want = [tuple(r) for r in page(joiner(left), order, page_no, limit).collect()]
             assert got == want, (term, page_no, limit)
+
+
+def test_null_keys_are_kept_as_a_group(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2, i * 10) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, k long, v long")
+    w = Window.partitionBy("k").orderBy("id")
+    ref = {r.id: (r.s, r.n) for r in d.select(
+        "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+        F.row_number().over(w).alias("n")).collect()}
+    rt = {r.id: r.run for r in running_total(d, ["k"], ["id"], "v", "run", partitions=4,
+                                             small_group_rows=None).collect()}
+    sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["id"], "seq", partitions=4,
+                                               small_group_rows=None).collect()}
+    assert rt == {i: s for i, (s, _) in ref.items()}
+    assert sq == {i: n for i, (_, n) in ref.items()}
