@@ -34,3 +34,14 @@ def test_read_domain_uses_declared_schema(spark, fx, tmp_path):
     assert df.where(F.col("paid_at") < dt.datetime(1996, 1, 1)).count() > 0
     write_version(_orders_table(fx).limit(5), base, "orders", "8")
     assert read_domain(spark, base, "orders", version="8").count() == 5
+
+
+def test_partitioned_version_prunes_folders(spark, fx, tmp_path):
+    base = str(tmp_path / "domain")
+    path = write_version(_orders_table(fx), base, "orders", "p1", partition_by=["status"])
+    orders = spark.read.parquet(path)
+    assert orders.count() == fx.orders.count()
+    q = orders.where(F.col("status") == "paid")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan and "(status" in plan
+    assert q.count() == fx.orders.where("status = 'paid'").count()
