@@ -6,15 +6,14 @@ all documents, how often each rule casts each vote on good and on bad documents,
 document is kept if the posterior probability that it is good is at least one half.  A few
 base limits still fail a document outright.
 
-The votes of a corpus have at most 3**len(RULES) patterns, so the estimation runs on a
-counted table of patterns, one aggregate per step; what comes to the driver are the rules'
-rates.
+The votes of a corpus have at most 3**len(RULES) patterns.  Estimation runs on the counted
+patterns of the documents that pass the base limits, as one SQL expression: a fold whose
+state is the prior and the rates, and whose step is one round of expectation and
+maximisation.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +26,16 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 # (name, bad if, good if); neither: the rule abstains.  Both are SQL over the statistics.
 RULES = [
-    ("length", "n_words < 50", "n_words >= 100"),
     ("repeats", "n_repeat_words > 0.4 * n_words", "n_repeat_words < 0.2 * n_words"),
     ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
     ("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
     ("word_size", "word_chars < 2 * n_words OR word_chars > 15 * n_words",
      "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
-    ("letters", "n_letters < 0.7 * word_chars", "n_letters > 0.85 * word_chars"),
+    ("marks", "n_symbols > 0.05 * word_chars", "n_symbols < 0.01 * word_chars"),
+    ("letters", "n_letters < 0.75 * word_chars", "n_letters > 0.93 * word_chars"),
     ("capitals", "n_upper > 0.4 * n_letters", "n_upper < 0.2 * n_letters"),
 ]
-STEPS, TOLERANCE = 40, 1e-5
+STEPS = 40
 
 
 def _let(value: Column, body) -> Column:
@@ -79,46 +78,55 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.col("w.repeat").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_letters", "n_upper")
 
 
-def _votes(stats: DataFrame) -> DataFrame:
-    """Adds ``v_<rule>``: 0 bad, 1 good, 2 abstains."""
-    return stats.withColumns({f"v_{n}": F.expr(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE 2 END") for n, bad, good in RULES})
+def _votes() -> Column:
+    """One vote per rule: 0 bad, 1 good, 2 abstains."""
+    return F.array(*[F.expr(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE 2 END") for _, bad, good in RULES])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _posterior(prior: float, rates: dict) -> Column:
-    """Probability that a document with these votes is good."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, _, _ in RULES:
-        good, bad = rates[name]
-        part = F.lit(0.0)
-        for v in range(3):
-            part = F.when(F.col(f"v_{name}") == v, F.lit(math.log(good[v] / bad[v]))).otherwise(part)
-        odds = odds + part
+def _posterior(votes: Column, model: Column) -> Column:
+    """Probability that a document with these votes is good.  ``model`` is a struct of the
+    ``prior`` and of the rates ``good`` and ``bad``, each by rule and vote."""
+    at = lambda rates, x, j: F.get(model[rates], 3 * j + x)
+    odds = F.log(model["prior"] / (1 - model["prior"])) + _total(
+        F.transform(votes, lambda x, j: F.log(at("good", x, j) / at("bad", x, j))))
     return 1 / (1 + F.exp(-odds))
 
 
-def estimate(patterns: DataFrame) -> tuple[float, dict]:
-    """Share of good documents and, per rule, its vote rates on good and on bad ones.
+def _step(model: Column, patterns: Column) -> Column:
+    """One round: weigh the patterns by their posterior, then count votes again, with one
+    document of each kind added to every count."""
+    def count(w: Column) -> Column:
+        def rates(sums: Column) -> Column:
+            def share(kind: str) -> Column:
+                one = lambda k: _total(F.transform(w, lambda p: F.when(
+                    F.get(p["v"], (k / 3).cast("int")) == k % 3, p[kind]).otherwise(0.0)))
+                return F.transform(F.sequence(F.lit(0), F.lit(3 * len(RULES) - 1)), lambda k: (one(k) + 1) / (sums[kind] + 3))
 
-    ``patterns`` has the ``v_<rule>`` columns and ``n``, the documents with these votes.  Each
-    step weighs the patterns by their posterior and counts again, with one document of
-    each kind added to every count.
-    """
-    prior, rates = 0.9, {name: ([0.02, 0.68, 0.3], [0.4, 0.3, 0.3]) for name, _, _ in RULES}
-    for _ in range(STEPS):
-        weighed = patterns.withColumn("g", F.col("n") * _posterior(prior, rates)).withColumn("b", F.col("n") - F.col("g"))
-        sums = [F.sum(F.when(F.col(f"v_{name}") == v, F.col(k)).otherwise(0.0)).alias(f"{k}_{name}_{v}")
-                for name, _, _ in RULES for v in range(3) for k in "gb"]
-        row = weighed.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *sums).first()
-        if row.g is None:
-            break
-        now = (row.g + 1) / (row.g + row.b + 2)
-        share = lambda k, name: [(row[f"{k}_{name}_{v}"] + 1) / (row[k] + 3) for v in range(3)]  # noqa: E731, B023
-        fresh = {name: (share("g", name), share("b", name)) for name, _, _ in RULES}
-        moved = max(abs(now - prior), *(abs(x - y) for name in fresh for new, old in zip(fresh[name], rates[name]) for x, y in zip(new, old)))
-        prior, rates = now, fresh
-        if moved < TOLERANCE:
-            break
-    return prior, rates
+            prior = (sums["g"] + 1) / (sums["g"] + sums["b"] + 2)
+            return F.struct(prior.alias("prior"), share("g").alias("good"), share("b").alias("bad"))
+
+        return _let(F.struct(_total(F.transform(w, lambda p: p["g"])).alias("g"),
+                             _total(F.transform(w, lambda p: p["b"])).alias("b")), rates)
+
+    def weigh(p: Column) -> Column:
+        return _let(_posterior(p["v"], model), lambda good: F.struct(
+            p["v"].alias("v"), (p["n"] * good).alias("g"), (p["n"] * (1 - good)).alias("b")))
+
+    return _let(F.transform(patterns, weigh), count)
+
+
+def estimate(judged: DataFrame) -> DataFrame:
+    """One row ``model``: the share of good documents and each rule's rates, estimated from
+    ``judged(votes)``.  Rules start as mostly right: a bad vote rare on good documents."""
+    start = F.struct(F.lit(0.9).alias("prior"), F.array(*[F.lit(x) for _ in RULES for x in (0.02, 0.68, 0.3)]).alias("good"),
+                     F.array(*[F.lit(x) for _ in RULES for x in (0.4, 0.3, 0.3)]).alias("bad"))
+    counted = judged.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
+    return counted.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), "n"))).alias("patterns")).select(
+        F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda m, _: _step(m, F.col("patterns"))).alias("model"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -129,10 +137,10 @@ def judge(docs: DataFrame) -> DataFrame:
     text has no words and fails.  Rows are judged one by one, so a repeated or null doc_id
     does no harm; other columns are ignored; an empty table gives no rows.
     """
-    stats = staged(_votes(statistics(docs)), "rule-votes")
-    votes = [f"v_{name}" for name, _, _ in RULES]
-    patterns = staged(stats.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1), "rule-patterns")
-    prior, rates = estimate(patterns)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = stats.withColumns({"base_failed": failed, "p_good": _posterior(prior, rates)})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop(*votes)
+    stats = staged(statistics(docs).withColumn("votes", _votes()).withColumn("base_failed", failed), "rule-votes")
+    model = estimate(stats.where("NOT base_failed")).first().model  # a dozen rates per kind
+    given = F.struct(F.lit(model.prior).alias("prior"), F.array(*map(F.lit, model.good)).alias("good"),
+                     F.array(*map(F.lit, model.bad)).alias("bad"))
+    judged = stats.withColumn("p_good", _posterior(F.col("votes"), given))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)).drop("votes")
