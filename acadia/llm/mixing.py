@@ -137,15 +137,15 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
             F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")]
     tokens = n_tokens(F.col("text"))
-    slim = staged(docs.select("doc_id", *leaf, tokens.alias("n_tokens"), F.xxhash64("text").alias("row_key"))
-                  .where("n_tokens > 0"), "mix-rows")
+    docs = docs.where(F.regexp_like("text", F.lit(TOKEN)))
+    slim = staged(docs.select("doc_id", *leaf, tokens.alias("n_tokens"), F.xxhash64("text").alias("row_key")), "mix-rows")
     leaves = staged(slim.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "mix-leaves")
     budgets = leaf_budgets(leaves, weights, budget, fraction, max_epochs)
     budgets = staged(budgets.select("*", F.expr("share div tokens").alias("full"), F.expr("share % tokens").alias("rest")), "mix-budgets")
     plan = staged(budgets.join(_cuts(slim, budgets, seed), LEVELS, "left")
                   .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "full", "rest", "cut", "cut_taken"), "mix-plan")
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.struct(*leaf).alias("_leaf"), tokens.alias("n_tokens")).where("n_tokens > 0")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.struct(*leaf).alias("_leaf"), tokens.alias("n_tokens"))
     on = [F.col(f"_leaf.{c}") == F.col(f"_{c}") for c in LEVELS]
     rows = rows.join(plan, on)
     place = F.struct(_order_key(seed, F.col("full")).alias("key"), F.col("doc_id").alias("doc_id"),
