@@ -39,9 +39,9 @@ def shingle_set(line: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, line_no, shingles, c1, c2``, one row per line that has a word."""
     lines = docs.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.where(F.regexp_like("line", F.lit(r"\S")))  # on the line: a filter on the set would compute it twice
     lines = lines.select("doc_id", "row_key", "line_no", shingle_set(F.col("line")).alias("shingles"))
-    return lines.where(F.size("shingles") > 0).select(
-        "*", F.xxhash64("shingles").alias("c1"), F.xxhash64(F.lit(1), "shingles").alias("c2"))
+    return lines.select("*", F.xxhash64("shingles").alias("c1"), F.xxhash64(F.lit(1), "shingles").alias("c2"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -120,10 +120,12 @@ def judge_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     named = lines.select("doc_id", "row_key", "line_no", "c1", "c2").join(groups, ["c1", "c2"], "left").select(
         "doc_id", "row_key", "line_no", F.coalesce("g1", "c1").alias("g1"), F.coalesce("g2", "c2").alias("g2"))
     named = staged(named, "line-groups")
-    first = named.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "row_key", "line_no")).alias("first"))
-    return named.join(first, ["g1", "g2"]).select(
-        "doc_id", "row_key", "line_no", "g1", "g2",
-        F.struct("doc_id", "row_key", "line_no").eqNullSafe(F.col("first")).alias("kept"))
+    first = named.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "row_key", "line_no")).alias("f"))
+    first = first.select("f.doc_id", "f.row_key", "f.line_no", F.lit(True).alias("first"))
+    # Joined by line, not by group: a group may hold a third of all lines.
+    same = named.alias("n").join(first.alias("f"), F.col("n.doc_id").eqNullSafe(F.col("f.doc_id"))
+                                 & (F.col("n.row_key") == F.col("f.row_key")) & (F.col("n.line_no") == F.col("f.line_no")), "left")
+    return same.select("n.doc_id", "n.row_key", "n.line_no", "n.g1", "n.g2", F.coalesce("f.first", F.lit(False)).alias("kept"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
