@@ -34,6 +34,7 @@ DEPTH = 8
 DEPTHS = (8, 6, 5, 4)
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
+BROADCAST_KEYS = 2_000_000
 NODE = 4 * DEPTH
 
 _SETS = "doc_id long, cls binary, label binary, n_shingles int"
@@ -68,10 +69,11 @@ def _sets(n: int):
         for batch in batches:
             for part in W.slices(batch, "text"):
                 hashes, offsets = W.shingles(part.column("text"), n)
+                labels = W.minhash(hashes, offsets, TREES * DEPTH).astype(">u4")
                 sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_class_key(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+                    [pa.array([_class_key(s) for s in sets], pa.binary()), pa.array([x.tobytes() for x in labels], pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "label", "shingles"])
     return run
 
 
@@ -106,7 +108,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 def _met(labels: np.ndarray, i: int, js: np.ndarray, tree: int, depth: int, before: int) -> np.ndarray:
     """Which ``js`` first meet ``i`` at this tree and depth."""
     same = labels[js] == labels[i]
-    new = ~same[:, :tree, :depth].all(axis=2).any(axis=1)
+    new = same[:, tree, :depth].all(axis=1) & ~same[:, :tree, :depth].all(axis=2).any(axis=1)
     if before:
         new &= ~same[:, :, :before].all(axis=2).any(axis=1)
     return new
@@ -196,20 +198,22 @@ def _link_batch(out: list[tuple]) -> pa.RecordBatch:
                                       names=["kind", "cls", "other", "links", "found", "expected"])
 
 
+def _members(classes: DataFrame, depth: int) -> DataFrame:
+    """``cls, n_shingles, size, tree, node``: the trie node of each class in each tree.  A node
+    is named by a hash of its tree and prefix; where the prefixes meet, ``_met`` looks."""
+    trees = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    prefix = F.substring("label", F.col("tree") * NODE + 1, F.lit(4 * depth))
+    return trees.select("cls", "n_shingles", "size", "tree", F.xxhash64("tree", prefix).alias("node"))
+
+
 def _nodes(classes: DataFrame, depth: int) -> DataFrame:
     """Trie nodes of ``depth`` with more than one class.  Nodes with the same members are
     one node (the lowest tree's); ``x`` and ``y`` identify the member set."""
-    each = _members(classes, depth)
-    node = each.groupBy("tree", "prefix").agg(
-        F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("mass"),
+    node = _members(classes, depth).groupBy("node").agg(
+        F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long")).alias("mass"), F.min("tree").alias("tree"),
         F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")).where("n > 1")
-    first = node.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix", "mass")).alias("f"))
-    return first.select("n", "x", "y", "f.tree", "f.prefix", "f.mass")
-
-
-def _members(classes: DataFrame, depth: int) -> DataFrame:
-    return classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn(
-        "prefix", F.substring("label", F.col("tree") * NODE + 1, F.lit(4 * depth)))
+    first = node.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "node", "mass")).alias("f"))
+    return first.select("n", "x", "y", "f.node", "f.mass")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -234,15 +238,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         worded.groupBy("cls").agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"),
                                   F.min(F.struct("doc_id", "label")).alias("f"), F.max("n_shingles").alias("n_shingles"))
         .select("cls", "size", "rep", F.col("f.label").alias("label"), "n_shingles"), "join-classes")
-    slim = classes.select("cls", "label", "n_shingles")
 
     links, seen, before = None, None, 0
     for depth in DEPTHS:
-        nodes = _nodes(slim, depth)
+        nodes = _nodes(classes, depth)
         if seen is not None:  # the same members have met before
             nodes = nodes.join(seen, ["n", "x", "y"], "left_anti")
         nodes = staged(nodes, "join-nodes")
-        found = staged(_round(docs, rows, classes, nodes, n, threshold, depth, before), "join-links")
+        found = staged(_round(docs, classes, nodes, n, threshold, depth, before), "join-links")
         links = found if links is None else links.unionByName(found)
         keys = nodes.select("n", "x", "y")
         seen = keys if seen is None else seen.union(keys)
@@ -270,25 +273,27 @@ def _recall(links: DataFrame) -> float:
     return (row.f or 0.0) / ((row.e or 0.0) + 1)
 
 
-def _round(docs: DataFrame, rows: DataFrame, classes: DataFrame, nodes: DataFrame,
-           n: int, threshold: float, depth: int, before: int) -> DataFrame:
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if they are few enough; else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def _round(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, threshold: float, depth: int, before: int) -> DataFrame:
     """Verified new links among the members of ``nodes``."""
-    blocks = nodes.select(
-        "tree", "prefix", F.xxhash64("tree", "prefix", "x").alias("node"),
-        F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = (_members(classes.select("cls", "label", "n_shingles", "size", "rep"), depth)
-             .join(blocks, ["tree", "prefix"])
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    blocks = nodes.select("node", blocks.alias("blocks"))
+    dealt = (_members(classes, depth).join(_small(blocks), "node")
              .withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
-             .select("cls", "rep", "label", "size", "tree", "node", "block", "blocks"))
+             .select("cls", "size", "tree", "node", "block", "blocks"))
     dealt = staged(dealt, "join-dealt")
-    wanted = dealt.select("cls", "rep").distinct()
     # The row with the class's smallest doc_id brings its text; the task that reads it names
     # the class anew, so rows that share a doc_id cannot swap their sets.
-    wanted = dealt.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(n), "cls binary, shingles binary").where("cls IS NOT NULL")
+    met = dealt.select("cls").distinct()
+    wanted = staged(classes.select("cls", "rep").join(met, "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
+    texts = docs.join(_small(wanted), docs.doc_id.eqNullSafe(wanted.doc_id), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(n), "cls binary, label binary, shingles binary").where("cls IS NOT NULL")
     units = (dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("cls", "label", "size", "tree", "node", "block",
+             .select("cls", "size", "tree", "node", "block",
                      F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi")))
     full = units.join(sets, "cls")
     return (full.repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "cls")
