@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._store import staged
 
 LEVELS = ["domain", "lang", "source"]
-DOCS_PER_BUCKET = 4096
+DOCS_PER_BUCKET = 512
 TOKEN = r"[^ \t-\r]+"
 
 
@@ -104,7 +104,7 @@ def _cuts(slim: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     sums = part.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"))
     order = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("held").over(order), F.lit(0)))
-    at = sums.where("start < rest AND start + held >= rest").select(*LEVELS, "bucket", "start")
+    at = staged(sums.where("start < rest AND start + held >= rest").select(*LEVELS, "bucket", "start"), "mix-cut")
     inside = part.join(at, [*LEVELS, "bucket"])
     line = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens", "row_key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
