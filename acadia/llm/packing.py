@@ -28,7 +28,7 @@ from ._store import staged
 END = 2
 FINE, WIDTH = 128, 16  # bins: every length up to FINE, then steps of WIDTH
 SLACK = 16  # a pattern fills a window up to less than this
-CHUNK = 100_000
+CHUNK = 4096
 _PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
 _caches: dict[str, Vocabulary] = {}
 
