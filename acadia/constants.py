@@ -30,7 +30,7 @@ COOPERATION_TYPE_DEFAULT = "partner"
 MATERIAL_CATEGORIES = ("maps", "assets", "extra_maps", "extra_lessons", "updates")
 PUBLIC_MATERIAL_CATEGORIES = ("maps", "assets", "extra_maps", "extra_lessons")
 # Partner slugs: lower-case letters, digits and '-', 3 to 32 characters.
-SLUG_PATTERN = r"^[a-z0-9-]{3,32}$"
+SLUG_PATTERN = r"\A[a-z0-9-]{3,32}\z"
 # Generated partner slugs: at most 28 characters, fallback when nothing is left.
 GENERATED_SLUG_MAX = 28
 GENERATED_SLUG_FALLBACK = "partner"

@@ -19,10 +19,6 @@ Partition ids and positions are read in two branches (summary and rows), so the
 out frame is checkpointed once (reliable checkpoint in the session's checkpoint
 folder): both branches then see the same ids, and a lost executor re-reads the
 checkpoint instead of re-running a range shuffle whose placement could differ.
-
-Size check: when ``small_group_rows`` is given, one grouped count measures the largest
-key first.  If no key has more rows than that bound, a plain window (one task per key,
-now of proven size) is used; otherwise the range-partitioned plan above.
 """
 
 from __future__ import annotations
@@ -48,10 +44,6 @@ def _laid_out(df: DataFrame, keys: list, order: list, partitions: int | None) ->
             .checkpoint(eager=True))
 
 
-# Default bound on rows per key for the single-task window path.
-SMALL_GROUP_ROWS = 2_000_000
-
-
 def _join_back(laid: DataFrame, summary: DataFrame, key_cols: list, cols: list) -> DataFrame:
     """Join the per-(key, partition) summary back; NULL keys match NULL keys."""
     s = summary.select(*[F.col(k).alias(f"_sk_{k}") for k in key_cols],
@@ -62,31 +54,13 @@ def _join_back(laid: DataFrame, summary: DataFrame, key_cols: list, cols: list)
     return laid.join(s, cond, "inner").drop("_spid", *[f"_sk_{k}" for k in key_cols])
 
 
-def largest_group(df: DataFrame, keys: list) -> int:
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    row = g.count().agg(F.max("count").alias("m")).collect()[0]
-    return int(row["m"] or 0)
-
-
-def _window_ok(df: DataFrame, keys: list, small_group_rows: int | None,
-               largest: int | None = None) -> bool:
-    if not keys or small_group_rows is None:
-        return False
-    return (largest_group(df, keys) if largest is None else largest) <= small_group_rows
-
-
 def sequence_number(df: DataFrame, keys: list, order: list, name: str = "seq",
-                    partitions: int | None = None,
-                    small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """``row_number()`` within ``keys`` under ascending ``order``, 1-based, skew-safe.
 
     ``keys`` may be empty (one sequence over the whole frame).  ``order`` columns are
     ascending sort expressions (use a negated value for descending numeric order).
-    ``small_group_rows=None`` always takes the range-partitioned plan.
     """
-    if _window_ok(df, keys, small_group_rows):
-        w = Window.partitionBy(*keys).orderBy(*[_c(o) for o in order])
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
     laid = _laid_out(df, keys, order, partitions)
     key_cols = [k if isinstance(k, str) else None for k in keys]
     if None in key_cols:
@@ -102,27 +76,22 @@ def sequence_number(df: DataFrame, keys: list, order: list, name: str = "seq",
 
 
 def running_total(df: DataFrame, keys: list, order: list, value: str | Column,
-                  name: str = "running", partitions: int | None = None,
-                  small_group_rows: int | None = SMALL_GROUP_ROWS,
-                  largest: int | None = None) -> DataFrame:
+                  name: str = "running", partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` under ``order``, skew-safe.
 
-    ``small_group_rows=None`` always takes the range-partitioned plan; ``largest`` passes
-    an already measured largest group size.
+    Type and NULLs are those of ``sum(value) OVER (PARTITION BY keys ORDER BY order)``: a
+    NULL value adds nothing, and the total is NULL until the first value of the key.
     """
     key_cols = list(keys)
-    if _window_ok(df, key_cols, small_group_rows, largest):
-        w = Window.partitionBy(*key_cols).orderBy(*[_c(o) for o in order]) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(_c(value)).over(w))
+    kind = df.select(F.sum(_c(value)).alias("s")).schema["s"].dataType
     laid = _laid_out(df.withColumn("_v", _c(value)), key_cols, order, partitions)
     summary = laid.groupBy(*key_cols, "_pid").agg(F.sum("_v").alias("_t"))
-    w = Window.partitionBy(*key_cols).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summary = summary.withColumn("_before", F.sum("_t").over(w) - F.col("_t"))
+    past = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_before", F.sum("_t").over(past))
     local = Window.partitionBy(*key_cols, "_pid").orderBy("_pos") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = _join_back(laid.withColumn("_local", F.sum("_v").over(local)), summary, key_cols,
                      ["_before"])
-    return (out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local"))
+    total = F.coalesce(F.col("_before") + F.col("_local"), F.col("_before"), F.col("_local"))
+    return (out.withColumn(name, total.cast(kind))
             .drop("_pid", "_pos", "_v", "_local", "_before"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import (COOPERATION_TYPE_DEFAULT, GENERATED_SLUG_FALLBACK, GENERATED_SLUG_MAX,
                          SLUG_PATTERN)
 from ..functions.keys import flag_first, latest_per_key
+from ..functions.text import trimmed
 
 OPTIONAL_TEXT = ("telegram", "audience", "about", "experience", "social_links",
                  "traffic_source", "motivation", "comment")
@@ -28,7 +29,7 @@ def slug_availability(requests: DataFrame, applications: DataFrame,
     The slug is lower-cased and trimmed; it must match ``^[a-z0-9-]{3,32}$``; it is
     available when valid and held by no application and no partner.
     """
-    r = requests.withColumn("slug", F.trim(F.lower(F.coalesce(F.col("slug"), F.lit("")))))
+    r = requests.withColumn("slug", trimmed(F.lower(F.coalesce(F.col("slug"), F.lit("")))))
     taken = taken_slugs(applications, partners)
     j = r.join(taken, r["slug"] == taken["taken_slug"], "left")
     valid = F.col("slug").rlike(SLUG_PATTERN)
@@ -37,7 +38,7 @@ def slug_availability(requests: DataFrame, applications: DataFrame,
 
 
 def _blank_to_null(c: F.Column) -> F.Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(trimmed(c), F.lit(""))
 
 
 def application_admission(batch: DataFrame, applications: DataFrame,
@@ -58,9 +59,9 @@ def application_admission(batch: DataFrame, applications: DataFrame,
     present = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     b = (batch
          .withColumn("_required", present("name") & present("email") & present("slug"))
-         .withColumn("slug", F.trim(F.lower(F.col("slug"))))
-         .withColumn("email", F.lower(F.trim(F.col("email"))))
-         .withColumn("name", F.trim(F.col("name"))))
+         .withColumn("slug", trimmed(F.lower(F.col("slug"))))
+         .withColumn("email", F.lower(trimmed(F.col("email"))))
+         .withColumn("name", trimmed(F.col("name"))))
     for c in OPTIONAL_TEXT:
         if c in b.columns:
             b = b.withColumn(c, _blank_to_null(F.col(c)))
@@ -107,8 +108,8 @@ def partner_provisioning(promoted: DataFrame, users: DataFrame, partners: DataFr
     ``promoted``: (user_id, ts).  Users that already have a partner row are skipped
     (``skipped``).  The slug is ``base_slug``; if the base is held by a partner or
     application - or by an earlier promoted user of the batch with the same base - the
-    user id is appended.  Unlike the original, the final slug is checked as well: if it
-    is still held, the row is reported as ``slug_conflict`` and not created.
+    user id is appended.  Unlike the original, the final slug is checked as well: if it,
+    or its promo code, is still held, the row is reported as ``slug_conflict`` and not created.
     promo_code = upper(slug).  Returns every promoted user with slug, promo_code and
     ``outcome`` (created / skipped / slug_conflict / unknown_user), one row per promoted
     user (a user promoted twice counts once, at the first ``ts``); two users reaching
@@ -133,6 +134,9 @@ def partner_provisioning(promoted: DataFrame, users: DataFrame, partners: DataFr
     p = p.withColumn("slug", F.when(eligible, slug))
     p = p.join(taken.select(F.col("taken_slug").alias("_tf")),
                F.col("slug") == F.col("_tf"), "left")
+    held = partners.select(F.col("promo_code").alias("_hc")).where("promo_code IS NOT NULL").distinct()
+    p = p.join(held, F.upper(F.col("slug")) == F.col("_hc"), "left")
+    p = p.withColumn("_tf", F.coalesce("_tf", "_hc")).drop("_hc")
     # Two promoted users can still arrive at the same final slug: the first keeps it.
     p = flag_first(p, ["slug"], ["ts", "user_id"], "_first_slug",
                    when=eligible & F.col("_tf").isNull())

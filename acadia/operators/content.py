@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import MATERIAL_CATEGORIES
 from ..functions.keys import flag_first, latest_per_key
 from ..functions.sequence import sequence_number
+from ..functions.text import trimmed
 
 
 def _on(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -33,9 +34,9 @@ def append_ordered(batch: DataFrame, existing: DataFrame, text_col: str,
     ``sort_order`` (NULL when rejected) and ``reason``.  ``optional`` text columns are
     trimmed with blank -> NULL; ``flags`` are coerced to boolean (missing -> false).
     """
-    b = batch.withColumn(text_col, F.trim(F.col(text_col)))
+    b = batch.withColumn(text_col, trimmed(F.col(text_col)))
     for c in optional:
-        b = b.withColumn(c, F.nullif(F.trim(F.col(c)), F.lit("")))
+        b = b.withColumn(c, F.nullif(trimmed(F.col(c)), F.lit("")))
     for c in flags:
         b = b.withColumn(c, F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)))
     reason = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit("text_required"))
@@ -81,7 +82,7 @@ def sparse_patch(patches: DataFrame, table: DataFrame, key: str, columns: dict[s
     for c, kind in columns.items():
         v = F.col(c)
         if kind in ("required", "text", "optional"):
-            v = F.trim(v)
+            v = trimmed(v)
         if kind == "optional":
             v = F.nullif(v, F.lit(""))
         if kind == "int":

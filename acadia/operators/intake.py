@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import ts_lit
 from ..functions.keys import flag_first
 from ..functions.sequence import sequence_number
+from ..functions.text import trimmed
 
 
 def user_intake(batch: DataFrame, users: DataFrame, as_of) -> DataFrame:
@@ -19,8 +20,8 @@ def user_intake(batch: DataFrame, users: DataFrame, as_of) -> DataFrame:
     rows get ids ``max(users.id) + 1, 2, ...`` in batch order (skew-safe numbering).
     Returns every request with the would-be row and ``reason``.
     """
-    b = (batch.withColumn("email", F.lower(F.trim(F.coalesce(F.col("email"), F.lit("")))))
-         .withColumn("name", F.nullif(F.trim(F.col("name")), F.lit(""))))
+    b = (batch.withColumn("email", F.lower(trimmed(F.coalesce(F.col("email"), F.lit("")))))
+         .withColumn("name", F.nullif(trimmed(F.col("name")), F.lit(""))))
     present = F.col("email") != ""
     existing = users.select(F.col("email").alias("_ex")).distinct()
     b = b.join(existing, b["email"] == existing["_ex"], "left")

@@ -5,14 +5,14 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PAYOUT_COMMISSION, PAYOUT_MIN_AMOUNT, PAYOUT_UPDATE_STATUSES
 from ..functions.filters import ts_lit
-from ..functions.keys import latest_per_key
 from ..functions.money import money
-from ..functions.sequence import SMALL_GROUP_ROWS, largest_group, running_total
+from ..functions.sequence import running_total
+from ..functions.text import trimmed
 from ..session import checkpoint_dir
 
 RATE = "decimal(5,4)"
@@ -42,7 +42,7 @@ def payout_checks(requests: DataFrame, partners: DataFrame, rates: dict | None =
               .when(F.col("amount").isNull() | (F.col("amount") < F.lit(Decimal(min_amount))),
                     F.lit("min_amount"))
               .when(~F.coalesce(F.col("method").isin(*rates), F.lit(False)), F.lit("bad_method"))
-              .when(F.coalesce(F.trim(F.col("requisites")), F.lit("")) == "",
+              .when(F.coalesce(trimmed(F.col("requisites")), F.lit("")) == "",
                     F.lit("no_requisites")))
     rate = commission_rate(F.col("method"), rates)
     fee = money(F.col("amount") * rate)
@@ -54,8 +54,7 @@ def payout_checks(requests: DataFrame, partners: DataFrame, rates: dict | None =
 
 def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
                      rates: dict | None = None, min_amount=PAYOUT_MIN_AMOUNT,
-                     max_rounds: int | None = None,
-                     small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
+                     max_rounds: int | None = None) -> DataFrame:
     """Item 29. Admit payout requests per partner, in ``order``, against the balance.
 
     A request that passes the static checks is admitted when its amount is at most the
@@ -69,9 +68,7 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     current balance can never pass and is dropped.  Among the remaining candidates the
     running total of amounts (skew-safe, see ``functions.sequence``) admits the longest
     prefix that fits; the first candidate past it is rejected and the next round starts
-    after it with the lowered balance.  The running total is a plain window when the
-    largest partner's candidate count is under the helper's bound, and the
-    range-partitioned plan otherwise.  Every round admits at least one request per
+    after it with the lowered balance.  Every round admits at least one request per
     active partner, so a partner needs at most ``balance / min_amount + 1`` rounds;
     each round only touches the still-undecided candidates and is checkpointed to the
     session's checkpoint folder to cut lineage.
@@ -99,14 +96,12 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     rounds = 0
     while True:
         cand = cand.where(F.col("amount") <= F.col("_bal"))
-        largest = largest_group(cand, ["partner_id"])   # size check, also the stop test
-        if largest == 0:
+        if cand.isEmpty():
             break
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"payout admission did not settle in {max_rounds} rounds")
-        run = running_total(cand, ["partner_id"], okey, "amount", "_run",
-                            small_group_rows=small_group_rows, largest=largest)
+        run = running_total(cand, ["partner_id"], okey, "amount", "_run")
         # Materialise the round once: admitted rows, the cut per partner and the next
         # round's candidates are all read from it (and lineage stops here).
         run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)
@@ -138,10 +133,10 @@ def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFr
 
     ``updates``: key columns + status, reject_reason, ts.  Updates with a status outside
     processing/paid/rejected are rejected (``bad_status``), as are updates of unknown
-    payouts (``not_found``).  Per payout the latest valid update (ts) wins.  ``processed_at``
-    is set to ``as_of`` on paid/rejected and kept otherwise; ``reject_reason`` becomes the
-    supplied text or NULL.  A payout entering 'rejected' from another status refunds its
-    amount to the partner's balance (a repeated rejection refunds nothing).
+    payouts (``not_found``).  The valid updates of a payout apply in order (ts, status): the
+    last one gives status and ``reject_reason`` (empty becomes NULL); ``processed_at`` is
+    ``as_of`` if any of them is paid or rejected, and kept otherwise; each step into
+    'rejected' from another status refunds the amount to the partner's balance.
     """
     u = updates.withColumn("_valid", F.col("status").isin(*allowed))
     known = payouts.select(*[F.col(k).alias(f"_k_{k}") for k in key]).distinct()
@@ -154,10 +149,17 @@ def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFr
     rejects = u.where(~F.col("_valid") | ~F.col("_found")).select(
         *updates.columns, F.when(~F.col("_valid"), F.lit("bad_status"))
         .otherwise(F.lit("not_found")).alias("reason"))
-    last = latest_per_key(u.where(F.col("_valid") & F.col("_found")), key,
-                          [F.col("ts").desc(), F.col("status").desc()]) \
-        .select(*[F.col(k).alias(f"_u_{k}") for k in key],
-                F.col("status").alias("_new"), F.col("reject_reason").alias("_why"))
+    ok = u.where(F.col("_valid") & F.col("_found"))
+    ok = ok.withColumn("_prev", F.lag("status").over(Window.partitionBy(*key).orderBy("ts", "status")))
+    place = F.struct("ts", "status")
+    last = ok.groupBy(*key).agg(
+        F.max_by("status", place).alias("_new"),
+        F.max_by(F.struct(F.nullif(F.col("reject_reason"), F.lit("")).alias("t")), place).alias("_w"),
+        F.min_by("status", place).alias("_one"),
+        F.bool_or(F.col("status").isin("paid", "rejected")).alias("_stamped"),
+        F.count_if((F.col("status") == "rejected") & (F.col("_prev") != "rejected")).alias("_later"))
+    last = last.select(*[F.col(k).alias(f"_u_{k}") for k in key], "_new", F.col("_w.t").alias("_why"),
+                       "_one", "_stamped", "_later")
     on = None
     for k in key:
         c = payouts[k] == last[f"_u_{k}"]
@@ -168,10 +170,9 @@ def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFr
         j = j.withColumn("processed_at", F.lit(None).cast("timestamp"))
     if "reject_reason" not in payouts.columns:
         j = j.withColumn("reject_reason", F.lit(None).cast("string"))
-    stamped = F.when(hit & F.col("_new").isin("paid", "rejected"), ts_lit(as_of)) \
-        .otherwise(F.col("processed_at"))
-    refund = F.when(hit & (F.col("_new") == "rejected") & (F.col("status") != "rejected"),
-                    F.col("amount"))
+    stamped = F.when(hit & F.col("_stamped"), ts_lit(as_of)).otherwise(F.col("processed_at"))
+    entered = F.when((F.col("_one") == "rejected") & (F.col("status") != "rejected"), 1).otherwise(0) + F.col("_later")
+    refund = F.when(hit & (entered > 0), (F.col("amount") * entered.cast("int")).cast(payouts.schema["amount"].dataType))
     j = j.withColumn("_refund", refund)
     cols = [c for c in payouts.columns if c not in ("status", "processed_at", "reject_reason")]
     new_payouts = j.select(*cols, F.when(hit, F.col("_new")).otherwise(F.col("status")).alias("status"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import ts_lit
 from ..functions.keys import flag_first, latest_per_key
 from ..functions.money import money_sum
+from ..functions.text import trimmed
 
 
 def code_status(is_active: F.Column, expires_at: F.Column, as_of) -> F.Column:
@@ -45,7 +46,7 @@ def promo_resolution(requests: DataFrame, promo_codes: DataFrame, partners: Data
     partner promo code whose partner has a user gives ``partner`` with 0 %.  Else
     ``not_found``.  Both lookups are left joins against per-code unique frames.
     """
-    req = requests.withColumn("code", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
+    req = requests.withColumn("code", F.upper(trimmed(F.coalesce(F.col("code"), F.lit("")))))
     disc = (latest_per_key(promo_codes.withColumn("_k", F.upper(F.col("code"))), ["_k"],
                            [F.col("id").asc()])
             .select("_k", F.col("code").alias("discount_code"), "discount_percent",
@@ -78,11 +79,11 @@ def promo_code_load(batch: DataFrame, promo_codes: DataFrame, as_of=None) -> Dat
     """
     from ..constants import PROMO_DEFAULT_DISCOUNT, PROMO_DISCOUNT_RANGE
     lo, hi = PROMO_DISCOUNT_RANGE
-    parsed = F.regexp_extract(F.trim(F.col("discount").cast("string")), r"^([+-]?\d+)", 1)
+    parsed = F.regexp_extract(trimmed(F.col("discount").cast("string")), r"^([+-]?\d+)", 1)
     # Any number of digits parses (as decimal, no overflow error under ANSI); values that
     # do not fit an integer are simply out of range.
     num = F.when(parsed == "", F.lit(None)).otherwise(parsed.try_cast("decimal(38,0)"))
-    b = (batch.withColumn("code", F.upper(F.trim(F.coalesce(F.col("code"), F.lit("")))))
+    b = (batch.withColumn("code", F.upper(trimmed(F.coalesce(F.col("code"), F.lit("")))))
          .withColumn("_num", F.coalesce(F.nullif(num, F.lit(0)), F.lit(PROMO_DEFAULT_DISCOUNT)))
          .withColumn("discount", F.col("_num").try_cast("int")))
     valid_code = F.col("code") != ""

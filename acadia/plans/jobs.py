@@ -429,15 +429,15 @@ SELECT * FROM f_course_progress WHERE user_id NOT IN (SELECT uid FROM t WHERE ui
 
 query("access_grant", sql=f"""
 WITH req AS ({B_ACCESS_USERS}),
-todo AS (SELECT DISTINCT user_id FROM req WHERE user_id IS NOT NULL
+todo AS (SELECT DISTINCT user_id FROM req WHERE user_id IN (SELECT id FROM f_users)
          AND user_id NOT IN (SELECT user_id FROM f_orders WHERE status = 'paid' AND user_id IS NOT NULL)),
 top AS (SELECT coalesce(max(id), 0) AS m FROM f_orders)
 SELECT * FROM f_orders
 UNION ALL
-SELECT top.m + todo.user_id, todo.user_id, 'Essential', CAST(0 AS DECIMAL(12,2)), CAST(NULL AS BIGINT),
+SELECT top.m + row_number() OVER (ORDER BY todo.user_id), todo.user_id, 'Essential', CAST(0 AS DECIMAL(12,2)), CAST(NULL AS BIGINT),
        CAST(NULL AS VARCHAR), 'paid', {AS_OF_SQL}, {AS_OF_SQL}
 FROM todo CROSS JOIN top
-""")(lambda fx: access.access_grant(fx.sql(B_ACCESS_USERS), fx.orders, AS_OF))
+""")(lambda fx: access.access_grant(fx.sql(B_ACCESS_USERS), fx.orders, fx.users, AS_OF))
 
 query("access_revoke", sql=f"""
 WITH req AS ({B_ACCESS_USERS})

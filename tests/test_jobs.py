@@ -146,10 +146,8 @@ def test_payout_admission_equals_sequential_fold(spark, seed):
     rq = df(spark, reqs, "rid long, partner_id long, amount decimal(12,2), method string, requisites string")
     parts = df(spark, [(k, k * 10, f"p{k}", f"P{k}", v, v) for k, v in balances.items()], PARTNERS)
     want = _python_fold(reqs, balances, lambda r: r[0])
-    for bound in (None, 10**9):   # range-partitioned running total, then the window path
-        got = {r.rid: (r.reason, r.balance_after)
-               for r in payouts.payout_admission(rq, parts, ["rid"], small_group_rows=bound).collect()}
-        assert got == want
+    got = {r.rid: (r.reason, r.balance_after) for r in payouts.payout_admission(rq, parts, ["rid"]).collect()}
+    assert got == want
 
 
 def test_payout_commission_half_up(spark):
@@ -200,9 +198,11 @@ def test_progress_upsert_out_of_order_and_idempotent(spark):
 def test_access_grant_and_revoke(spark):
     orders = df(spark, [(10, 1, "Extra", D(5), None, None, "paid", AS_OF, AS_OF),
                         (11, 2, "Extra", D(5), None, None, "pending", AS_OF, None)], ORDERS)
-    ids = df(spark, [(1,), (2,), (2,)], "user_id long")
-    grants = access.access_grants(ids, orders, AS_OF).collect()
-    assert [(g.id, g.user_id, g.amount, g.status) for g in grants] == [(13, 2, D("0.00"), "paid")]
+    ids = df(spark, [(1,), (2,), (2,), (5,), (99,)], "user_id long")
+    us = df(spark, [(i, f"u{i}@x", "n", "user", True, AS_OF) for i in (1, 2, 5)], USERS)
+    grants = access.access_grants(ids, orders, us, AS_OF).collect()
+    assert sorted((g.id, g.user_id, g.amount, g.status) for g in grants) == [
+        (12, 2, D("0.00"), "paid"), (13, 5, D("0.00"), "paid")]   # 99 is no user; ids without gaps
     left = {r.id for r in access.access_revoke(ids, orders).collect()}
     assert left == {11}
 

@@ -21,13 +21,20 @@ def test_running_total_and_sequence_match_windows(spark):
     ref = {r.id: (r.s, r.n) for r in d.select(
         "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
         F.row_number().over(w).alias("n")).collect()}
-    for bound in (None, 10**9):   # range-partitioned plan, then the size-checked window
-        rt = {r.id: r.run for r in running_total(d, ["k"], ["v", "id"], "v", "run", partitions=16,
-                                                 small_group_rows=bound).collect()}
-        sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["v", "id"], "seq", partitions=16,
-                                                   small_group_rows=bound).collect()}
-        assert rt == {i: s for i, (s, _) in ref.items()}
-        assert sq == {i: n for i, (_, n) in ref.items()}
+    rt = {r.id: r.run for r in running_total(d, ["k"], ["v", "id"], "v", "run", partitions=16).collect()}
+    sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["v", "id"], "seq", partitions=16).collect()}
+    assert rt == {i: s for i, (s, _) in ref.items()}
+    assert sq == {i: n for i, (_, n) in ref.items()}
+
+
+def test_running_total_has_the_windows_type_and_nulls(spark):
+    from decimal import Decimal
+    rows = [(i, i % 2, None if i % 5 < 3 else Decimal(i)) for i in range(60)] + [(100 + i, 7, None) for i in range(9)]
+    d = spark.createDataFrame(rows, "id long, k long, v decimal(12,2)")
+    want = d.withColumn("run", F.sum("v").over(Window.partitionBy("k").orderBy("id")))
+    got = running_total(d, ["k"], ["id"], "v", "run", partitions=6)
+    assert got.schema["run"].dataType == want.schema["run"].dataType
+    assert {r.id: r.run for r in got.collect()} == {r.id: r.run for r in want.collect()}
 
 
 def test_hot_key_is_spread_over_partitions(spark):
@@ -71,9 +78,7 @@ def test_null_keys_are_kept_as_a_group(spark):
     ref = {r.id: (r.s, r.n) for r in d.select(
         "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
         F.row_number().over(w).alias("n")).collect()}
-    rt = {r.id: r.run for r in running_total(d, ["k"], ["id"], "v", "run", partitions=4,
-                                             small_group_rows=None).collect()}
-    sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["id"], "seq", partitions=4,
-                                               small_group_rows=None).collect()}
+    rt = {r.id: r.run for r in running_total(d, ["k"], ["id"], "v", "run", partitions=4).collect()}
+    sq = {r.id: r.seq for r in sequence_number(d, ["k"], ["id"], "seq", partitions=4).collect()}
     assert rt == {i: s for i, (s, _) in ref.items()}
     assert sq == {i: n for i, (_, n) in ref.items()}
