@@ -53,9 +53,16 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return signed.select("c1", "c2", "n", *bands)
 
 
-def _jaccard(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two sets is at least ``threshold``.
+
+    Sizes too unequal are told apart first.  The intersection then stands in one place only,
+    since a join condition computes an expression anew wherever it stands:
+    i / (n - i) >= t is i >= n * t / (1 + t), and i is whole.
+    """
+    n = F.size(a) + F.size(b)
+    wide = F.greatest(F.size(a), F.size(b)) * threshold <= F.least(F.size(a), F.size(b)) + 1e-9
+    return wide & (F.size(F.array_intersect(a, b)) >= F.ceil(n * (threshold / (1 + threshold)) - 1e-9))
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -78,7 +85,7 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
             .groupBy("c1", "c2").agg(F.first("shingles").alias("set")))
     sets = staged(sets.select(cls.alias("cls"), "set"), "line-sets")
 
-    near = _jaccard("set", "head_set") >= threshold
+    near = _alike("set", "head_set", threshold)
     heads = sets.select(F.col("cls").alias("head"), F.col("set").alias("head_set"))
     pairs = shared.where("cls != head").select("cls", "head").distinct()
     star = staged(pairs.join(sets, "cls").join(heads, "head").where(near)
@@ -93,9 +100,8 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     rest = staged(member.join(split, "band").join(sets, "cls").select("band", "cls", "set", "component", "main"), "line-rest")
     minor = rest.where("component != main").select(
         "band", F.col("cls").alias("a"), F.col("set").alias("a_set"), F.col("component").alias("a_component"))
-    wide = F.greatest(F.size("set"), F.size("a_set")) * threshold <= F.least(F.size("set"), F.size("a_set"))
-    more = (minor.join(rest, (minor.band == rest.band) & (F.col("a_component") != F.col("component")) & wide
-                       & (_jaccard("a_set", "set") >= threshold))
+    more = (minor.join(rest, (minor.band == rest.band) & (F.col("a_component") != F.col("component"))
+                       & _alike("a_set", "set", threshold))
             .select("a", F.col("cls").alias("b")))
     return star.union(more)
 
