@@ -32,7 +32,8 @@ MASKS = [((i * 2654435761 + 374761393) & 0xFFFFFFFF) - 0x80000000 for i in range
 
 def shingle_set(line: Column) -> Column:
     """Sorted 32-bit ids of the distinct character shingles of ``line`` (empty: no words)."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{SHINGLE}}}"), F.lit(1))
+    # Possessive quantifiers: nothing after them could fail, so no way back is remembered.
+    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}+))\S{{1,{SHINGLE}}}+"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.hash(s))))
 
 
