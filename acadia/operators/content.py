@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MATERIAL_CATEGORIES
-from ..functions.keys import flag_first, latest_per_key
+from ..functions.keys import flag_exists, flag_first, latest_per_key
 from ..functions.sequence import sequence_number
-from ..functions.text import trimmed
+from ..functions.text import leading_int, trimmed, truthy
 
 
 def _on(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -20,30 +20,35 @@ def _on(left: DataFrame, right: DataFrame, pairs) -> Column:
 
 def append_ordered(batch: DataFrame, existing: DataFrame, text_col: str,
                    parent: str | None = None, allowed_parents: tuple | None = None,
-                   order: tuple[str, str] = ("ts", "request_id"),
+                   parents: DataFrame | None = None, order: tuple[str, str] = ("ts", "request_id"),
                    optional: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
     """Item 39. Number new rows after the current maximum ``sort_order`` of their parent.
 
     ``batch``: request_id, ts, [parent], text column (+ extra columns kept as is).  The
     text is trimmed and required (``text_required``); with ``allowed_parents`` the parent
-    must be one of them (``bad_parent``, e.g. the five material categories).  Accepted
+    must be one of them (``bad_parent``, e.g. the five material categories); with
+    ``parents`` (column ``id``) it must be a row of that table (``parent_not_found``, the
+    foreign key of topics and videos; a NULL parent is not found).  Accepted
     rows get ``sort_order = coalesce(max existing in parent, 0) + n``, n = 1, 2, ... in
     batch order within the parent (for lessons, ``parent=None``: the whole table).
     The numbering is skew-safe (range-partitioned, see ``functions.sequence``) and runs
     over the batch only, never over the table.  Returns every request with
     ``sort_order`` (NULL when rejected) and ``reason``.  ``optional`` text columns are
-    trimmed with blank -> NULL; ``flags`` are coerced to boolean (missing -> false).
+    trimmed with blank -> NULL; ``flags`` become booleans (``functions.text.truthy``).
     """
     b = batch.withColumn(text_col, trimmed(F.col(text_col)))
     for c in optional:
         b = b.withColumn(c, F.nullif(trimmed(F.col(c)), F.lit("")))
     for c in flags:
-        b = b.withColumn(c, F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)))
+        b = b.withColumn(c, truthy(F.col(c), dict(batch.dtypes)[c]))
     reason = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit("text_required"))
     if allowed_parents is not None:
         reason = reason.when(~F.coalesce(F.col(parent).isin(*allowed_parents), F.lit(False)),
                              F.lit("bad_parent"))
-    b = b.withColumn("reason", reason)
+    if parents is not None:
+        b = flag_exists(b, parents, parent, "id", "_known")
+        reason = reason.when(~F.col("_known"), F.lit("parent_not_found"))
+    b = b.withColumn("reason", reason).drop("_known")
     keys = [parent] if parent else []
     ok = b.where(F.col("reason").isNull())
     numbered = sequence_number(ok, keys, list(order), "_n")
@@ -69,10 +74,12 @@ def sparse_patch(patches: DataFrame, table: DataFrame, key: str, columns: dict[s
 
     ``patches``: patch_id, ts, key, and for each patchable column ``c`` the value ``c``
     and a flag ``set_c`` (was the field supplied).  ``columns`` maps a column to its
-    kind: ``required`` (trimmed; blank rejected, as for a user name), ``text`` (trimmed,
-    kept as is), ``optional`` (trimmed, blank becomes NULL), ``int`` / ``bool`` (cast).
+    kind: ``required`` (trimmed; blank rejected, as for a user name), ``text`` (trimmed, a
+    blank one stored as ``''``, as for titles), ``optional`` (trimmed, blank becomes NULL),
+    ``int`` (the leading whole number), ``bool`` (``functions.text.truthy``).
     Rejected: ``empty`` (no field supplied), ``not_found`` (unknown key), ``blank``
-    (required text empty), ``too_long`` (over ``max_len``).  Accepted patches apply in
+    (required text empty, or ``text`` supplied as NULL), ``bad_number`` (no leading whole
+    number, or beyond int), ``too_long`` (over ``max_len``).  Accepted patches apply in
     ``order``: per column, the last supplied value wins.
     """
     max_len = max_len or {}
@@ -86,9 +93,9 @@ def sparse_patch(patches: DataFrame, table: DataFrame, key: str, columns: dict[s
         if kind == "optional":
             v = F.nullif(v, F.lit(""))
         if kind == "int":
-            v = v.try_cast("int")
+            v = leading_int(v)
         if kind == "bool":
-            v = v.try_cast("boolean")
+            v = truthy(v, dict(patches.dtypes)[c])
         p = p.withColumn(c, v)
     known = table.select(F.col(key).alias("_k")).distinct()
     p = p.join(known, p[key] == known["_k"], "left")
@@ -97,6 +104,10 @@ def sparse_patch(patches: DataFrame, table: DataFrame, key: str, columns: dict[s
         supplied = F.coalesce(F.col(f"set_{c}"), F.lit(False))
         if kind == "required":
             reason = reason.when(supplied & (F.coalesce(F.col(c), F.lit("")) == ""), F.lit("blank"))
+        if kind == "text":
+            reason = reason.when(supplied & F.col(c).isNull(), F.lit("blank"))
+        if kind == "int":
+            reason = reason.when(supplied & F.col(c).isNull(), F.lit("bad_number"))
         if c in max_len:
             reason = reason.when(supplied & (F.length(F.col(c)) > max_len[c]), F.lit("too_long"))
     p = p.withColumn("reason", reason)

@@ -72,7 +72,7 @@ B_PURGE_USERS = "SELECT id AS user_id FROM f_users WHERE id % 25 = 1 OR id = 150
 PURGE_ACTOR = 150
 
 B_TOPICS = """
-SELECT id AS request_id, lesson_id,
+SELECT id AS request_id, CASE WHEN id % 13 = 5 THEN lesson_id + 25 ELSE lesson_id END AS lesson_id,
        CASE WHEN id % 10 = 1 THEN '   ' ELSE concat('  ', title, ' ') END AS text,
        CAST(DATE '2001-07-01' AS TIMESTAMP) + INTERVAL '1' SECOND * CAST(id % 1000 AS INT) AS ts
 FROM f_lesson_videos"""
@@ -96,12 +96,14 @@ SELECT user_id * 1000 + lesson_id AS patch_id, lesson_id AS id,
        CASE WHEN user_id % 8 = 6 THEN '   ' ELSE concat(' Lesson ', CAST(lesson_id AS STRING), ' by ',
             CAST(user_id AS STRING), ' ') END AS title,
        user_id % 2 = 0 AS set_title,
-       CAST(100 + user_id % 50 AS INT) AS sort_order, user_id % 3 = 0 AS set_sort_order,
+       CASE WHEN user_id % 5 = 0 THEN 'last' WHEN user_id % 5 = 1 THEN '99999999999'
+            WHEN user_id % 5 = 2 THEN concat(' ', CAST(100 + user_id % 50 AS STRING), '.7px')
+            ELSE CAST(100 + user_id % 50 AS STRING) END AS sort_order, user_id % 3 = 0 AS set_sort_order,
        coalesce(viewed_at, CAST(DATE '2001-07-01' AS TIMESTAMP)) AS ts
 FROM f_course_progress
 UNION ALL
 SELECT -id AS patch_id, id + 1000 AS id, 'Ghost' AS title, TRUE AS set_title,
-       CAST(1 AS INT) AS sort_order, FALSE AS set_sort_order, CAST(DATE '2001-07-02' AS TIMESTAMP) AS ts
+       '1' AS sort_order, FALSE AS set_sort_order, CAST(DATE '2001-07-02' AS TIMESTAMP) AS ts
 FROM f_materials WHERE id % 50 = 2"""
 
 B_LESSON_SEEDS = """
@@ -144,11 +146,25 @@ SELECT id AS request_id, created_at AS ts,
        CASE WHEN id % 3 = 0 THEN '  ' ELSE name END AS name
 FROM f_users"""
 
-B_LESSON_DELETES = "SELECT id FROM f_lessons WHERE id % 4 = 0"
+# Twice as many lessons as anybody has opened, with the topics and videos spread over all of
+# them, so a delete finds blocked, free and unknown ids.
+B_COURSE_LESSONS = """
+SELECT id, title, sort_order, is_free FROM f_lessons
+UNION ALL SELECT CAST(id + 25 AS INT) AS id, title, sort_order, is_free FROM f_lessons"""
+B_COURSE_TOPICS = "SELECT id, CAST(id % 50 AS INT) AS lesson_id, text, sort_order FROM f_lesson_topics"
+B_COURSE_VIDEOS = "SELECT id, CAST(id % 50 AS INT) AS lesson_id, title, video_url, is_main, sort_order FROM f_lesson_videos"
+B_LESSON_DELETES = """
+SELECT id FROM f_lessons WHERE id % 4 = 0
+UNION ALL SELECT CAST(id * 3 + 20 AS INT) AS id FROM f_lessons"""
 
 B_ATTEMPTS = """
 SELECT id AS attempt_id, email, purpose, CASE WHEN id % 5 = 0 THEN '000000' ELSE code END AS code
-FROM f_otp_codes"""
+FROM f_otp_codes
+UNION ALL
+SELECT -id AS attempt_id, upper(concat(' ', email)) AS email, purpose, code FROM f_otp_codes WHERE id % 3 = 0"""
+# Within the months in which codes were issued, so that some are still good.
+AS_OF_CODES = dt.datetime(2001, 7, 15)
+AS_OF_CODES_SQL = "TIMESTAMP '2001-07-15 00:00:00'"
 
 AS_OF_LATE = dt.datetime(2001, 8, 15)
 AS_OF_LATE_SQL = "TIMESTAMP '2001-08-15 00:00:00'"
@@ -521,27 +537,43 @@ WHERE rn = 1
 """)(lambda fx: sessions.current_codes(fx.otp_codes, AS_OF))
 
 query("otp_code_check", sql=f"""
-WITH a AS ({B_ATTEMPTS}),
+WITH a AS (SELECT *, lower(trim(email)) AS address FROM ({B_ATTEMPTS})),
 c AS (SELECT *, CASE WHEN starts_with(purpose, 'change_email:') THEN 'change_email:'
                      ELSE purpose END AS kind FROM f_otp_codes),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email, kind, code
-                       ORDER BY created_at DESC, id DESC) AS rn FROM c) WHERE rn = 1)
-SELECT a.attempt_id, a.email, a.purpose, a.code, n.id AS code_id,
-       CASE WHEN n.id IS NULL THEN 'invalid' WHEN n.used THEN 'used'
-            WHEN {AS_OF_SQL} > n.expires_at THEN 'expired' ELSE 'ok' END AS result,
-       CASE WHEN starts_with(n.purpose, 'change_email:') THEN substr(n.purpose, 14) END AS new_email
-FROM a LEFT JOIN n ON n.email = a.email AND n.kind = a.purpose AND n.code = a.code
-""")(lambda fx: sessions.code_check(fx.sql(B_ATTEMPTS), fx.otp_codes, AS_OF))
+                       ORDER BY created_at DESC, id DESC) AS rn FROM c) WHERE rn = 1),
+m AS (SELECT a.attempt_id, a.email, a.purpose, a.code, n.id AS code_id, n.used, n.purpose AS full_purpose,
+             n.id IS NOT NULL AND NOT n.used AND {AS_OF_CODES_SQL} <= n.expires_at AS good
+      FROM a LEFT JOIN n ON n.email = a.address AND n.kind = a.purpose AND n.code = a.code)
+SELECT attempt_id, email, purpose, code, code_id,
+       CASE WHEN code_id IS NULL THEN 'invalid' WHEN used THEN 'used' WHEN NOT good THEN 'expired'
+            WHEN row_number() OVER (PARTITION BY code_id, good ORDER BY attempt_id) > 1 THEN 'used'
+            ELSE 'ok' END AS result,
+       CASE WHEN starts_with(full_purpose, 'change_email:') THEN substr(full_purpose, 14) END AS new_email
+FROM m
+""")(lambda fx: sessions.code_check(fx.sql(B_ATTEMPTS), fx.otp_codes, AS_OF_CODES))
+
+query("otp_codes_after_check", sql=f"""
+WITH good AS (
+  SELECT DISTINCT c.id FROM ({B_ATTEMPTS}) a JOIN f_otp_codes c
+    ON c.email = lower(trim(a.email)) AND c.purpose = a.purpose AND c.code = a.code
+  WHERE {AS_OF_CODES_SQL} <= c.expires_at
+    AND NOT EXISTS (SELECT 1 FROM f_otp_codes d WHERE d.email = c.email AND d.purpose = c.purpose
+                    AND d.code = c.code AND (d.created_at, d.id) > (c.created_at, c.id)))
+SELECT c.* REPLACE (c.used OR g.id IS NOT NULL AS used) FROM f_otp_codes c LEFT JOIN good g ON g.id = c.id
+""")(lambda fx: sessions.codes_after_check(fx.sql(B_ATTEMPTS), fx.otp_codes, AS_OF_CODES))
 
 # ------------------------------------------------------------ item 39: ordered append
 
 
 def _append_sql(batch: str, parent: str | None, text: str, table: str,
-                allowed: tuple | None = None) -> str:
+                allowed: tuple | None = None, parents: str | None = None) -> str:
     chk = f"WHEN coalesce(trim({text}), '') = '' THEN 'text_required'"
     if allowed:
         dom = ", ".join(f"'{a}'" for a in allowed)
         chk += f" WHEN {parent} IS NULL OR {parent} NOT IN ({dom}) THEN 'bad_parent'"
+    if parents:  # the insert breaks the foreign key
+        chk += f" WHEN NOT EXISTS (SELECT 1 FROM {parents} p WHERE p.id = req.{parent}) THEN 'parent_not_found'"
     part = f"PARTITION BY {parent}" if parent else ""
     top = (f"LEFT JOIN (SELECT {parent} AS par, max(sort_order) AS m FROM {table} GROUP BY {parent}) t"
            f" ON t.par = ok.{parent}") if parent else \
@@ -555,8 +587,9 @@ SELECT b.*, num.sort_order FROM b LEFT JOIN num ON num.request_id = b.request_id
 """
 
 
-query("append_topics", sql=_append_sql(B_TOPICS, "lesson_id", "text", "f_lesson_topics"))(
-    lambda fx: content.append_ordered(fx.sql(B_TOPICS), fx.lesson_topics, "text", "lesson_id"))
+query("append_topics", sql=_append_sql(B_TOPICS, "lesson_id", "text", "f_lesson_topics", parents="f_lessons"))(
+    lambda fx: content.append_ordered(fx.sql(B_TOPICS), fx.lesson_topics, "text", "lesson_id",
+                                      parents=fx.lessons))
 
 query("append_materials", sql=_append_sql(
     B_MATERIALS, "category", "title", "f_materials",
@@ -570,17 +603,19 @@ query("append_lessons", sql=_append_sql(B_LESSONS_NEW, None, "title", "f_lessons
 
 _PATCH_CTE = f"""
 p0 AS ({B_LESSON_PATCHES}),
-p AS (SELECT patch_id, id, trim(title) AS title, set_title, sort_order, set_sort_order, ts,
+n0 AS (SELECT *, TRY_CAST(regexp_extract(trim(sort_order), '^[+-]?[0-9]+') AS INT) AS number FROM p0),
+p AS (SELECT patch_id, id, trim(title) AS title, set_title, number AS sort_order, set_sort_order, ts,
         CASE WHEN NOT (coalesce(set_title, FALSE) OR coalesce(set_sort_order, FALSE)) THEN 'empty'
              WHEN id NOT IN (SELECT id FROM f_lessons) THEN 'not_found'
-             WHEN coalesce(set_title, FALSE) AND coalesce(trim(title), '') = '' THEN 'blank'
+             WHEN coalesce(set_title, FALSE) AND title IS NULL THEN 'blank'
+             WHEN coalesce(set_sort_order, FALSE) AND number IS NULL THEN 'bad_number'
         END AS reason
-      FROM p0)"""
+      FROM n0)"""
 
 
 def _lesson_patch(fx):
     return content.sparse_patch(fx.sql(B_LESSON_PATCHES), fx.lessons, "id",
-                                {"title": "required", "sort_order": "int"})
+                                {"title": "text", "sort_order": "int"})
 
 
 query("sparse_patch_lessons", sql=f"""
@@ -760,15 +795,15 @@ query("integrity_report", sql=_integrity_sql())(
 
 def _lesson_delete(fx):
     return content.delete_by_key(
-        fx.sql(B_LESSON_DELETES), fx.lessons, "id",
-        children={"lesson_topics": (fx.lesson_topics, "lesson_id"),
-                  "lesson_videos": (fx.lesson_videos, "lesson_id")},
+        fx.sql(B_LESSON_DELETES), fx.sql(B_COURSE_LESSONS), "id",
+        children={"lesson_topics": (fx.sql(B_COURSE_TOPICS), "lesson_id"),
+                  "lesson_videos": (fx.sql(B_COURSE_VIDEOS), "lesson_id")},
         blockers={"course_progress": (fx.course_progress, "lesson_id")})
 
 
 query("lesson_delete_report", sql=f"""
 WITH r AS (SELECT DISTINCT id FROM ({B_LESSON_DELETES}))
-SELECT r.id, CASE WHEN r.id NOT IN (SELECT id FROM f_lessons) THEN 'not_found'
+SELECT r.id, CASE WHEN r.id NOT IN (SELECT id FROM ({B_COURSE_LESSONS})) THEN 'not_found'
                   WHEN r.id IN (SELECT lesson_id FROM f_course_progress WHERE lesson_id IS NOT NULL)
                   THEN 'blocked' ELSE 'deleted' END AS outcome
 FROM r
@@ -776,16 +811,17 @@ FROM r
 
 query("lesson_delete_topics", sql=f"""
 WITH r AS (SELECT DISTINCT id FROM ({B_LESSON_DELETES})),
-g AS (SELECT id FROM r WHERE id IN (SELECT id FROM f_lessons)
+g AS (SELECT id FROM r WHERE id IN (SELECT id FROM ({B_COURSE_LESSONS}))
         AND id NOT IN (SELECT lesson_id FROM f_course_progress WHERE lesson_id IS NOT NULL))
-SELECT * FROM f_lesson_topics WHERE lesson_id IS NULL OR lesson_id NOT IN (SELECT id FROM g)
+SELECT * FROM ({B_COURSE_TOPICS}) WHERE lesson_id IS NULL OR lesson_id NOT IN (SELECT id FROM g)
 """)(lambda fx: _lesson_delete(fx)[1]["lesson_topics"])
 
 
 # ------------------------------------------------- more variants of items 39, 40, 42, 46
 
 B_VIDEOS_NEW = """
-SELECT id AS request_id, lesson_id, CASE WHEN id % 9 = 0 THEN ' ' ELSE text END AS title,
+SELECT id AS request_id, CASE WHEN id % 14 = 5 THEN NULL ELSE lesson_id END AS lesson_id,
+       CASE WHEN id % 9 = 0 THEN ' ' ELSE text END AS title,
        CASE WHEN id % 2 = 0 THEN '  ' ELSE concat(' https://video.example.test/n', CAST(id AS STRING), ' ') END
          AS video_url,
        id % 5 = 0 AS is_main,
@@ -796,7 +832,9 @@ query("append_videos", sql=f"""
 WITH req AS ({B_VIDEOS_NEW}),
 b AS (SELECT request_id, lesson_id, trim(title) AS title, nullif(trim(video_url), '') AS video_url,
              coalesce(is_main, FALSE) AS is_main, ts,
-             CASE WHEN coalesce(trim(title), '') = '' THEN 'text_required' END AS reason FROM req),
+             CASE WHEN coalesce(trim(title), '') = '' THEN 'text_required'
+                  WHEN NOT EXISTS (SELECT 1 FROM f_lessons p WHERE p.id = req.lesson_id)
+                  THEN 'parent_not_found' END AS reason FROM req),
 ok AS (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY ts, request_id) AS n
        FROM b WHERE reason IS NULL),
 num AS (SELECT ok.request_id, CAST(coalesce(t.m, 0) + ok.n AS INT) AS sort_order FROM ok
@@ -804,10 +842,11 @@ num AS (SELECT ok.request_id, CAST(coalesce(t.m, 0) + ok.n AS INT) AS sort_order
           ON t.par = ok.lesson_id)
 SELECT b.*, num.sort_order FROM b LEFT JOIN num ON num.request_id = b.request_id
 """)(lambda fx: content.append_ordered(fx.sql(B_VIDEOS_NEW), fx.lesson_videos, "title", "lesson_id",
-                                       optional=("video_url",), flags=("is_main",)))
+                                       parents=fx.lessons, optional=("video_url",), flags=("is_main",)))
 
 B_VIDEO_PATCHES = """
-SELECT id AS patch_id, id, concat(' ', title) AS title, id % 3 = 0 AS set_title,
+SELECT id AS patch_id, id, CASE id % 4 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE concat(' ', title) END AS title,
+       id % 3 = 1 AND id % 2 = 0 OR id % 12 = 1 AS set_title,
        CASE WHEN id % 2 = 0 THEN '   ' ELSE concat('https://cdn.example.test/', CAST(id AS STRING)) END
          AS video_url, id % 4 = 1 AS set_video_url,
        id % 7 = 0 AS is_main, id % 5 = 0 AS set_is_main,
@@ -817,7 +856,7 @@ FROM f_lesson_videos"""
 
 def _video_patch(fx):
     return content.sparse_patch(fx.sql(B_VIDEO_PATCHES), fx.lesson_videos, "id",
-                                {"title": "required", "video_url": "optional", "is_main": "bool"})
+                                {"title": "text", "video_url": "optional", "is_main": "bool"})
 
 
 query("sparse_patch_videos", sql=f"""
@@ -827,7 +866,7 @@ p AS (SELECT patch_id, id, trim(title) AS title, set_title, nullif(trim(video_ur
         CASE WHEN NOT (coalesce(set_title, FALSE) OR coalesce(set_video_url, FALSE)
                        OR coalesce(set_is_main, FALSE)) THEN 'empty'
              WHEN id NOT IN (SELECT id FROM f_lesson_videos) THEN 'not_found'
-             WHEN coalesce(set_title, FALSE) AND coalesce(trim(title), '') = '' THEN 'blank' END AS reason
+             WHEN coalesce(set_title, FALSE) AND title IS NULL THEN 'blank' END AS reason
       FROM p0),
 ok AS (SELECT * FROM p WHERE reason IS NULL)
 SELECT v.id, v.lesson_id,

@@ -20,12 +20,15 @@ EXPECTED = {
     "application_admission": ("reason", {None, "invalid_slug", "pending_exists", "required", "slug_taken"}),
     "payout_admission": ("reason", {None, "bad_method", "insufficient_balance", "min_amount", "no_requisites"}),
     "append_materials": ("reason", {None, "bad_parent", "text_required"}),
-    "sparse_patch_rejects": ("reason", {"blank", "empty", "not_found"}),
+    "append_topics": ("reason", {None, "parent_not_found", "text_required"}),
+    "append_videos": ("reason", {None, "parent_not_found", "text_required"}),
+    "lesson_delete_report": ("outcome", {"blocked", "deleted", "not_found"}),
+    "sparse_patch_rejects": ("reason", {"bad_number", "empty", "not_found"}),
     "sparse_patch_user_names": ("reason", {"blank", "empty", "too_long"}),
     "promo_code_load": ("reason", {None, "code_required", "discount_range", "duplicate"}),
     "user_intake": ("reason", {None, "duplicate", "email_required"}),
     "promo_code_usage": ("code_status", {"active", "disabled", "expired"}),
-    "otp_code_check": ("result", {"expired", "invalid", "used"}),
+    "otp_code_check": ("result", {"expired", "invalid", "ok", "used"}),
     "partner_purchases": ("product_class", {"deluxe", "essential", "extra", "other"}),
     "rate_limit_daily": ("over_limit", {False, True}),
     "active_sessions": ("expired", {False, True}),
@@ -33,8 +36,6 @@ EXPECTED = {
 HAND_MADE = {
     "partner_provisioning": "slug_conflict / unknown_user: test_partner_provisioning_slugs",
     "payout_admission": "partner_not_found: test_payout_admission_equals_sequential_fold",
-    "otp_code_check": "ok: test_code_check_states",
-    "lesson_delete_report": "deleted / not_found: test_delete_lessons_blocked_by_progress",
     "payout_status_rejects": "not_found: test_payout_status_second_rejection_refunds_once",
     "partner_approvals": "created / slug_conflict: test_approval_path below",
 }

@@ -262,6 +262,32 @@ def test_sparse_patch_null_versus_absent(spark):
     assert {r.patch_id: r.reason for r in rej.collect()} == {3: "empty", 4: "not_found", 5: "blank"}
 
 
+def test_sparse_patch_titles_numbers_flags(spark):
+    table = df(spark, [(1, "t", 1, True), (2, "u", 2, True)], "id long, title string, sort_order int, is_main boolean")
+    rows = [(1, 1, " \u00a0", True, None, False, None, False), (2, 1, None, False, " 12px", True, "no", True),
+            (3, 2, None, True, None, False, None, False), (4, 2, None, False, "abc", True, None, False),
+            (5, 2, None, False, "99999999999", True, None, False), (6, 2, None, False, "-3.9", True, "", True),
+            (7, 2, "x", True, None, True, None, False)]
+    patches = df(spark, [(r[0], T(2001, 1, r[0]), *r[1:]) for r in rows],
+                 "patch_id long, ts timestamp, id long, title string, set_title boolean, sort_order string, "
+                 "set_sort_order boolean, is_main string, set_is_main boolean")
+    new, rej = content.sparse_patch(patches, table, "id", {"title": "text", "sort_order": "int", "is_main": "bool"})
+    assert sorted(tuple(r) for r in new.collect()) == [(1, "", 12, True), (2, "u", -3, False)]
+    assert {r.patch_id: r.reason for r in rej.collect()} == {3: "blank", 4: "bad_number", 5: "bad_number",
+                                                             7: "bad_number"}
+
+
+def test_append_ordered_needs_its_parent(spark):
+    existing = df(spark, [(1, 1, "a", 4)], "id long, lesson_id int, text string, sort_order int")
+    lessons = df(spark, [(1, "l", 1, True)], LESSONS)
+    batch = df(spark, [(1, 1, "x", T(2001, 1, 1)), (2, 999, "y", T(2001, 1, 1)), (3, None, "z", T(2001, 1, 1)),
+                       (4, 999, " ", T(2001, 1, 1))], "request_id long, lesson_id int, text string, ts timestamp")
+    out = {r.request_id: (r.reason, r.sort_order)
+           for r in content.append_ordered(batch, existing, "text", "lesson_id", parents=lessons).collect()}
+    assert out == {1: (None, 5), 2: ("parent_not_found", None), 3: ("parent_not_found", None),
+                   4: ("text_required", None)}
+
+
 def test_delete_lessons_blocked_by_progress(spark):
     les = df(spark, [(1, "a", 1, True), (2, "b", 2, False)], LESSONS)
     topics = df(spark, [(10, 1, "x", 1), (11, 2, "y", 1)], "id long, lesson_id int, text string, sort_order int")
