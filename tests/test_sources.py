@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from acadia.operators import sales
-from acadia.sources.domain import DOMAIN_SCHEMAS, read_domain, write_version
+from acadia.sources.domain import DOMAIN_SCHEMAS, publish, read_domain, read_domain_tables, write_version
 
 
 def _orders_table(fx):
@@ -45,3 +47,28 @@ def test_partitioned_version_prunes_folders(spark, fx, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(status" in plan and "(status" in plan
     assert q.count() == fx.orders.where("status = 'paid'").count()
+
+
+def test_readers_follow_the_published_version(spark, fx, tmp_path):
+    base = str(tmp_path / "domain")
+    orders = _orders_table(fx).limit(9)
+    write_version(orders, base, "orders", "a")
+    with pytest.raises(FileNotFoundError):
+        read_domain(spark, base, "orders")
+    publish(spark, base, {"orders": "a"})
+    assert read_domain(spark, base, "orders").count() == 9
+    write_version(orders.limit(4), base, "orders", "b")
+    users = spark.createDataFrame([], DOMAIN_SCHEMAS["users"])
+    write_version(users, base, "users", "b")
+    assert read_domain(spark, base, "orders").count() == 9  # written, not published
+    publish(spark, base, {"orders": "b", "users": "b"})
+    both = read_domain_tables(spark, base, ["orders", "users"])
+    assert both["orders"].count() == 4 and both["users"].count() == 0
+    assert both["orders"].columns == DOMAIN_SCHEMAS["orders"].fieldNames()
+    assert read_domain(spark, base, "orders", version="a").count() == 9
+
+
+def test_read_domain_of_a_plain_export(spark, fx, tmp_path):
+    base = str(tmp_path / "export")
+    _orders_table(fx).limit(3).write.parquet(base + "/orders")
+    assert read_domain(spark, base, "orders").count() == 3
