@@ -327,6 +327,28 @@ def test_integrity_report_finds_injected_violations(spark):
     assert rep[("foreign_key", "orders", "user_id->users.id")] == 1
     assert rep[("enum", "orders", "status")] == 1
     assert rep[("not_null", "orders", "amount")] == 0
+    assert rep[("unique", "partners", "slug")] is None  # no such table given
+    assert rep[("foreign_key", "orders", "referral_partner_id->partners.id")] is None
+    assert rep[("not_null", "users", "updated_at")] is None
+
+
+def test_integrity_report_keys(spark):
+    """Composite keys, NULL keys, repeated parents, an empty child and code purposes."""
+    us = df(spark, [(1, "a", "n", "user", True, AS_OF), (1, "b", "n", "user", True, AS_OF)], USERS)
+    les = df(spark, [(1, "a", 1, True)], LESSONS)
+    prog = df(spark, [(1, 1, True, False, None, None)] * 3 + [(None, 1, True, False, None, None)] * 2
+              + [(1, 7, True, None, None, None), (5, 7, True, False, None, None)], PROGRESS)
+    tokens = df(spark, [], "id long, user_id long, token_hash string, expires_at timestamp, created_at timestamp")
+    codes = df(spark, [("login",), ("change_email:a@x",), ("other",), (None,)], "purpose string")
+    rep = {(r.check, r.table_name, r.column_name): r.violations for r in integrity.integrity_report(
+        {"users": us, "lessons": les, "course_progress": prog, "refresh_tokens": tokens, "otp_codes": codes}).collect()}
+    assert rep[("unique", "course_progress", "user_id,lesson_id")] == 2
+    assert rep[("foreign_key", "course_progress", "user_id->users.id")] == 1
+    assert rep[("foreign_key", "course_progress", "lesson_id->lessons.id")] == 2
+    assert rep[("not_null", "course_progress", "completed")] == 1
+    assert rep[("unique", "refresh_tokens", "token_hash")] == 0
+    assert rep[("foreign_key", "refresh_tokens", "user_id->users.id")] == 0
+    assert rep[("enum", "otp_codes", "purpose")] == 1 and rep[("not_null", "otp_codes", "purpose")] == 1
 
 
 def test_promo_code_load_huge_discount_is_out_of_range(spark):
