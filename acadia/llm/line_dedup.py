@@ -1,69 +1,159 @@
-"""Fuzzy line dedup, in DataFrame functions only.
-
-Every line of every text becomes its set of character shingles: up to ``SHINGLE``
-characters from the start of each word on (every ``SHINGLE`` characters inside longer runs
-without white space).  Lines with equal sets form one class.  A class is signed with
-``BANDS * ROWS`` MinHash minima; classes that agree on a band are candidates, the Jaccard
-similarity of the whole sets decides, and connected classes form a component, of which the
-first line is kept.
-
-Within a band the members are held against the band's most frequent class first.  Only
-members of different components then meet each other, in a join whose condition compares
-the sets, so a large group of near copies neither makes a row for each of its pairs nor
-meets in one task (the join is one that Spark can split).
+"""Fuzzy line dedup.
+
+Every line of every text becomes its set of character shingles: all runs of ``SHINGLE``
+characters, one from each character on, overlapping; a shorter line is one shingle.  Lines
+with equal texts form one class.  A class is signed with ``BANDS * ROWS`` MinHash minima;
+classes that agree on a band are candidates, the Jaccard similarity of the whole sets
+decides, and connected classes form a component, of which the first line is kept.
+
+Shingles are hashed in numpy, on Arrow batches, and held for one batch only: what is stored
+and shuffled are texts of lines and band keys, a sixth of what the sets would take.
+
+Within a band the members are held against the band's most frequent class first.  Members
+outside of the band's main component then meet all members of other components, in blocks
+of bounded size, one task unit per pair of blocks, so a large group of near copies neither
+makes a row for each of its pairs nor meets in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._components import components
 from ._store import staged
+from .jaccard_join import _overlaps
 
 SHINGLE = 12
 BANDS = 6
 ROWS = 3
+BLOCK_LINES = 512
+BLOCK_CHARS = 1_000_000
+BATCH_BYTES = 1 << 20
 BROADCAST_KEYS = 2_000_000
 
 # Fixed masks: the minimum of (hash XOR mask) is one MinHash function per mask.
-MASKS = [((i * 2654435761 + 374761393) & 0xFFFFFFFF) - 0x80000000 for i in range(1, BANDS * ROWS + 1)]
+MASKS = [((i * 2654435761 + 374761393) & 0xFFFFFFFF) for i in range(1, BANDS * ROWS + 1)]
 
 
-def shingle_set(line: Column) -> Column:
-    """Sorted 32-bit ids of the distinct character shingles of ``line`` (empty: no words)."""
-    # Possessive quantifiers: nothing after them could fail, so no way back is remembered.
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}+))\S{{1,{SHINGLE}}}+"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.hash(s))))
+def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all character shingles of each line (with repeats), and each line's offsets
+    into them.  An empty line has one as well."""
+    raw, offsets = W.text_buffer(lines)
+    chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character starts
+    first, last = np.searchsorted(chars, offsets[:-1]), np.searchsorted(chars, offsets[1:])
+    counts = np.maximum(last - first - SHINGLE + 1, 1)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(first - cuts[:-1], counts) + np.arange(cuts[-1])
+    return W.word_hashes(raw, chars[at], chars[np.minimum(at + SHINGLE, np.repeat(last, counts))]), cuts
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, line_no, shingles, c1, c2``, one row per line that has a word."""
-    lines = docs.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.regexp_like("line", F.lit(r"\S")))  # on the line: a filter on the set would compute it twice
-    lines = lines.select("doc_id", "row_key", "line_no", shingle_set(F.col("line")).alias("shingles"))
-    return lines.select("*", F.xxhash64("shingles").alias("c1"), F.xxhash64(F.lit(1), "shingles").alias("c2"))
+def _minima(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    h = (hashes >> np.uint64(32)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat(h ^ np.uint32(m), cuts[:-1]) for m in MASKS], axis=1)
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """Per class: its number of lines and one key per band."""
-    each = lines.select("c1", "c2", F.posexplode("shingles").alias("i", "h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)]
-    signed = each.groupBy("c1", "c2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *minima)
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return signed.select("c1", "c2", "n", *bands)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with one key per band, from the minima of its rows."""
+    for batch in batches:
+        for part in W.slices(batch, "line", BATCH_BYTES):
+            minima = _minima(*shingle_hashes(part.column("line"))).astype(np.uint64)
+            keys = np.zeros((part.num_rows, BANDS), dtype=np.uint64)
+            for b in range(BANDS):
+                keys[:, b] = b + 1
+                for r in range(ROWS):
+                    keys[:, b] = W.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * ROWS + r])
+            ends = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
+            bands = pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns, bands], names=[*part.schema.names, "bands"])
 
 
-def _alike(a: str, b: str, threshold: float) -> Column:
-    """Whether the Jaccard similarity of two sets is at least ``threshold``.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, line_no, line, c1, c2, bands``, one row per line that has a word."""
+    lines = docs.select(F.col("doc_id"), "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.where(F.regexp_like("line", F.lit(r"\S")))
+    lines = lines.select("doc_id", "row_key", "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(_signed, f"{kinds}, bands array<bigint>")
 
-    Sizes too unequal are told apart first.  The intersection then stands in one place only,
-    since a join condition computes an expression anew wherever it stands:
-    i / (n - i) >= t is i >= n * t / (1 + t), and i is whole.
-    """
-    n = F.size(a) + F.size(b)
-    wide = F.greatest(F.size(a), F.size(b)) * threshold <= F.least(F.size(a), F.size(b)) + 1e-9
-    return wide & (F.size(F.array_intersect(a, b)) >= F.ceil(n * (threshold / (1 + threshold)) - 1e-9))
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """Per class: its number of lines and one key per band."""
+    return lines.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+
+
+def _near(threshold: float):
+    """Pairs ``(a, b)`` of the rows whose lines ``line`` and ``head_line`` are alike."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "line", BATCH_BYTES):
+                (own, at), (other, to) = (shingle_hashes(part.column(c)) for c in ("line", "head_line"))
+                near = np.zeros(part.num_rows, dtype=bool)
+                for i in range(part.num_rows):
+                    a, b = np.unique(own[at[i]:at[i + 1]]), np.unique(other[to[i]:to[i + 1]])
+                    if threshold * max(len(a), len(b)) <= min(len(a), len(b)) + 1e-9:
+                        both = np.sort(np.concatenate([a, b]))
+                        shared = int((both[1:] == both[:-1]).sum())
+                        near[i] = shared >= threshold * (len(both) - shared) - 1e-9
+                near = pa.array(near)
+                yield pa.RecordBatch.from_arrays([part.column("cls").filter(near), part.column("head").filter(near)], names=["a", "b"])
+    return run
+
+
+def _verify_unit(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict]]:
+    """Both ends of the links that connect the components of one unit: a spanning forest."""
+    hashes, cuts = shingle_hashes(pa.array([r["line"] for r in rows], pa.string()))
+    sets = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    lens = np.array([len(s) for s in sets])
+    names = {}
+    component = np.array([names.setdefault((r["component"]["c1"], r["component"]["c2"]), len(names)) for r in rows])
+    minor = np.array([r["minor"] for r in rows])
+    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+    inter = _overlaps(sets, left, right)
+    close = inter >= threshold * (lens[left][:, None] + lens[right][None, :] - inter) - 1e-9
+    a, b = np.nonzero(close & (component[left][:, None] != component[right][None, :]))
+    a, b = left[a], right[b]
+    at = np.unique(component[a] * len(names) + component[b], return_index=True)[1]
+    parent, links = list(range(len(names))), ([], [])
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(a[at].tolist(), b[at].tolist()):
+        x, y = root(component[i]), root(component[j])
+        if x != y:
+            parent[x] = y
+            links[0].append(rows[i]["cls"])
+            links[1].append(rows[j]["cls"])
+    return links
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
+
+        def done():
+            a, b = _verify_unit(rows, threshold) if rows else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+        unit, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = (r["band"], r["i"], r["j"])
+                if key != unit:
+                    yield done()
+                    unit, rows = key, []
+                rows.append(r)
+        yield done()
+    return run
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -74,7 +164,7 @@ def _small(keys: DataFrame) -> DataFrame:
 def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` between classes (structs of c1, c2) whose lines are alike."""
     cls = F.struct("c1", "c2")
-    band = classes.select("c1", "c2", "n", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
+    band = classes.select("c1", "c2", "n", F.explode("bands").alias("band"))
     met = band.groupBy("band").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo != hi")
     met = staged(met.select("band"), "line-met")
     shared = band.join(_small(met), "band", "left_semi").select("band", "n", cls.alias("cls"))
@@ -82,28 +172,34 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     shared = staged(shared.join(head, "band").select("band", "cls", "head"), "line-bands")
 
     wanted = staged(shared.select("cls.c1", "cls.c2").distinct(), "line-wanted")
-    sets = (lines.select("c1", "c2", "shingles").join(_small(wanted), ["c1", "c2"], "left_semi")
-            .groupBy("c1", "c2").agg(F.first("shingles").alias("set")))
-    sets = staged(sets.select(cls.alias("cls"), "set"), "line-sets")
+    texts = (lines.select("c1", "c2", "line").join(_small(wanted), ["c1", "c2"], "left_semi")
+             .groupBy("c1", "c2").agg(F.first("line").alias("line")))
+    texts = staged(texts.select(cls.alias("cls"), "line"), "line-texts")
 
-    near = _alike("set", "head_set", threshold)
-    heads = sets.select(F.col("cls").alias("head"), F.col("set").alias("head_set"))
+    heads = texts.select(F.col("cls").alias("head"), F.col("line").alias("head_line"))
     pairs = shared.where("cls != head").select("cls", "head").distinct()
-    star = staged(pairs.join(sets, "cls").join(heads, "head").where(near)
-                  .select(F.col("cls").alias("a"), F.col("head").alias("b")), "line-star")
+    name = "struct<c1: bigint, c2: bigint>"
+    star = staged(pairs.join(texts, "cls").join(heads, "head").mapInArrow(_near(threshold), f"a {name}, b {name}"), "line-star")
 
     group = components(star)
     member = (shared.join(group.withColumnRenamed("node", "cls"), "cls", "left")
               .withColumn("component", F.coalesce("component", "cls")))
-    split = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                       F.max_by("component", F.col("cls") == F.col("head")).alias("main"))
-    split = split.where("lo != hi").select("band", "main")
-    rest = staged(member.join(split, "band").join(sets, "cls").select("band", "cls", "set", "component", "main"), "line-rest")
-    minor = rest.where("component != main").select(
-        "band", F.col("cls").alias("a"), F.col("set").alias("a_set"), F.col("component").alias("a_component"))
-    more = (minor.join(rest, (minor.band == rest.band) & (F.col("a_component") != F.col("component"))
-                       & _alike("a_set", "set", threshold))
-            .select("a", F.col("cls").alias("b")))
+    member = staged(member.join(texts.select("cls", F.length("line").alias("chars")), "cls"), "line-members")
+    main = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                      F.max_by("component", F.col("cls") == F.col("head")).alias("main"))
+    rest = member.join(main.where("lo != hi").select("band", "main"), "band")
+    minor = F.col("component") != F.col("main")
+    many = lambda own: F.greatest(F.ceil(F.sum(F.when(own, 1)) / BLOCK_LINES), F.ceil(F.sum(F.when(own, F.col("chars"))) / BLOCK_CHARS)).cast("int")
+    blocks = rest.groupBy("band").agg(many(minor).alias("minors"), many(F.lit(True)).alias("all"))
+    dealt = rest.join(blocks, "band").select("band", "cls", "component", "minors", "all", F.explode(
+        F.when(minor, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("minor"))
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("all"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("all")).otherwise(F.col("minors")) - 1))
+    units = dealt.select("band", "cls", "component", "minor", own.alias("own"), other.alias("other")).select(
+        "band", "cls", "component", "minor", F.when(F.col("minor"), F.col("own")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("minor"), F.col("other")).otherwise(F.col("own")).alias("j"))
+    more = (units.join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+            .mapInArrow(_verify(threshold), f"a {name}, b {name}"))
     return star.union(more)
 
 
