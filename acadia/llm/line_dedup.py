@@ -30,16 +30,13 @@ from ._store import staged
 from .jaccard_join import _overlaps
 
 SHINGLE = 12
-BANDS = 6
+BANDS = 8
 ROWS = 3
 BLOCK_LINES = 512
 BLOCK_CHARS = 1_000_000
 BATCH_BYTES = 1 << 20
 BROADCAST_KEYS = 2_000_000
 
-# Fixed masks: the minimum of (hash XOR mask) is one MinHash function per mask.
-MASKS = [((i * 2654435761 + 374761393) & 0xFFFFFFFF) for i in range(1, BANDS * ROWS + 1)]
-
 
 def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of each line (with repeats), and each line's offsets
@@ -53,21 +50,22 @@ def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(raw, chars[at], chars[np.minimum(at + SHINGLE, np.repeat(last, counts))]), cuts
 
 
-def _minima(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    return np.stack([np.minimum.reduceat(h ^ np.uint32(m), cuts[:-1]) for m in MASKS], axis=1)
+def band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """One key per row and band, from the minima of the row's hashes."""
+    minima = W.minhash(hashes, cuts, BANDS * ROWS).astype(np.uint64)
+    keys = np.empty((len(cuts) - 1, BANDS), dtype=np.uint64)
+    for b in range(BANDS):
+        keys[:, b] = b + 1
+        for r in range(ROWS):
+            keys[:, b] = W.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * ROWS + r])
+    return keys
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with one key per band, from the minima of its rows."""
+    """The batches with one key per band."""
     for batch in batches:
         for part in W.slices(batch, "line", BATCH_BYTES):
-            minima = _minima(*shingle_hashes(part.column("line"))).astype(np.uint64)
-            keys = np.zeros((part.num_rows, BANDS), dtype=np.uint64)
-            for b in range(BANDS):
-                keys[:, b] = b + 1
-                for r in range(ROWS):
-                    keys[:, b] = W.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * ROWS + r])
+            keys = band_keys(*shingle_hashes(part.column("line")))
             ends = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
             bands = pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*part.columns, bands], names=[*part.schema.names, "bands"])

@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 from acadia.llm import line_dedup
 
 
@@ -26,3 +29,13 @@ def test_unspaced_lines_meet_after_a_front_insertion(spark):
     rows = {r.doc_id: r for r in line_dedup.judge_lines(docs).collect()}
     assert {i for i, r in rows.items() if r.kept} == {i for i, s in enumerate(same) if i == s}
     assert all(((rows[a].g1, rows[a].g2) == (rows[b].g1, rows[b].g2)) == (same[a] == same[b]) for a, b in combinations(rows, 2))
+
+
+@pytest.mark.parametrize("shared, total", [(4, 5), (5, 6), (8, 10), (9, 11), (16, 20), (40, 50), (160, 200)])
+def test_bands_find_short_lines_as_often_as_long_ones(shared, total):
+    pool = np.random.default_rng(3).integers(0, 2**64, (20_000, total), dtype=np.uint64)
+    cut = shared + (total - shared) // 2
+    sides = (pool[:, :cut], np.concatenate([pool[:, :shared], pool[:, cut:]], axis=1))
+    a, b = (line_dedup.band_keys(np.ascontiguousarray(x).ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in sides)
+    found = (a == b).any(axis=1).mean()
+    assert found >= 0.99 and found == pytest.approx(1 - (1 - (shared / total) ** line_dedup.ROWS) ** line_dedup.BANDS, abs=0.003)
