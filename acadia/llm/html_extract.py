@@ -3,8 +3,11 @@
 The page is cut into blocks at block-level tags, one line of text each; what stands inside
 scripts, styles, forms, navigation, headers, footers, sidebars, notices, adverts and reader
 comments leaves an empty line.  Text lengths are summed over sliding windows of lines.
-Where the sums surge, a stretch of text begins; where they fall to nothing, it ends.  Link
-lists count as empty.  The stretches are the main text.
+A window surges if its sum reaches ``SURGE`` of the page's usual line, in which half of its
+text stands, or ``SURGE_CHARS``.  The lines of surging windows are the main text, with what
+stands between two surges if the sums do not fall to nothing there.  Short lines at the end
+of a stretch that are part of a longer run of short lines (a menu) are not.  Link lists
+count as empty.  A part that the page marks as its article is taken at its word.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3  # lines in a block
-SURGE = 1  # characters in a block from which text begins
+SURGE = 0.5  # share of the page's usual line in a block from which text begins,
+SURGE_CHARS = 86  # and the characters that always suffice
 LINK_SHARE = 0.7  # of a line's characters; from there on it is a list of links
 
 # Fixed values of HTML.
@@ -143,22 +147,52 @@ def text_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
+def page_lines(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """The page's lines, and whether it marks an article or a main part."""
+    return text_lines(page), bool(_MAIN.search(page))
+
+
+def _surge(size: list[int]) -> float:
+    """Characters of a surging block: from the line that half of the page's text reaches."""
+    above, half = 0, sum(size) / 2
+    for usual in sorted(size, reverse=True):
+        above += usual
+        if above >= half:
+            break
+    return max(1, min(SURGE_CHARS, SURGE * usual))
+
+
+def _stretches(size: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines (start, end) that hold the main text."""
+    n = len(size)
+    blocks, surge = [sum(size[j:j + WINDOW]) for j in range(n)], _surge(size)
+    found: list[list[int]] = []
+    for i in (j for j in range(n) if blocks[j] >= surge):
+        if found and (i <= found[-1][1] or all(blocks[j] for j in range(found[-1][1], i))):
+            found[-1][1] = min(n, i + WINDOW)
+        else:
+            found.append([i, min(n, i + WINDOW)])
+    out = []
+    for a, b in found:
+        long = [k for k in range(a, b) if size[k] >= surge]
+        first, last = (next(k for k in r if size[k]) for r in (range(a, b), range(b - 1, a - 1, -1)))
+        if long and any(size[max(0, first - WINDOW + 1):first]):  # no dive before the stretch: a run goes on there
+            a = long[0]
+        if long and any(size[last + 1:last + WINDOW]):
+            b = long[-1] + 1
+        out.append((a, b))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Text between the surges and dives of the page's line-block distribution."""
-    lines = text_lines(page or "")
+    lines, marked = page_lines(page or "")
     size = [0 if links >= LINK_SHARE * len(t) and links else len(t) for t, links in lines]
-    kept, n, i = [], len(size), 0
-    blocks = [sum(size[j:j + WINDOW]) for j in range(n)]
-    while i < n:
-        if blocks[i] < SURGE:
-            i += 1
-            continue
-        dive = i  # the stretch lasts while a block that begins in it holds text
-        while dive < n and blocks[dive] >= SURGE:
-            dive += 1
-        kept.extend(t for t, s in zip((t for t, _ in lines[i:dive]), size[i:dive]) if s)
-        i = dive
-    return " ".join(kept)
+    if not any(size):
+        return ""
+    if marked:
+        return " ".join(t for t, s in zip((t for t, _ in lines), size) if s)
+    return " ".join(lines[k][0] for a, b in _stretches(size) for k in range(a, b) if size[k])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
