@@ -42,6 +42,16 @@ MARKED = re.compile(
     r"topbar|footer|foot|copyright|comments?|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommended|"
     r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|skip|legal|disclaimer|tags)(?=$|[\s_-])", re.I)
 
+# Inside an article only names that no part of a text has, in class attributes of containers.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p"}
+MARKED_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|gdpr|popup|"
+    r"sidebars?|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|comments?|disqus|sharing|social|related|recommended|"
+    r"newsletter|subscribe|signup|pagination|pager|toolbar)(?=$|[\s_-])", re.I)
+# Whole class names of article elements that are not the page's article.
+SIDE_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|reply|replies|teasers?|related|recommended|promo)(?=$|\s)", re.I)
+ARTICLE_SHARE = 0.25  # of the page's text; articles that hold less are teasers or comments
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
@@ -55,7 +65,13 @@ def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and MARKED.search(value):
+        if name == "article":
+            named = key == "class" and SIDE_ARTICLE.search(value)
+        elif in_article:
+            named = key == "class" and name in CONTAINERS and MARKED_INSIDE.search(value)
+        else:
+            named = key in ("class", "id") and name not in ("body", "html", "main") and MARKED.search(value)
+        if named:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
@@ -66,13 +82,21 @@ def _is_chrome(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def text_lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines in order: (text, characters of it inside links).
+def _left_open(page: str, at: int, name: str, depth: int) -> bool:
+    """Whether ``depth`` open elements lack an end tag in the rest of the page."""
+    ends = [bool(m.group(2)) for m in _TOKEN.finditer(page, at) if m.group(3) and m.group(3).lower() == name]
+    return sum(ends) - (len(ends) - sum(ends)) < depth
+
 
-    Blocks that hold no article text leave an empty line.  If the page marks an article or
-    a main part, text outside of it counts as such a block.
+def text_lines(page: str, marked: bool) -> tuple[list[tuple[str, int]], int, bool]:
+    """The page's lines in order: (text, characters of it inside links); the number of
+    article elements with text, and whether there is a main part with text.
+
+    Blocks that hold no article text leave an empty line.  If ``marked``, text outside of
+    article and main parts counts as such a block.
     """
-    marked = bool(_MAIN.search(page))
+    articles, main, told, kinds = 0, False, True, []
+    open_skip = None  # whether the part that is left out lacks its end tag
     lines: list[tuple[str, int]] = []
     words: list[str] = []
     in_link = link_chars = inside = 0
@@ -84,9 +108,12 @@ def text_lines(page: str) -> list[tuple[str, int]]:
         words, link_chars = [], 0
 
     def text(raw: str):
-        nonlocal link_chars
+        nonlocal link_chars, articles, main, told
         if raw and not skip and (inside or not marked):
             words.append(raw)
+            if inside and raw.strip():
+                main = main or "main" in kinds
+                articles, told = articles + (not told), True
             if in_link and not marked:  # a marked article is taken at its word
                 link_chars += len(raw.strip())
 
@@ -109,7 +136,9 @@ def text_lines(page: str) -> list[tuple[str, int]]:
             continue
         closing, name, attrs = bool(m.group(2)), m.group(3).lower(), m.group(4) or ""
         if name in ("article", "main") and not closing and skip and skip[0] not in ("article", "main"):
-            if not inside:  # a part that was left open ends where the article begins
+            if open_skip is None:
+                open_skip = _left_open(page, m.start(), skip[0], len(skip))
+            if not inside and open_skip:  # a part that was left open ends where the article begins
                 skip.clear()
         block = name not in INLINE and name not in RAW and name != "br"
         if skip and (skip[0] == "p" and block or skip == ["li"] and name in ("li", "ul", "ol")):
@@ -130,12 +159,20 @@ def text_lines(page: str) -> list[tuple[str, int]]:
             close_line()
             if not closing and _is_chrome(name, attrs, bool(inside)):
                 skip.append(name)
+                open_skip = None
+                continue
+            if closing:
+                inside = max(0, inside - 1)
+                del kinds[inside:]
             else:
-                inside = max(0, inside + (-1 if closing else 1))
+                inside += 1
+                kinds.append(name)
+                told = name != "article" and told
             continue
         if not closing and name not in VOID and _is_chrome(name, attrs, bool(inside)):
             close_line()
             skip.append(name)
+            open_skip = None
             continue
         if name == "a":
             in_link = 0 if closing else 1
@@ -144,12 +181,22 @@ def text_lines(page: str) -> list[tuple[str, int]]:
         elif name not in INLINE:
             close_line()
     close_line()
-    return lines
+    return lines, articles, main
 
 
 def page_lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines, and whether it marks an article or a main part."""
-    return text_lines(page), bool(_MAIN.search(page))
+    """The page's lines, and whether it marks an article or a main part that holds its text."""
+    if _MAIN.search(page):
+        lines, articles, main = text_lines(page, True)
+        held = sum(len(t) for t, _ in lines)
+        if main:
+            return lines, True
+        if articles:
+            whole = text_lines(page, False)[0]
+            if held >= ARTICLE_SHARE * sum(len(t) for t, _ in whole):
+                return lines, True
+            return whole, False
+    return text_lines(page, False)[0], False
 
 
 def _surge(size: list[int]) -> float:

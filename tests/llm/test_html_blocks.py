@@ -27,3 +27,27 @@ def test_surge_follows_the_page():
     short = [f"line {i} of verse" for i in range(6)]
     assert html_extract.main_text(_divs(*short)) == " ".join(short)
     assert html_extract.main_text(_divs("x" * 5000, "", "", *LONG)) == " ".join(["x" * 5000, *LONG])
+
+
+@pytest.mark.parametrize("page", [
+    "<script>var s = '<main >';</script>" + _divs(*LONG), "<!-- <article> -->" + _divs(*LONG), '<div title="<article>">' + _divs(*LONG) + "</div>",
+    _divs(*LONG) + "<article class='comment'>I agree.</article><article class='comment'>So do I.</article>",
+    _divs(*LONG) + "<aside><article>A teaser</article></aside>", "<main></main>" + _divs(*LONG), "<article> </article>" + _divs(*LONG),
+])
+def test_a_named_article_without_the_text_hides_nothing(page):
+    assert html_extract.main_text(page) == " ".join(LONG)
+
+
+@pytest.mark.parametrize("tag", [
+    'section id="discussion"', 'section id="legal"', 'h2 id="related-work"', 'div class="header"', 'ul class="tags"', 'p class="search"',
+    'div class="side"', 'div class="replies"', 'h2 class="related"',
+])
+def test_names_inside_an_article_hide_no_text(tag):
+    assert html_extract.main_text(f"<article><p>A</p><{tag}>B</{tag.split()[0]}><p>C</p></article>") == "A B C"
+
+
+def test_teasers_do_not_stand_for_the_article():
+    teasers = "".join(f"<article><p>More {i}</p></article>" for i in range(3))
+    got = html_extract.main_text(_divs(*LONG) + "<div><div><div>" + teasers)
+    assert got.startswith(" ".join(LONG))
+    assert html_extract.main_text("<article><p>A</p><div class='newsletter'>no</div></article><p>out</p>") == "A"
