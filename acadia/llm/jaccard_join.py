@@ -4,11 +4,9 @@ Every text becomes its set of word ``n``-grams.  Texts with equal sets form one
 classes are what the join works on, so thousands of copies cost one row.  A class has
 ``TREES`` labels of ``DEPTH`` minima, the sorted prefix tries of the forest.  Classes that
 share a prefix of a trie are candidates.  The join starts at full depth and shortens the
-matched prefix; after each depth it verifies the candidates that are new and estimates,
-from the verified similarities, which share of all linked pairs it has found.  It stops
-when that share reaches the target, and at the latest at the depth where a pair that just
-meets the threshold is found with the target probability.  The estimate is taken over the
-hard links, those in the lower half of the similarities asked for.
+matched prefix; after each depth it verifies the candidates that are new.  It stops at the
+depth where a pair that just meets the threshold is found with the target probability;
+what other pairs there are does not matter.
 
 Verification compares the whole shingle sets.  Members of a trie node are dealt into blocks
 of bounded size, one task unit per pair of blocks, and a pair is compared only where it
@@ -31,14 +29,14 @@ from ._store import staged
 
 TREES = 12
 DEPTH = 8
-DEPTHS = (8, 6, 5, 4)
+DEPTHS = (8, 6, 5, 4, 3, 2, 1)
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
 BROADCAST_KEYS = 2_000_000
 NODE = 4 * DEPTH
 
 _SETS = "doc_id long, cls binary, label binary, n_shingles int"
-_LINKS = "kind int, cls binary, other binary, links long, found double, expected double"
+_LINKS = "kind int, cls binary, other binary, links long"
 
 
 def _class_key(own: np.ndarray) -> bytes | None:
@@ -115,7 +113,7 @@ def _met(labels: np.ndarray, i: int, js: np.ndarray, tree: int, depth: int, befo
 
 
 def _verify_unit(rows: list[dict], threshold: float, depth: int, before: int):
-    """Links among the members of one unit: counts per class, forest edges, recall sums."""
+    """Links among the members of one unit: counts per class and forest edges."""
     tree, cross = rows[0]["tree"], rows[0]["lo"] != rows[0]["hi"]
     size = np.array([r["size"] for r in rows])
     side = np.array([r["block"] == r["hi"] for r in rows])
@@ -125,7 +123,6 @@ def _verify_unit(rows: list[dict], threshold: float, depth: int, before: int):
     left = np.flatnonzero(~side) if cross else np.arange(len(rows))
     right = np.flatnonzero(side) if cross else left
     links, parent = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-    found = expected = 0.0
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -150,16 +147,12 @@ def _verify_unit(rows: list[dict], threshold: float, depth: int, before: int):
             others = right[js]
             links[i] += size[others].sum()
             links[others] += size[i]
-            j = inter[a, js] / union[a, js]
-            j = j[j <= (1 + threshold) / 2]
-            found += len(j)
-            expected += float((1 / (1 - (1 - j ** depth) ** TREES)).sum())
             for b in others:
                 x, y = root(int(i)), root(int(b))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     forest.append((int(i), int(b)))
-    return links, forest, found, expected
+    return links, forest
 
 
 def _verify(threshold: float, depth: int, before: int):
@@ -167,12 +160,10 @@ def _verify(threshold: float, depth: int, before: int):
         def done(rows):
             if len(rows) < 2:
                 return
-            links, forest, found, expected = _verify_unit(rows, threshold, depth, before)
+            links, forest = _verify_unit(rows, threshold, depth, before)
             at = np.flatnonzero(links)
-            out.extend((0, rows[i]["cls"], None, int(links[i]), 0.0, 0.0) for i in at)
-            out.extend((1, rows[a]["cls"], rows[b]["cls"], 0, 0.0, 0.0) for a, b in forest)
-            if found:
-                out.append((2, None, None, 0, found, expected))
+            out.extend((0, rows[i]["cls"], None, int(links[i])) for i in at)
+            out.extend((1, rows[a]["cls"], rows[b]["cls"], 0) for a, b in forest)
 
         unit, rows, out = None, [], []
         for batch in batches:
@@ -193,9 +184,9 @@ def _verify(threshold: float, depth: int, before: int):
 
 
 def _link_batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                      names=["kind", "cls", "other", "links", "found", "expected"])
+                                      names=["kind", "cls", "other", "links"])
 
 
 def _members(classes: DataFrame, depth: int) -> DataFrame:
@@ -225,8 +216,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     copies included; ``class_id`` is the smallest doc_id among all documents that links
     connect with it (its own if it has none).
 
-    Links between different sets are found with probability ``recall`` or more (estimated
-    per run, and guaranteed for pairs at the threshold); links between equal sets always.
+    Links between different sets are found with probability ``recall`` or more, those at
+    the threshold included; links between equal sets always.
     Null and empty texts and texts of white space have no grams and hence no links.  Rows
     that repeat a doc_id are separate documents.  A null doc_id is kept (class_id null
     unless linked).  Other columns are ignored.  An empty table gives no rows.
@@ -250,7 +241,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         keys = nodes.select("n", "x", "y")
         seen = keys if seen is None else seen.union(keys)
         before = depth
-        if _recall(links) >= recall or 1 - (1 - threshold ** depth) ** TREES >= recall:
+        if 1 - (1 - threshold ** depth) ** TREES >= recall:
             break
 
     group = components(links.where("kind = 1").select(F.col("cls").alias("a"), F.col("other").alias("b")))
@@ -265,14 +256,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _recall(links: DataFrame) -> float:
-    """Estimated share of the hard links (in the lower half of the similarities asked for)
-    that are found so far: each found one stands for 1/p of its kind, p being the chance
-    that the forest shows it by now; one more counts as missed, so few links prove little."""
-    row = links.where("kind = 2").agg(F.sum("found").alias("f"), F.sum("expected").alias("e")).first()
-    return (row.f or 0.0) / ((row.e or 0.0) + 1)
-
-
 def _small(keys: DataFrame) -> DataFrame:
     """``keys`` marked for broadcast if they are few enough; else the join shuffles."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
