@@ -36,12 +36,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    joined = jaccard_join.jaccard_join(docs)
-    surplus = staged(joined.where("doc_id != class_id").select("doc_id").distinct(), "surplus")
+    """One row of each group of near copies: the smallest by doc_id (nulls last) and text hash.
+
+    Rows are told apart by a key of their own, so rows that repeat a doc_id or have none are
+    separate documents here too.  The key is written once, as every reader must see the same.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    joined = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    linked = joined.where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    linked = staged(linked.join(rows.select("_row", order.alias("order")), "_row"), "linked")
+    first = linked.groupBy("class_id").agg(F.min("order").alias("order")).select("order._row")
+    surplus = staged(linked.select("_row").join(first, "_row", "left_anti"), "surplus")
     if surplus.count() <= BROADCAST_IDS:
         surplus = F.broadcast(surplus)
-    return docs.join(surplus, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(surplus, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
