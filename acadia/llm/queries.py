@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import chat, fingerprint, html_extract, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules, url_filter
+from . import (chat, fingerprint, html_extract, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules, structure_repair,
+               url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -201,3 +202,65 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, and its place in a sequence of 4096 tokens."""
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _repair_sql() -> str:
+    """The damage, the faults, costs from the last row to the first, then the edits in order."""
+    bit = "xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: {bit})), 4294967295)"""
+    keep = {"e": "CASE initial WHEN 's' THEN s WHEN 'u' THEN u END", "s": "CASE initial WHEN 'u' THEN u END",
+            "u": "CASE initial WHEN 'a' THEN a END", "a": "CASE initial WHEN 'u' THEN u END"}
+    after = {"e": "u", "s": "u", "u": "a", "a": "u"}
+    options = ", ".join(f"2 + {q} AS d{q}, CASE WHEN NOT gone THEN extra + {keep[q]} END AS k{q}, "
+                        f"CASE WHEN NOT gone THEN 1 + extra + {after[q]} END AS r{q}" for q in "esua")
+    best = ", ".join(f"least(d{q}, k{q}, r{q}) AS t{q}" for q in "esua")
+    least = "least(ta, 5 + tu) AS na, least(tu, 5 + ta) AS nu, least(te, 5 + tu, 10 + ta) AS ne, least(ts, 5 + tu, 10 + ta) AS ns"
+    letter = " || ".join(f"CASE n{q} WHEN d{q} THEN 'D' WHEN 5 + n{after[q]} THEN 'I' WHEN k{q} THEN 'K' ELSE 'R' END" for q in "esua")
+    return f"""
+    WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    k AS (SELECT *, {crc} % 20 AS kind FROM c),
+    d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+    f AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
+    g AS (SELECT *, left(role, 1) AS initial, bare = '' OR again AS gone,
+        CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS above FROM f),
+    n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (above IS NOT NULL AND above || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+    b AS (SELECT conv_id, n + 1 AS i, 0 AS e, 10 AS s, 5 AS u, 0 AS a, 'DIID' AS letters FROM n
+      UNION ALL
+      SELECT conv_id, i, ne, ns, nu, na, {letter}
+      FROM (SELECT *, {least} FROM (SELECT *, {best} FROM (SELECT g.conv_id, g.i, {options}
+        FROM b JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM g) g
+          ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND g.i = b.i - 1)))),
+    w AS (SELECT conv_id, 1::BIGINT AS i, 1 AS state, '' AS audit, '' AS said FROM n
+      UNION ALL
+      SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+        CASE letter WHEN 'D' THEN state WHEN 'K' THEN CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END
+          ELSE CASE state WHEN 3 THEN 4 ELSE 3 END END, audit || letter,
+        said || CASE letter WHEN 'D' THEN '' ELSE CASE said WHEN '' THEN '' ELSE chr(10) END || CASE letter WHEN 'K' THEN role
+          ELSE CASE state WHEN 3 THEN 'assistant' ELSE 'user' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END END
+      FROM (SELECT w.*, substr(b.letters, w.state, 1) AS letter, g.role, g.text, g.initial
+        FROM w JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = w.i
+        LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i
+        JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND NOT (w.i > n.n AND w.state IN (1, 4)))),
+    z AS (SELECT w.conv_id, n.gaps, n.blank, n.duplicate, n.truncated, n.illegal, b.e AS cost, w.audit, sha256(w.said) AS repaired_sha256
+      FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i > n.n AND w.state IN (1, 4)
+      JOIN b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.i = 1)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+      coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+      coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op11_structure_repair", _repair_sql())
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the contract's damage."""
+    return structure_repair.audit_damaged(read_table(spark, sf_dir, "conversations"))
