@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import (chat, fingerprint, hard_negatives, html_extract, jaccard_join, line_dedup, mixing, packing, quality_classifier, quality_rules, structure_repair,
+from . import (chat, fingerprint, hard_negatives, html_extract, jaccard_join, line_dedup, mixing, ngram_model, packing, quality_classifier, quality_rules, structure_repair,
                url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,6 +266,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.audit_damaged(read_table(spark, sf_dir, "conversations"))
 
 
+@query("op12_lm_scoring")
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a Kneser-Ney model of six sevenths of them."""
+    return ngram_model.held_out_scores(read_table(spark, sf_dir, "documents"))
+
+
 @query("op13_hard_negatives", """
     WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
