@@ -49,15 +49,17 @@ class Plain:
             self.of[k] = defaultdict(list)
             for g, c in counts.items():
                 self.of[k][g[:-1]].append(c)
+        self.after = {(k, h): (sum(found), sum(self.d[k][min(x, 3)] for x in found) / sum(found))
+                      for k, of in self.of.items() for h, found in of.items()}
 
     def p(self, gram):
         k = len(gram)
         if k == 0:
             return 1 / (len(self.raw) + 1)
-        d, found, c = self.d[k], self.of[k].get(gram[:-1], []), self.counts[k][gram]
-        if not found:
+        if (k, gram[:-1]) not in self.after:
             return self.p(gram[1:])
-        return (c - d[min(c, 3)]) / sum(found) + sum(d[min(x, 3)] for x in found) / sum(found) * self.p(gram[1:])
+        (total, left), c = self.after[k, gram[:-1]], self.counts[k][gram]
+        return (c - self.d[k][min(c, 3)]) / total + left * self.p(gram[1:])
 
     def score(self, text):
         padded = [0] * (self.order - 1) + _tokens(text)
