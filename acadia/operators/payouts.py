@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PAYOUT_COMMISSION, PAYOUT_MIN_AMOUNT, PAYOUT_UPDATE_STATUSES
+from ..functions.budget import admit
 from ..functions.filters import ts_lit
 from ..functions.money import money
-from ..functions.sequence import running_total
 from ..functions.text import trimmed
-from ..session import checkpoint_dir
 
 RATE = "decimal(5,4)"
 
@@ -54,7 +53,7 @@ def payout_checks(requests: DataFrame, partners: DataFrame, rates: dict | None =
 
 def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
                      rates: dict | None = None, min_amount=PAYOUT_MIN_AMOUNT,
-                     max_rounds: int | None = None) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """Item 29. Admit payout requests per partner, in ``order``, against the balance.
 
     A request that passes the static checks is admitted when its amount is at most the
@@ -63,68 +62,25 @@ def payout_admission(requests: DataFrame, partners: DataFrame, order: list[str],
     request with ``reason`` (NULL when admitted), the commission fields and, for
     admitted rows, ``balance_after``.
 
-    Plan: the sequential rule is computed exactly in rounds, without collecting a
-    partner's requests anywhere.  Balances only fall, so a candidate larger than the
-    current balance can never pass and is dropped.  Among the remaining candidates the
-    running total of amounts (skew-safe, see ``functions.sequence``) admits the longest
-    prefix that fits; the first candidate past it is rejected and the next round starts
-    after it with the lowered balance.  Every round admits at least one request per
-    active partner, so a partner needs at most ``balance / min_amount + 1`` rounds;
-    each round only touches the still-undecided candidates and is checkpointed to the
-    session's checkpoint folder to cut lineage.
+    Plan: requests that fail a check, or exceed even the starting balance, are decided
+    without ordering.  The others are laid out once by (partner, order) and judged in a
+    stream; a partner whose requests cross partitions is carried over by run summaries
+    (``functions.budget``), in at most log2(balance / min_amount) + 1 small jobs.
     """
-    spark = requests.sparkSession
-    checkpoint_dir(spark)
     checked = payout_checks(requests, partners, rates, min_amount)
-    is_cand = F.col("static_reason").isNull() & (F.col("amount") <= F.col("start_balance"))
-    # Requests that fail a static check, or exceed even the starting balance, are decided
-    # without any ordering; only candidates get a (frozen) id and take part in rounds.
-    decided = checked.where(~F.coalesce(is_cand, F.lit(False))).select(
+    is_cand = F.coalesce(F.col("static_reason").isNull() & (F.col("amount") <= F.col("start_balance")), F.lit(False))
+    fees = ["commission_rate", "commission_amount", "amount_to_receive"]
+    decided = checked.where(~is_cand).select(
         *requests.columns,
         F.coalesce(F.col("static_reason"), F.lit("insufficient_balance")).alias("reason"),
-        "commission_rate", "commission_amount", "amount_to_receive",
-        F.lit(None).cast("decimal(12,2)").alias("balance_after"))
-    # Only candidates take part in rounds.  Their ids are frozen at once by a checkpoint
-    # (one job assigns and writes them), so every later read and any retry sees the same
-    # ids; rounds then carry slim columns.
-    frozen = (checked.where(is_cand).withColumn("_rid", F.monotonically_increasing_id())
-              .withColumn("_bal", F.col("start_balance")).checkpoint(eager=True))
-    cand = frozen
-    okey = [*order, "_rid"]
-    slim = ["_rid", "partner_id", "amount", *order]
-    admitted_parts: list[DataFrame] = []
-    rounds = 0
-    while True:
-        cand = cand.where(F.col("amount") <= F.col("_bal"))
-        if cand.isEmpty():
-            break
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"payout admission did not settle in {max_rounds} rounds")
-        run = running_total(cand, ["partner_id"], okey, "amount", "_run")
-        # Materialise the round once: admitted rows, the cut per partner and the next
-        # round's candidates are all read from it (and lineage stops here).
-        run = run.withColumn("_fits", F.col("_run") <= F.col("_bal")).checkpoint(eager=True)
-        admitted_parts.append(run.where("_fits").select(
-            "_rid", (F.col("_bal") - F.col("_run")).cast("decimal(12,2)").alias("balance_after")))
-        cut = run.groupBy("partner_id").agg(
-            F.coalesce(F.max(F.when(F.col("_fits"), F.col("_run"))), F.lit(0)).alias("_used"),
-            F.min(F.when(~F.col("_fits"), F.struct(*okey))).alias("_stop"))
-        cand = (run.where(~F.col("_fits")).join(cut, "partner_id")
-                .where(F.struct(*okey) > F.col("_stop"))
-                .select(*slim, (F.col("_bal") - F.col("_used")).cast("decimal(12,2)").alias("_bal")))
-
-    out_cols = [*requests.columns, "commission_rate", "commission_amount", "amount_to_receive"]
-    if not admitted_parts:   # no candidate at all
-        return decided
-    admitted = admitted_parts[0]
-    for part in admitted_parts[1:]:
-        admitted = admitted.unionByName(part)
-    judged = frozen.select("_rid", *out_cols).join(admitted, "_rid", "left").select(
+        *fees, F.lit(None).cast("decimal(12,2)").alias("balance_after"))
+    cents = {"_cents": (F.col("amount") * 100).cast("long"), "_from": (F.col("start_balance") * 100).cast("long")}
+    judged = admit(checked.where(is_cand).select(*requests.columns, *fees, "start_balance").withColumns(cents).drop("start_balance"),
+                   "partner_id", order, "_cents", "_from", partitions)
+    return decided.unionByName(judged.select(
         *requests.columns,
-        F.when(F.col("balance_after").isNull(), F.lit("insufficient_balance")).alias("reason"),
-        "commission_rate", "commission_amount", "amount_to_receive", "balance_after")
-    return decided.unionByName(judged)
+        F.when(F.col("_left").isNull(), F.lit("insufficient_balance")).alias("reason"), *fees,
+        (F.col("_left") / F.lit(Decimal(100))).cast("decimal(12,2)").alias("balance_after")))
 
 
 def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFrame, as_of,
