@@ -33,7 +33,8 @@ from ..session import checkpoint_dir
 from . import _words as W
 from ._store import staged
 
-CHUNK_BYTES = 16 << 20  # text counted or scored at a time
+CHUNK_BYTES = 8 << 20  # text counted at a time; some twenty times that in arrays
+SCORED_BYTES = 4 << 20  # text scored at a time
 SHARD_BYTES = 16 << 20  # text whose n-grams make one shard
 MOST_SHARES = 1 << 16  # contexts are split from a share of one in this many tokens, or one shard's
 OPEN_MAPS = 256
@@ -165,14 +166,14 @@ def _fold(columns: list[np.ndarray], size: int) -> np.ndarray:
     return key
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined and cut to about CHUNK_BYTES of text."""
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut to about ``limit`` bytes of text."""
     held, size = [], 0
     for batch in batches:
-        for part in W.slices(batch, "text", CHUNK_BYTES):
+        for part in W.slices(batch, "text", limit):
             held.append(part)
             size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if size >= CHUNK_BYTES:
+            if size >= limit:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
     if held:
@@ -261,7 +262,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def _frequent(order: int, shares: int):
     """Contexts with at least one in ``2 * shares`` of a chunk's tokens, and the chunk's tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, CHUNK_BYTES):
             toks, offsets = tokens(chunk.column("text"))
             columns = _grams(toks, offsets, order)
             orders, keys, sizes = [0], [np.zeros(1, np.uint64)], [np.array([len(toks)])]
@@ -278,7 +279,7 @@ def _frequent(order: int, shares: int):
 
 def _count(order: int, hot: np.ndarray, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, CHUNK_BYTES):
             toks, offsets = tokens(chunk.column("text"))
             columns = _grams(toks, offsets, order)
             key = _fold(columns, len(toks))
@@ -451,7 +452,7 @@ def _probabilities(model: Model, maps: _Maps, toks: np.ndarray, offsets: np.ndar
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = _Maps(model)
-        for chunk in _chunks(batches):
+        for chunk in _chunks(batches, SCORED_BYTES):
             toks, offsets = tokens(chunk.column("text"))
             p, count = _probabilities(model, maps, toks, offsets)
             base = np.log10((count + 1) / (model.tokens + model.words + 1))

@@ -93,6 +93,7 @@ def _check(got, rows, order):
 @pytest.mark.parametrize("order, shard_bytes, chunk", [(2, 16 << 20, 16 << 20), (2, 20_000, 9_000), (3, 30_000, 50_000), (1, 50_000, 50_000)])
 def test_scores_match_plain_counts(spark, monkeypatch, order, shard_bytes, chunk):
     monkeypatch.setattr(ngram_model, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ngram_model, "SCORED_BYTES", chunk // 2)
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     _check(held_out_scores(docs, order, shard_bytes=shard_bytes).collect(), [(r.doc_id, r.text) for r in docs.collect()], order)
 
