@@ -31,8 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier line; without those left with no word."""
-    kept = line_dedup.line_dedup(docs).where("n_lines > n_dropped")
-    return _sized(kept, docs.columns)
+    clash = [c for c in docs.columns if c in ("n_lines", "n_dropped")]
+    held = docs.select("*", F.struct(*[F.col(c) for c in clash]).alias("_own")) if clash else docs
+    kept = line_dedup.line_dedup(held).where("n_lines > n_dropped")
+    return _sized(kept.withColumns({c: F.col(f"_own.{c}") for c in clash}), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +43,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a key of their own, so rows that repeat a doc_id or have none are
     separate documents here too.  The key is written once, as every reader must see the same.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    joined = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("_row")),
+                  "pipeline-rows")
+    joined = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "doc.text"))
     linked = joined.where("n_links > 0").select(F.col("doc_id").alias("_row"), "class_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", F.xxhash64("doc.text").alias("hash"), "_row")
     linked = staged(linked.join(rows.select("_row", order.alias("order")), "_row"), "linked")
     first = linked.groupBy("class_id").agg(F.min("order").alias("order")).select("order._row")
     surplus = staged(linked.select("_row").join(first, "_row", "left_anti"), "surplus")
     if surplus.count() <= BROADCAST_IDS:
         surplus = F.broadcast(surplus)
-    return rows.join(surplus, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(surplus, "_row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
