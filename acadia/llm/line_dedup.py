@@ -183,9 +183,11 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     member = (shared.join(group.withColumnRenamed("node", "cls"), "cls", "left")
               .withColumn("component", F.coalesce("component", "cls")))
     member = staged(member.join(texts.select("cls", F.length("line").alias("chars")), "cls"), "line-members")
-    main = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                      F.max_by("component", F.col("cls") == F.col("head")).alias("main"))
-    rest = member.join(main.where("lo != hi").select("band", "main"), "band")
+    # The head has met every member: what is left are pairs of others, where two components met.
+    main = member.groupBy("band").agg(F.max_by("component", F.col("cls") == F.col("head")).alias("main"))
+    others = member.where("cls != head")
+    split = others.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    rest = others.join(main.join(split.select("band"), "band"), "band")
     minor = F.col("component") != F.col("main")
     many = lambda own: F.greatest(F.ceil(F.sum(F.when(own, 1)) / BLOCK_LINES), F.ceil(F.sum(F.when(own, F.col("chars"))) / BLOCK_CHARS)).cast("int")
     blocks = rest.groupBy("band").agg(many(minor).alias("minors"), many(F.lit(True)).alias("all"))
@@ -241,19 +243,19 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     ``docs`` return unchanged but for ``text``; ``n_lines`` (lines with a word) and
     ``n_dropped`` are added.  A null text stays null with zero lines; an empty one stays
     empty.  Rows that repeat a doc_id are separate documents; rows equal in doc_id and text
-    are copies whose lines are decided together.  An empty table gives no rows.
+    are copies whose lines are decided together.  An empty table gives no rows.  Columns of
+    ``docs`` named like the added ones are replaced.
     """
-    out = docs.columns
+    out = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     judged = judge_lines(docs.select("doc_id", "text"), threshold)
     dropped = judged.groupBy("doc_id", "row_key").agg(
         F.count_distinct("line_no").alias("_seen"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_drop"))
-    left = docs.withColumn("_key", F.xxhash64("text")).alias("d")
-    both = left.join(dropped.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
-                     & (F.col("d._key") == F.col("x.row_key")), "left")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("d"), F.xxhash64("text").alias("_key"))
+    both = left.join(dropped.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("_key") == F.col("x.row_key")), "left")
     drop = F.col("x._drop")
     text = F.when(F.coalesce(F.size(drop), F.lit(0)) <= 0, F.col("d.text")).otherwise(
         F.transform(F.array(F.split(F.col("d.text"), "\n")), lambda lines: F.array_join(F.transform(
             F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda i: F.get(lines, i)), "\n"))[0])
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in out],
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in out],
                        F.coalesce("x._seen", F.lit(0)).cast("long").alias("n_lines"),
                        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))

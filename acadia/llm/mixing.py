@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import sequence_number
 from ._store import staged
 
 LEVELS = ["domain", "lang", "source"]
@@ -85,9 +86,9 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget:
     return leaves.drop("cap").join(above.withColumnRenamed("budget", "share"), LEVELS)
 
 
-def _order_key(seed: int, epoch: Column) -> Column:
+def _order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     """Place of a document in an epoch: md5 of seed, epoch and doc_id, in hex."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc_id.cast("string")).cast("binary"))
 
 
 def _cuts(slim: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
@@ -97,7 +98,7 @@ def _cuts(slim: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     is put in order, so a leaf with a third of all documents is never in one task.
     """
     part = slim.join(budgets.where("rest > 0").select(*LEVELS, "docs", "full", "rest"), LEVELS)
-    key = _order_key(seed, F.col("full"))
+    key = _order_key(seed, F.col("full"), F.col("doc_id"))
     buckets = F.ceil(F.col("docs") / DOCS_PER_BUCKET)
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0 ** 32
     part = part.withColumn("key", key).withColumn("bucket", F.floor(spot * buckets))
@@ -109,11 +110,26 @@ def _cuts(slim: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     line = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "n_tokens", "row_key").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("end", F.col("start") + F.sum("n_tokens").over(line))
+    equal = Window.partitionBy(*LEVELS, "key", "doc_id", "n_tokens", "row_key")
+    before = F.col("end") - F.col("n_tokens")
+    inside = inside.withColumns({"copies": F.count("*").over(equal),
+                                 "nth": ((before - F.min(before).over(equal)) / F.col("n_tokens")).cast("long")})
     cross = inside.where("end >= rest AND end - n_tokens < rest")
     return cross.groupBy(*LEVELS).agg(F.min(F.struct(
         "end", F.struct("key", "doc_id", "n_tokens", "row_key").alias("at"),
-        (F.col("n_tokens") - F.col("end") + F.col("rest")).alias("taken"))).alias("c")).select(
-        *LEVELS, F.col("c.at").alias("cut"), F.col("c.taken").alias("cut_taken"))
+        (F.col("n_tokens") - F.col("end") + F.col("rest")).alias("taken"), "nth", "copies")).alias("c")).select(
+        *LEVELS, F.col("c.at").alias("cut"), F.col("c.taken").alias("cut_taken"), F.col("c.nth").alias("cut_nth"), "c.copies")
+
+
+def _numbered(rows: DataFrame, plan: DataFrame, at_cut: Column) -> DataFrame:
+    """``rows`` with ``_nth``: the number, from 0, of each row at its leaf's cut among its equals."""
+    if plan.where("copies > 1").isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    at_cut = F.coalesce(at_cut, F.lit(False))
+    equal = rows.where(at_cut).withColumns({"_any": F.monotonically_increasing_id(), **{f"_by_{c}": F.col(f"_leaf.{c}") for c in LEVELS}})
+    equal = sequence_number(equal, [f"_by_{c}" for c in LEVELS], ["_any"], "_nth")
+    equal = equal.withColumn("_nth", F.col("_nth") - 1).select(*rows.columns, "_nth")
+    return rows.where(~at_cut).withColumn("_nth", F.lit(0).cast("long")).unionByName(equal)
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: int | None = None,
@@ -143,21 +159,25 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     budgets = leaf_budgets(leaves, weights, budget, fraction, max_epochs)
     budgets = staged(budgets.select("*", F.expr("share div tokens").alias("full"), F.expr("share % tokens").alias("rest")), "mix-budgets")
     plan = staged(budgets.join(_cuts(slim, budgets, seed), LEVELS, "left")
-                  .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "full", "rest", "cut", "cut_taken"), "mix-plan")
+                  .select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "full", "rest", "cut", "cut_taken", "cut_nth", "copies"), "mix-plan")
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.struct(*leaf).alias("_leaf"), tokens.alias("n_tokens"))
+    # The caller's columns travel in one struct, so that none of them clashes with the plan's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.struct(*leaf).alias("_leaf"), tokens.alias("n_tokens"))
     on = [F.col(f"_leaf.{c}") == F.col(f"_{c}") for c in LEVELS]
     rows = rows.join(plan, on)
-    place = F.struct(_order_key(seed, F.col("full")).alias("key"), F.col("doc_id").alias("doc_id"),
-                     F.col("n_tokens").alias("n_tokens"), F.xxhash64("text").alias("row_key"))
+    text = F.col("_doc.text")
+    place = F.struct(_order_key(seed, F.col("full"), F.col("_doc.doc_id")).alias("key"), F.col("_doc.doc_id").alias("doc_id"),
+                     F.col("n_tokens").alias("n_tokens"), F.xxhash64(text).alias("row_key"))
+    rows = _numbered(rows, plan, place.eqNullSafe(F.col("cut")))
+    at_cut = place.eqNullSafe(F.col("cut"))
+    given = F.when(~at_cut | (F.col("_nth") < F.col("cut_nth")), F.col("n_tokens")).when(F.col("_nth") == F.col("cut_nth"), F.col("cut_taken"))
     whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("full") - 1), lambda e: F.struct(
         e.alias("epoch"), F.col("n_tokens").alias("taken")))).otherwise(F.expr("array()"))
-    last = F.when((F.col("rest") > 0) & (place <= F.col("cut")), F.array(F.struct(
-        F.col("full").alias("epoch"),
-        F.when(place == F.col("cut"), F.col("cut_taken")).otherwise(F.col("n_tokens")).alias("taken")))).otherwise(F.expr("array()"))
+    last = F.when((F.col("rest") > 0) & (place <= F.col("cut")) & given.isNotNull(), F.array(F.struct(
+        F.col("full").alias("epoch"), given.alias("taken")))).otherwise(F.expr("array()"))
     kind = "array<struct<epoch:bigint,taken:bigint>>"
     rows = rows.withColumn("_e", F.explode(F.concat(whole.cast(kind), last.cast(kind))))
-    text = F.when(F.col("_e.taken") < F.col("n_tokens"), first_tokens(F.col("text"), F.col("_e.taken"))).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+    text = F.when(F.col("_e.taken") < F.col("n_tokens"), first_tokens(text, F.col("_e.taken"))).otherwise(text)
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in names],
                        F.col("_leaf.domain").alias("domain"), F.col("_e.epoch").alias("epoch"), "n_tokens",
                        F.col("_e.taken").alias("taken_tokens"))

@@ -114,6 +114,29 @@ def test_mixing_edges(odd, none):
     assert mixing.mix(odd, F.lit("d"), {}, budget=0).count() == 0 == mixing.mix(none, F.lit("d"), {}).count()
 
 
+def test_mixing_repeated_rows_give_what_is_asked(spark):
+    rows = [(7, "a b c d", "en", "s", i) for i in range(3)] + [(8, "e f", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rest int")
+    for budget in range(15):
+        got = mixing.mix(docs.where("doc_id = 7"), F.lit("d"), {}, budget=budget, max_epochs=1).collect()
+        assert sum(r.taken_tokens for r in got) == min(budget, 12) and len({r.rest for r in got}) == len(got) == -(-min(budget, 12) // 4)
+    for budget in (3, 9, 13, 20, 27):
+        got = mixing.mix(docs, F.lit("d"), {}, budget=budget, max_epochs=2).collect()
+        assert sum(r.taken_tokens for r in got) == min(budget, 28) == sum(len(r.text.split()) for r in got)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    import corpus_pipeline as cp
+    rows = [(i, f"line {i} of its own\nthe same line in every text here", "en", "s", 9, "v") for i in range(4)]
+    names = ["rest", "full", "cut", "cut_taken", "_leaf", "_doc", "_nth", "_any", "_key", "_row", "_drop", "n_lines", "row_key", "class_id", "node", "doc", "d", "x"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, v string")
+    docs = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    for stage in (cp.lines, cp.near_copies, cp.mixing):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and all(r[n] == f"own {n}" for r in got.collect() for n in names)
+    assert line_dedup.line_dedup(docs).columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+
+
 # 2 chat
 
 def test_chat_round_trip(spark):
@@ -236,8 +259,9 @@ def test_rules_empty_table(none):
 # 6 line dedup
 
 def _line_sets(rows):
-    found = re.compile(r"(?s)(?=(\S.{0,11}))\S{1,12}", re.A)
-    lines = [(r.doc_id, k, frozenset(found.findall(x))) for r in rows for k, x in enumerate((r.text or "").split("\n"))]
+    word = re.compile(r"\S", re.A)
+    lines = [(r.doc_id, k, frozenset(x[i:i + 12] for i in range(max(1, len(x) - 11))) if word.search(x) else None)
+             for r in rows for k, x in enumerate((r.text or "").split("\n"))]
     return [x for x in lines if x[2]]
 
 
