@@ -107,3 +107,12 @@ def page_joined(left: DataFrame, joiner, order: list[Column], page_no: int = 1,
     if n_top < need or kept.count() == n_top:
         return page(kept, order, page_no, limit)
     return page(joiner(left), order, page_no, limit)
+
+
+# The most rows a side is broadcast with; a caller passes slim key tables, of tens of bytes a row.
+BROADCAST_KEYS = 2_000_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if a count finds them few enough; else the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.filters import sized
 from ..session import checkpoint_dir
+from ..sources.rewrite import Rewrite, delete_rows
+from ..sources.versions import Snapshot, publish_on, read_version, snapshot
 
+# Per table, the columns that tie a row to a purged user or to one of the user's partners.
+LINKS = {
+    "users": [("id", "user")], "referrals": [("referred_user_id", "user"), ("partner_id", "partner")], "orders": [("user_id", "user")],
+    "partner_payouts": [("partner_id", "partner")], "partners": [("user_id", "user")], "partner_applications": [("user_id", "user")],
+    "course_progress": [("user_id", "user")], "refresh_tokens": [("user_id", "user")],
+}
+CHECKED = ("users", "orders", "partners", "partner_applications")
 
 def purge_report(user_ids: DataFrame, actor_id, users: DataFrame, orders: DataFrame,
                  partners: DataFrame, applications: DataFrame) -> DataFrame:
@@ -86,10 +97,12 @@ def user_purge(user_ids: DataFrame, actor_id, tables: dict[str, DataFrame]) -> d
 def user_purge_counts(user_ids: DataFrame, actor_id, tables: dict[str, DataFrame]) -> DataFrame:
     """Item 34. Rows removed per table, plus the number of requests per outcome.
 
-    Each count is a semi join of one table against the materialised purge keys.
+    Each count is a semi join of one table against the materialised purge keys, which are
+    broadcast if they are few.
     """
     t = tables
     gone, gone_partners, report = _purged_keys(user_ids, actor_id, t)
+    gone, gone_partners = sized(gone), sized(gone_partners)
 
     def removed(name: str, *links: tuple[str, DataFrame, str]) -> DataFrame:
         # Left joins against distinct key sets never multiply rows; a row counts once
@@ -119,3 +132,21 @@ def user_purge_counts(user_ids: DataFrame, actor_id, tables: dict[str, DataFrame
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def purge_stored(spark: SparkSession, base: str, user_ids: DataFrame, actor_id, schemas: dict[str, StructType], version: str,
+                 others: dict[str, DataFrame] | None = None) -> tuple[Snapshot, dict[str, Rewrite], DataFrame]:
+    """Item 34 on stored tables: the state published after the purge, what it did to each table of
+    ``schemas``, and ``purge_report``.
+
+    Only files that hold a purged key are rewritten; of the others the key column alone is
+    read.  All tables are published at once, or none: if another writer changed one that the
+    purge read, it raises ``Conflict``.  ``others`` gives tables of ``CHECKED`` that are not stored here.
+    """
+    now = snapshot(spark, base)
+    tables = {n: read_version(spark, base, n, now.versions[n], s) for n, s in schemas.items()}
+    gone, gone_partners, report = _purged_keys(user_ids, actor_id, {**(others or {}), **tables})
+    ids = {"user": gone, "partner": gone_partners}
+    done = {n: delete_rows(spark, base, n, now.versions[n], s, [(c, ids[kind]) for c, kind in LINKS[n]], version) for n, s in schemas.items()}
+    after = publish_on(spark, base, now, {n: r.version for n, r in done.items() if r.version}, [n for n in CHECKED if n in schemas])
+    return after, done, report

@@ -9,12 +9,16 @@ command schema a job expects; all of the job's work happens in the operator.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import (access, applications, content, intake, integrity, payouts,
                          progress, promo, purge, sessions)
 from ..functions.filters import ts_lit
+from ..session import checkpoint_dir
+from ..sources.domain import publish, write_version
+from ..sources.versions import read_version as read_stored
 from .registry import AS_OF, AS_OF_SQL, query
 
 # --------------------------------------------------------------------- command batches
@@ -70,6 +74,11 @@ B_ACCESS_USERS = "SELECT id AS user_id FROM f_users"
 
 B_PURGE_USERS = "SELECT id AS user_id FROM f_users WHERE id % 25 = 1 OR id = 150"
 PURGE_ACTOR = 150
+# Every fifth partner has no attributed orders left, so that partners can be purged too.
+B_PURGE_ORDERS = """
+SELECT id, user_id, product, amount, CASE WHEN referral_partner_id % 5 <> 0 THEN referral_partner_id END AS referral_partner_id,
+       promo_code, status, created_at, paid_at
+FROM f_orders"""
 
 B_TOPICS = """
 SELECT id AS request_id, CASE WHEN id % 13 = 5 THEN lesson_id + 25 ELSE lesson_id END AS lesson_id,
@@ -465,7 +474,7 @@ WHERE NOT (o.status = 'paid' AND o.user_id IN (SELECT user_id FROM req WHERE use
 
 
 def _purge_tables(fx):
-    return {"users": fx.users, "referrals": fx.referrals, "orders": fx.orders,
+    return {"users": fx.users, "referrals": fx.referrals, "orders": fx.sql(B_PURGE_ORDERS),
             "partner_payouts": fx.partner_payouts, "partners": fx.partners,
             "partner_applications": fx.partner_applications,
             "course_progress": fx.course_progress, "refresh_tokens": fx.refresh_tokens}
@@ -473,9 +482,10 @@ def _purge_tables(fx):
 
 query("user_purge_counts", sql=f"""
 WITH req AS ({B_PURGE_USERS}),
+purge_orders AS ({B_PURGE_ORDERS}),
 r0 AS (SELECT DISTINCT user_id FROM req WHERE user_id IS NOT NULL),
 owned AS (SELECT id AS pid, user_id AS owner FROM f_partners),
-blocked AS (SELECT DISTINCT owned.owner FROM f_orders o JOIN owned ON o.referral_partner_id = owned.pid
+blocked AS (SELECT DISTINCT owned.owner FROM purge_orders o JOIN owned ON o.referral_partner_id = owned.pid
             WHERE o.user_id IS NULL OR o.user_id <> owned.owner),
 rep AS (SELECT r0.user_id,
           CASE WHEN r0.user_id = {PURGE_ACTOR} THEN 'self'
@@ -487,7 +497,7 @@ gp AS (SELECT id FROM f_partners WHERE user_id IN (SELECT user_id FROM g))
 SELECT 'users' AS item, (SELECT count(*) FROM f_users WHERE id IN (SELECT user_id FROM g)) AS n
 UNION ALL SELECT 'referrals', (SELECT count(*) FROM f_referrals
     WHERE referred_user_id IN (SELECT user_id FROM g) OR partner_id IN (SELECT id FROM gp))
-UNION ALL SELECT 'orders', (SELECT count(*) FROM f_orders WHERE user_id IN (SELECT user_id FROM g))
+UNION ALL SELECT 'orders', (SELECT count(*) FROM purge_orders WHERE user_id IN (SELECT user_id FROM g))
 UNION ALL SELECT 'partner_payouts', (SELECT count(*) FROM f_partner_payouts WHERE partner_id IN (SELECT id FROM gp))
 UNION ALL SELECT 'partners', (SELECT count(*) FROM f_partners WHERE user_id IN (SELECT user_id FROM g))
 UNION ALL SELECT 'partner_applications', (SELECT count(*) FROM f_partner_applications
@@ -497,6 +507,42 @@ UNION ALL SELECT 'refresh_tokens', (SELECT count(*) FROM f_refresh_tokens WHERE
 UNION ALL SELECT concat('outcome:', outcome), count(*) FROM rep GROUP BY outcome
 """)(lambda fx: purge.user_purge_counts(fx.sql(B_PURGE_USERS), PURGE_ACTOR, _purge_tables(fx)))
 
+_PURGED_CTE = f"""
+req AS ({B_PURGE_USERS}),
+purge_orders AS ({B_PURGE_ORDERS}),
+r0 AS (SELECT DISTINCT user_id FROM req WHERE user_id IS NOT NULL),
+owned AS (SELECT id AS pid, user_id AS owner FROM f_partners),
+blocked AS (SELECT DISTINCT owned.owner FROM purge_orders o JOIN owned ON o.referral_partner_id = owned.pid
+            WHERE o.user_id IS NULL OR o.user_id <> owned.owner),
+rep AS (SELECT r0.user_id,
+          CASE WHEN r0.user_id = {PURGE_ACTOR} THEN 'self'
+               WHEN u.id IS NULL THEN 'not_found'
+               WHEN b.owner IS NOT NULL THEN 'blocked_orders' ELSE 'deleted' END AS outcome
+        FROM r0 LEFT JOIN f_users u ON u.id = r0.user_id LEFT JOIN blocked b ON b.owner = r0.user_id),
+g AS (SELECT user_id FROM rep WHERE outcome = 'deleted'),
+gp AS (SELECT id FROM f_partners WHERE user_id IN (SELECT user_id FROM g))"""
+_GONE_USER, _GONE_PARTNER = "(SELECT user_id FROM g)", "(SELECT id FROM gp)"
+
+
+def _purged_state(name: str):
+    """The state of one table after the purge of stored tables: its fixture rows are stored in
+    files by range of the first linked key, purged by touched files, and read back."""
+    def run(fx):
+        tables = _purge_tables(fx)
+        base = f"{checkpoint_dir(fx.spark).rstrip('/')}/purge-{uuid.uuid4().hex}"
+        stored = tables[name]
+        write_version(stored.repartitionByRange(8, purge.LINKS[name][0][0]), base, name, "0")
+        publish(fx.spark, base, {name: "0"})
+        after, _, _ = purge.purge_stored(fx.spark, base, fx.sql(B_PURGE_USERS), PURGE_ACTOR, {name: stored.schema}, "1",
+                                         {n: tables[n] for n in purge.CHECKED if n != name})
+        return read_stored(fx.spark, base, name, after.versions[name], stored.schema)
+    return run
+
+
+for _name, _links in purge.LINKS.items():
+    _left = " AND ".join(f"({_c} IS NULL OR {_c} NOT IN {_GONE_USER if _kind == 'user' else _GONE_PARTNER})" for _c, _kind in _links)
+    query(f"user_purge_{_name}", sql=f"WITH {_PURGED_CTE} SELECT * FROM {'purge_orders' if _name == 'orders' else f'f_{_name}'} WHERE {_left}")(_purged_state(_name))
+
 # ----------------------------------------------------- items 36-38: sessions and codes
 
 query("session_retention", sql="""

@@ -5,20 +5,18 @@ parquet once; the operators then run on these files.  Reading with the declared
 means no footer inference, and a plan that uses two columns reads two columns
 (``ReadSchema``) with its predicates pushed into the scan (``PushedFilters``).
 
-Job outputs (new table states) are written to a new folder per version.  ``publish`` then
-names the versions of one or more tables as current, in one small file written last, so
-readers see either all tables of a job or none of them, and a failed job never leaves a
-half-written table behind.
+Job outputs (new table states) are written to a new folder per version and published
+together (``sources.versions``): readers see either all tables of a job or none of them, and
+a failed job never leaves a half-written table behind.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import has_versions, publish_on, read_version, snapshot
+
 L, I, S, B, TS = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType(), T.TimestampType()
 MONEY, RATE = T.DecimalType(12, 2), T.DecimalType(5, 4)
 
@@ -77,40 +75,19 @@ DOMAIN_SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-_CURRENT = T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType()),
-                          T.StructField("seq", T.LongType())])
-
-
-def _pointers(spark: SparkSession, base: str) -> DataFrame | None:
-    """The publication log of ``base`` (name, version, seq), or None before the first one."""
-    path = f"{base.rstrip('/')}/_current"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
-        return None
-    # One folder per publication, each a single committed write: a folder without its commit
-    # mark (a failed attempt) has no part file yet and so no rows.
-    return spark.read.schema(_CURRENT).json(path + "/*")
-
-
 def current_versions(spark: SparkSession, base: str) -> dict[str, str]:
     """The published version of each table; one entry per table, so small by nature."""
-    log = _pointers(spark, base)
-    if log is None:
-        return {}
-    return {r.name: r.version for r in log.groupBy("name").agg(F.max_by("version", "seq").alias("version")).collect()}
+    return snapshot(spark, base).versions
 
 
 def publish(spark: SparkSession, base: str, versions: dict[str, str]) -> None:
     """Make ``versions`` (table name -> version) the current ones, all at once.
 
-    To be called after the versions are written; one writer at a time.  Earlier versions
-    stay readable by name.
+    To be called after the versions are written, by a job that read no published table; one
+    that did publishes with ``versions.publish_on``, which notices other writers.  Earlier
+    versions stay readable by name.
     """
-    log = _pointers(spark, base)
-    last = 0 if log is None else (log.agg(F.max("seq")).first()[0] or 0)
-    rows = [(name, version, last + 1) for name, version in sorted(versions.items())]
-    spark.createDataFrame(rows, _CURRENT).coalesce(1).write.json(
-        f"{base.rstrip('/')}/_current/{last + 1:012d}-{uuid.uuid4().hex}")
+    publish_on(spark, base, snapshot(spark, base), versions)
 
 
 def read_domain(spark: SparkSession, base: str, name: str, version: str | None = None) -> DataFrame:
@@ -120,16 +97,13 @@ def read_domain(spark: SparkSession, base: str, name: str, version: str | None =
     Written but unpublished versions are never read by default; a table that has only such
     versions raises ``FileNotFoundError``.
     """
-    path = f"{base.rstrip('/')}/{name}"
     version = version or current_versions(spark, base).get(name)
-    if version is None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        if fs.exists(folder) and any(s.isDirectory() and s.getPath().getName().startswith("v=")
-                                     for s in fs.listStatus(folder)):
-            raise FileNotFoundError(f"{path} has versions, none of them published")
-        return spark.read.schema(DOMAIN_SCHEMAS[name]).parquet(path)
-    return spark.read.schema(DOMAIN_SCHEMAS[name]).parquet(f"{path}/v={version}")
+    if version is not None:
+        return read_version(spark, base, name, version, DOMAIN_SCHEMAS[name])
+    path = f"{base.rstrip('/')}/{name}"
+    if has_versions(spark, base, name):
+        raise FileNotFoundError(f"{path} has versions, none of them published")
+    return spark.read.schema(DOMAIN_SCHEMAS[name]).parquet(path)
 
 
 def read_domain_tables(spark: SparkSession, base: str, names=None) -> dict[str, DataFrame]:
