@@ -62,26 +62,34 @@ def merge_progress(state: DataFrame, folded: DataFrame) -> DataFrame:
                     rise("viewed"), rise("completed"), first("viewed_at"), first("completed_at"))
 
 
-def progress_upsert(events: DataFrame, progress: DataFrame, lessons: DataFrame,
-                    orders: DataFrame, users: DataFrame) -> DataFrame:
-    """Item 31. New ``course_progress`` state after applying a batch of progress events.
-
-    Events: (event_id, user_id, lesson_id, viewed, completed, ts).  Rejected events
-    (see ``progress_admission``) change nothing.  Admission depends on user and lesson
-    alone, so the raw events are folded per (user, lesson) first, with map-side combine,
-    and only folded rows meet the access tables: a hot user costs one row per lesson.
-    """
+def fold_events(events: DataFrame) -> DataFrame:
+    """Raw events folded per (user, lesson), those without a flag left out: admission depends on
+    user and lesson alone, so it can wait until a hot user is one row per lesson."""
     completed = F.coalesce(F.col("completed"), F.lit(False))
-    supplied = events.where(F.col("viewed").isNotNull() | F.col("completed").isNotNull()).select(
+    return fold_progress(events.where(F.col("viewed").isNotNull() | F.col("completed").isNotNull()).select(
         "user_id", "lesson_id", "ts", (completed | F.coalesce(F.col("viewed"), F.lit(False))).alias("viewed"),
-        completed.alias("completed"))
-    folded = fold_progress(supplied)
+        completed.alias("completed")))
+
+
+def admitted_keys(folded: DataFrame, lessons: DataFrame, orders: DataFrame, users: DataFrame) -> DataFrame:
+    """The rows of ``fold_events`` whose user may work on the lesson (see ``progress_admission``)."""
     free = lessons.select(F.col("id").alias("_lid"), F.coalesce(F.col("is_free"), F.lit(False)).alias("_free"))
     admins = users.where(F.col("role") == "admin").select(F.col("id").alias("_aid"))
     folded = folded.join(free, F.col("lesson_id") == F.col("_lid"))
     folded = flag_exists(folded, orders.where(F.col("status") == "paid"), "user_id", "user_id", "_paid")
     folded = flag_exists(folded, admins, "user_id", "_aid", "_admin")
-    return merge_progress(progress, folded.where("_free OR _paid OR _admin"))
+    return folded.where("_free OR _paid OR _admin").select(*PROGRESS_COLUMNS)
+
+
+def progress_upsert(events: DataFrame, progress: DataFrame, lessons: DataFrame,
+                    orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Item 31. New ``course_progress`` state after applying a batch of progress events.
+
+    Events: (event_id, user_id, lesson_id, viewed, completed, ts).  Rejected events
+    (see ``progress_admission``) change nothing.  The raw events are folded per (user,
+    lesson) first, with map-side combine, and only folded rows meet the access tables.
+    """
+    return merge_progress(progress, admitted_keys(fold_events(events), lessons, orders, users))
 
 
 def progress_reset(requests: DataFrame, progress: DataFrame, users: DataFrame) -> DataFrame:

@@ -53,19 +53,29 @@ SELECT id AS request_id, created_at AS ts, id AS user_id,
 FROM f_users"""
 
 B_PROMOTED = """
-SELECT id AS user_id, created_at AS ts FROM f_users WHERE role = 'partner' OR id % 20 = 3"""
+SELECT CASE WHEN id % 60 = 3 THEN id + 100000000 ELSE id END AS user_id, created_at AS ts
+FROM f_users WHERE role = 'partner' OR id % 20 = 3"""
 
 B_APPROVED = """
-SELECT id, user_id, slug, created_at AS ts FROM f_partner_applications WHERE status = 'approved'"""
+SELECT id, CASE WHEN id % 35 = 0 THEN NULL ELSE user_id END AS user_id,
+       CASE id % 9 WHEN 0 THEN concat('partner', CAST(id % 90 AS STRING)) WHEN 1 THEN 'same-slug' WHEN 2 THEN '' ELSE slug END AS slug,
+       created_at AS ts
+FROM f_partner_applications WHERE status = 'approved' OR id % 2 = 0"""
 
 B_PAYOUT_UPDATES = """
-SELECT DISTINCT l_orderkey, l_linenumber,
+SELECT DISTINCT CASE WHEN l_orderkey % 97 = 0 THEN l_orderkey + 100000000 ELSE l_orderkey END AS l_orderkey, l_linenumber,
        CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'paid' WHEN 1 THEN 'rejected'
             WHEN 2 THEN 'processing' ELSE 'cancelled' END AS status,
        CASE WHEN (l_orderkey + l_linenumber) % 4 = 1 THEN 'bad requisites' END AS reject_reason,
        created_at + INTERVAL '1' DAY AS ts
 FROM f_partner_payouts"""
 
+# Two thirds of the users, an hour early; odd lessons have not been completed yet.
+B_PROGRESS_STATE = """
+SELECT user_id, lesson_id, viewed, completed AND lesson_id % 2 = 0 AS completed, viewed_at - INTERVAL '1' HOUR AS viewed_at,
+       CASE WHEN lesson_id % 2 = 0 THEN completed_at END AS completed_at
+FROM f_course_progress WHERE user_id % 3 > 0"""
+
 B_RESETS = """
 SELECT id AS actor_id, CASE WHEN id % 3 = 0 THEN id + 1 END AS target_user_id
 FROM f_users WHERE id % 7 = 0 OR role = 'admin'"""
@@ -431,15 +441,16 @@ query("progress_upsert_two_batches", sql=f"WITH {_ADMITTED} SELECT * FROM fold")
     _upsert_in_two_batches)
 
 query("progress_upsert_existing", sql=f"""
-WITH {_ADMITTED}
+WITH {_ADMITTED},
+s AS ({B_PROGRESS_STATE})
 SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(s.lesson_id, n.lesson_id) AS lesson_id,
        coalesce(s.viewed, FALSE) OR coalesce(n.viewed, FALSE) AS viewed,
        coalesce(s.completed, FALSE) OR coalesce(n.completed, FALSE) AS completed,
        coalesce(s.viewed_at, n.viewed_at) AS viewed_at,
        coalesce(s.completed_at, n.completed_at) AS completed_at
-FROM f_course_progress s FULL OUTER JOIN fold n
+FROM s FULL OUTER JOIN fold n
   ON s.user_id = n.user_id AND s.lesson_id = n.lesson_id
-""")(lambda fx: progress.progress_upsert(fx.progress_events, fx.course_progress, fx.lessons,
+""")(lambda fx: progress.progress_upsert(fx.progress_events, fx.sql(B_PROGRESS_STATE), fx.lessons,
                                          fx.orders, fx.users))
 
 query("progress_reset", sql=f"""

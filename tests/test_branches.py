@@ -18,7 +18,13 @@ SF = "/root/testdata/sf0.01"
 EXPECTED = {
     "promo_resolution": ("outcome", {"discount", "expired", "inactive", "missing", "not_found", "partner"}),
     "application_admission": ("reason", {None, "invalid_slug", "pending_exists", "required", "slug_taken"}),
+    "partner_provisioning": ("outcome", {"created", "skipped", "unknown_user"}),
     "payout_admission": ("reason", {None, "bad_method", "insufficient_balance", "min_amount", "no_requisites"}),
+    "partner_approvals": ("outcome", {"created", "missing_user_or_slug", "skipped", "slug_conflict"}),
+    "rate_limit_global": ("over_limit", {False, True}),
+    "rate_limit_slug": ("over_limit", {False, True}),
+    "rate_limit_auth": ("over_limit", {False, True}),
+    "payout_status_rejects": ("reason", {"bad_status", "not_found"}),
     "append_materials": ("reason", {None, "bad_parent", "text_required"}),
     "append_topics": ("reason", {None, "parent_not_found", "text_required"}),
     "append_videos": ("reason", {None, "parent_not_found", "text_required"}),
@@ -34,10 +40,8 @@ EXPECTED = {
     "active_sessions": ("expired", {False, True}),
 }
 HAND_MADE = {
-    "partner_provisioning": "slug_conflict / unknown_user: test_partner_provisioning_slugs",
+    "partner_provisioning": "slug_conflict: test_partner_provisioning_slugs",
     "payout_admission": "partner_not_found: test_payout_admission_equals_sequential_fold",
-    "payout_status_rejects": "not_found: test_payout_status_second_rejection_refunds_once",
-    "partner_approvals": "created / slug_conflict: test_approval_path below",
 }
 
 

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from acadia.operators.progress import fold_progress, progress_admission
+from acadia.operators.progress import fold_progress, progress_admission, progress_upsert
+from acadia.sources.versions import snapshot, version_files
 from acadia.streaming import progress as pstream
 from acadia.streaming import rate_limit
 
@@ -70,3 +71,57 @@ def test_progress_stream_equals_batch(spark, fx, tmp_path):
         .where(F.col("reason").isNull())
     want = fold_progress(adm)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def _table(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def _batches(fx, n):
+    return [fx.progress_events.where(F.col("event_id") % n == i) for i in range(n)]
+
+
+def test_progress_table_stays_the_same_through_replays_and_compaction(spark, fx, tmp_path):
+    base, static = str(tmp_path / "t"), (fx.lessons, fx.orders, fx.users)
+    pstream.create_progress_table(spark.createDataFrame([], pstream.SCHEMA), base, buckets=8)
+    deltas = []
+    for i, batch in enumerate(_batches(fx, 7)):
+        assert pstream.apply_batch(batch, *static, base, "s", i, compact_after=3)
+        assert not pstream.apply_batch(batch, *static, base, "s", i)  # run again after a failure
+        deltas.append(len({f.split("/")[0] for f in pstream._files(spark, base)[1]}))
+    assert deltas == [1, 2, 0, 1, 2, 0, 1]  # a read merges a bounded number of deltas
+    adm = progress_admission(fx.progress_events, *static).where(F.col("reason").isNull())
+    want = _table(fold_progress(adm))
+    assert _table(pstream.read_progress_table(spark, base)) == want
+    assert pstream.compact(spark, base).version and pstream.compact(spark, base) is None
+    assert _table(pstream.read_progress_table(spark, base)) == want
+    # A second stream into the same table, whose batch is numbered on its own.
+    again = fx.progress_events.where("event_id < 200").withColumn("lesson_id", F.lit(0))
+    assert pstream.apply_batch(again, *static, base, "other", 0)
+    assert snapshot(spark, base).notes["progress_batch_s"] == "6" and snapshot(spark, base).notes["progress_batch_other"] == "0"
+
+
+def test_compaction_and_upsert_touch_the_buckets_of_their_users_only(spark, fx, tmp_path):
+    base, static = str(tmp_path / "t"), (fx.lessons, fx.orders, fx.users)
+    state = fx.course_progress.where("user_id % 3 > 0")
+    pstream.create_progress_table(state, base, buckets=16)
+    before = set(version_files(spark, base, "progress", snapshot(spark, base).versions["progress"]))
+    few = fx.progress_events.where("user_id IN (3, 9)")
+    done = pstream.upsert_stored(spark, base, few, *static)
+    assert 1 <= len(done.touched) <= 2 and len(done.carried) >= len(before) - 2
+    assert _table(pstream.read_progress_table(spark, base)) == _table(progress_upsert(few, state, *static))
+    whole = pstream.upsert_stored(spark, base, fx.progress_events, *static)
+    assert whole.version and _table(pstream.read_progress_table(spark, base)) == _table(
+        progress_upsert(fx.progress_events, progress_upsert(few, state, *static), *static))
+    nobody = pstream.upsert_stored(spark, base, few.where("user_id = 0 AND user_id = 1"), *static)
+    assert nobody.version is None
+
+
+def test_progress_stream_survives_a_restart(spark, fx, tmp_path):
+    src, base = _split_events(tmp_path, seed=5), str(tmp_path / "t")
+    for _ in range(2):  # the second run finds nothing new
+        q = pstream.start_progress_stream(pstream.progress_events_stream(spark, src, 1), fx.lessons, fx.orders, fx.users,
+                                          base, str(tmp_path / "c"), compact_after=4)
+        q.awaitTermination()
+    adm = progress_admission(fx.progress_events, fx.lessons, fx.orders, fx.users).where(F.col("reason").isNull())
+    assert _table(pstream.read_progress_table(spark, base)) == _table(fold_progress(adm))
