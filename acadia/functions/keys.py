@@ -51,11 +51,14 @@ def flag_first(df: DataFrame, keys: list[str], order: list[str], name: str = "is
     of the rows adds one partial row per task - and is joined back on the key.
     ``order`` must identify a row within its key (end with a unique column).
     """
-    cond = F.lit(True) if when is None else when
+    cond = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     probe = df.where(cond).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_ff_min"))
-    probe = probe.select(*[F.col(k).alias(f"_fk_{k}") for k in keys], "_ff_min")
-    on = [df[k].eqNullSafe(probe[f"_fk_{k}"]) for k in keys]
+    probe = probe.select(*[F.col(k).alias(f"_fk_{k}") for k in keys], F.lit(0).cast("long").alias("_ff_probe"), "_ff_min")
+    # Rows that take no part (rejected ones, with NULL or '' as key) match nothing: each joins on a
+    # number of its own, so they are spread over all tasks instead of meeting under one key.
+    df = df.withColumn("_ff_part", F.when(cond, F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*order), F.lit(1 << 40))))
+    on = [df["_ff_part"] == probe["_ff_probe"], *[df[k].eqNullSafe(probe[f"_fk_{k}"]) for k in keys]]
     joined = df.join(probe, reduce(lambda a, b: a & b, on), "left")
     me = F.struct(*[F.col(o) for o in order])
     return (joined.withColumn(name, F.coalesce(cond & (me == F.col("_ff_min")), F.lit(False)))
-            .drop("_ff_min", *[f"_fk_{k}" for k in keys]))
+            .drop("_ff_min", "_ff_part", "_ff_probe", *[f"_fk_{k}" for k in keys]))

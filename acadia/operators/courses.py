@@ -57,10 +57,10 @@ def material_listing(materials: DataFrame, category=None, public: bool = False)
     see it is a per-user flag (``user_entitlements.materials_access``), not a join here.
     """
     if public:
-        if category not in PUBLIC_MATERIAL_CATEGORIES:
-            return materials.select("id", "title").limit(0)
         cols = [c for c in ("id", "title", "description", "preview_url", "download_url")
                 if c in materials.columns]
+        if category not in PUBLIC_MATERIAL_CATEGORIES:
+            return materials.select(*cols).limit(0)
         return materials.where(F.col("category") == F.lit(category)) \
             .orderBy(F.col("sort_order").asc(), F.col("id").asc()).select(*cols)
     return where(materials, eq_if("category", category)) \
@@ -72,6 +72,49 @@ def catalog_counts(materials: DataFrame) -> DataFrame:
     return materials.groupBy("category").agg(F.count(F.lit(1)).cast("int").alias("cnt"))
 
 
+LESSON_BLOCKS = 16
+
+
+def _wanted(df: DataFrame, user_ids: DataFrame | None) -> DataFrame:
+    if user_ids is None:
+        return df
+    wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
+    return df.join(wanted, df["user_id"] == wanted["_want"], "left_semi")
+
+
+def lesson_access(users: DataFrame, orders: DataFrame, user_ids: DataFrame | None = None) -> DataFrame:
+    """Item 22, sparse. ``user_id, has_access``: whether lessons that are not free are open to the
+    user (an admin, or any paid order).  With ``progress_details`` this is the whole catalogue
+    but for the lessons themselves: what is not listed there is neither viewed nor completed."""
+    buyers = (orders.where(F.col("status") == "paid").select(F.col("user_id").alias("_b"))
+              .distinct().withColumn("_paid", F.lit(True)))
+    u = _wanted(users.select(F.col("id").alias("user_id"), "role"), user_ids)
+    return u.join(buyers, u["user_id"] == buyers["_b"], "left").select(
+        "user_id", (F.coalesce(F.col("_paid"), F.lit(False)) |
+                    F.coalesce(F.col("role") == "admin", F.lit(False))).alias("has_access"))
+
+
+def progress_details(progress: DataFrame, lessons: DataFrame, user_ids: DataFrame | None = None) -> DataFrame:
+    """Item 23. The progress rows themselves, with the lesson's title and place; the original lists
+    them by ``sort_order``.  Rows of unknown lessons are dropped."""
+    l = lessons.select(F.col("id").alias("_lid"), "title", "sort_order")
+    p = _wanted(progress, user_ids)
+    return p.join(l, p["lesson_id"] == l["_lid"]).select(
+        "user_id", "lesson_id", "title", "sort_order", "viewed", "completed", "viewed_at", "completed_at")
+
+
+def progress_overview(users: DataFrame, progress: DataFrame, lessons: DataFrame, user_ids: DataFrame | None = None) -> DataFrame:
+    """Item 23. ``progress_summary`` of every user; one without progress has zeros and no last
+    activity.  Progress of users that do not exist is left out."""
+    u = _wanted(users.select(F.col("id").alias("user_id")), user_ids)
+    s = progress_summary(progress, lessons, user_ids).drop("total_lessons").withColumnRenamed("user_id", "_su")
+    total = lessons.agg(F.count(F.lit(1)).alias("total_lessons"))
+    none = F.lit(0).cast("long")
+    return u.join(s, u["user_id"] == s["_su"], "left").crossJoin(total).select(
+        "user_id", *[F.coalesce(c, none).alias(c) for c in ("completed_count", "viewed_count")], "total_lessons",
+        F.coalesce("percentage", F.lit(0)).cast(s.schema["percentage"].dataType).alias("percentage"), "last_activity")
+
+
 def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
                    videos: DataFrame, progress: DataFrame, orders: DataFrame,
                    user_ids: DataFrame | None = None) -> DataFrame:
@@ -80,12 +123,12 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
     unlocked = lesson is free, or the user is an admin, or has any paid order; viewed
     and completed come from the user's progress row (false when absent).
 
-    The result is users x lessons by definition.  The lesson side is first reduced to
-    one row per lesson (with topic/video counts); no hint is given, so the lesson side
-    is broadcast only when its size estimate (re-checked by AQE on runtime statistics)
-    is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise Spark plans a shuffled
-    cartesian product.  Progress is joined on the (user, lesson) key.  ``user_ids``
-    (column ``user_id``) restricts the catalogue to those users, as for one request.
+    The result is users x lessons by definition.  The lesson side is first reduced to one row
+    per lesson (with topic/video counts) and cut into ``LESSON_BLOCKS`` blocks; every user is
+    listed once per block and joined on it, a hash or sort-merge join like any other, then
+    progress on the (user, lesson) key.  ``user_ids`` (column ``user_id``) restricts the
+    catalogue to those users, as for one request; for all users ``lesson_access`` and
+    ``progress_details`` hold the same in as many rows as there are users and progress rows.
     """
     tc = topics.groupBy(F.col("lesson_id").alias("_t")).agg(F.count(F.lit(1)).alias("topic_count"))
     vc = videos.groupBy(F.col("lesson_id").alias("_v")).agg(F.count(F.lit(1)).alias("video_count"))
@@ -95,18 +138,12 @@ def lesson_catalog(users: DataFrame, lessons: DataFrame, topics: DataFrame,
          .select("lesson_id", "title", "sort_order", "is_free",
                  F.coalesce(F.col("topic_count"), F.lit(0)).alias("topic_count"),
                  F.coalesce(F.col("video_count"), F.lit(0)).alias("video_count")))
-    buyers = (orders.where(F.col("status") == "paid").select(F.col("user_id").alias("_b"))
-              .distinct().withColumn("_paid", F.lit(True)))
-    u = users.select(F.col("id").alias("user_id"), "role")
-    if user_ids is not None:
-        wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
-        u = u.join(wanted, u["user_id"] == wanted["_want"], "left_semi")
-    u = u.join(buyers, u["user_id"] == buyers["_b"], "left").select(
-        "user_id", (F.coalesce(F.col("_paid"), F.lit(False)) |
-                    F.coalesce(F.col("role") == "admin", F.lit(False))).alias("has_access"))
+    u = lesson_access(users, orders, user_ids)
     pr = progress.select(F.col("user_id").alias("_pu"), F.col("lesson_id").alias("_pl"),
                          F.col("viewed").alias("_viewed"), F.col("completed").alias("_completed"))
-    pairs = u.crossJoin(l)
+    l = l.withColumn("_lb", F.pmod(F.xxhash64("lesson_id"), F.lit(LESSON_BLOCKS)))
+    pairs = u.withColumn("_ub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LESSON_BLOCKS - 1).cast("long"))))
+    pairs = pairs.join(l, F.col("_ub") == F.col("_lb")).drop("_ub", "_lb")
     return (pairs.join(pr, (pairs["user_id"] == pr["_pu"]) & (pairs["lesson_id"] == pr["_pl"]),
                        "left")
             .select("user_id", "lesson_id", "title", "sort_order", "is_free",
@@ -127,9 +164,7 @@ def progress_summary(progress: DataFrame, lessons: DataFrame,
     """
     known = lessons.select(F.col("id").alias("_lid"))
     total = lessons.agg(F.count(F.lit(1)).alias("total_lessons"))
-    if user_ids is not None:
-        wanted = user_ids.select(F.col("user_id").alias("_want")).distinct()
-        progress = progress.join(wanted, progress["user_id"] == wanted["_want"], "left_semi")
+    progress = _wanted(progress, user_ids)
     p = progress.join(known, progress["lesson_id"] == known["_lid"], "left_semi")
     agg = p.groupBy("user_id").agg(
         F.count_if(F.col("completed")).alias("completed_count"),

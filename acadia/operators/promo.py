@@ -44,18 +44,22 @@ def promo_resolution(requests: DataFrame, promo_codes: DataFrame, partners: Data
     matches on ``upper(code)`` (lowest id if several do): ``inactive``, then ``expired``
     (``expires_at < as_of``), else ``discount`` with its percentage.  Otherwise a
     partner promo code whose partner has a user gives ``partner`` with 0 %.  Else
-    ``not_found``.  Both lookups are left joins against per-code unique frames.
+    ``not_found``.
+
+    The distinct codes are resolved (a hot code is one row after map-side combine), and the
+    answers joined back.  An empty code joins on a key of the request's own that matches nothing.
     """
     req = requests.withColumn("code", F.upper(trimmed(F.coalesce(F.col("code"), F.lit("")))))
+    asked = req.where(F.col("code") != "").select(F.col("code").alias("_code")).distinct()
     disc = (latest_per_key(promo_codes.withColumn("_k", F.upper(F.col("code"))), ["_k"],
                            [F.col("id").asc()])
-            .select("_k", F.col("code").alias("discount_code"), "discount_percent",
-                    "is_active", "expires_at"))
+            .select("_k", "discount_percent", "is_active", "expires_at"))
     part = (partners.join(users.select(F.col("id").alias("_uid")),
                           partners["user_id"] == F.col("_uid"), "left_semi")
             .select(F.col("promo_code").alias("_pk")).distinct())
-    j = (req.join(disc, req["code"] == disc["_k"], "left")
-         .join(part, req["code"] == part["_pk"], "left"))
+    answers = asked.join(disc, F.col("_code") == F.col("_k"), "left").join(part, F.col("_code") == F.col("_pk"), "left")
+    own = F.when(F.col("code") != "", F.col("code")).otherwise(F.concat(F.lit("\0"), F.col("request_id").cast("string")))
+    j = req.withColumn("_own", own).join(answers, F.col("_own") == F.col("_code"), "left")
     outcome = (F.when(F.col("code") == "", F.lit("missing"))
                .when(F.col("_k").isNotNull() & ~F.col("is_active"), F.lit("inactive"))
                .when(F.col("_k").isNotNull() & F.col("expires_at").isNotNull()
