@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import (PARTNER_COMMISSION_RATE, PRODUCT_CLASS_OTHER, PRODUCT_CLASSES,
                          REVENUE_PERIOD_OTHER, REVENUE_PERIODS)
 from ..functions.filters import eq_if, page_joined, since, where
+from ..functions.keyset import after, page_after
 from ..functions.money import money, money_sum
 
 # Shown when an attributed order has neither promo code nor buyer e-mail.
@@ -16,14 +17,15 @@ SOURCE_MISSING = "—"
 
 
 def payout_queue(payouts: DataFrame, partners: DataFrame, users: DataFrame, status=None,
-                 page_no: int = 1, limit: int = 20, tie_break: list[str] | None = None
-                 ) -> DataFrame:
+                 page_no: int = 1, limit: int = 20, tie_break: list[str] | None = None,
+                 last_seen: tuple | None = None) -> DataFrame:
     """Item 5. Payouts with partner slug and e-mail, newest first.
 
     Both joins are inner, so payouts of a missing partner (or a partner without a user)
     are not listed.  ``tie_break`` columns (default ``id``) order rows equal on
     ``created_at``, all descending.  The page is cut from the newest payouts first when
-    the joins drop none of them (``functions.filters.page_joined``).
+    the joins drop none of them (``functions.filters.page_joined``).  ``last_seen``, the
+    created_at and tie-break values of the row before the page, pages by key instead.
     """
     pp = where(payouts, eq_if("status", status))
     p = partners.select(F.col("id").alias("_pid"), F.col("user_id").alias("_puser"),
@@ -35,6 +37,9 @@ def payout_queue(payouts: DataFrame, partners: DataFrame, users: DataFrame, stat
                 .join(u, F.col("_puser") == u["_uid"], "inner")
                 .drop("_pid", "_puser", "_uid"))
 
+    if last_seen is not None:
+        key = [(c, False) for c in ("created_at", *(tie_break or ["id"]))]
+        return page_after(joiner(pp.where(after(key, last_seen))), key, None, limit)
     ties = [F.col(c).desc() for c in (tie_break or ["id"])]
     return page_joined(pp, joiner, [F.col("created_at").desc(), *ties], page_no, limit)
 

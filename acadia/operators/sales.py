@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHART_DEFAULT_DAYS, PARTNERSHIP_PRODUCT
-from ..functions.filters import day_range, eq_if, page_joined, search, since, ts_lit, where
+from ..functions.filters import day_range, eq_if, page, page_joined, search, since, ts_lit, where
+from ..functions.keyset import NEWEST, after, page_after
 from ..functions.money import money_sum
+from ..functions.trigrams import Index, indexed_search
 
 
 def sales_daily(orders: DataFrame, as_of=None, start=None, end=None,
@@ -75,13 +77,17 @@ def sales_totals(orders: DataFrame, users: DataFrame, status=None, product=None,
 
 def sales_page(orders: DataFrame, users: DataFrame, partners: DataFrame, status=None,
                product=None, start=None, end=None, term=None, page_no: int = 1,
-               limit: int = 20) -> DataFrame:
+               limit: int = 20, last_seen: tuple | None = None, index: Index | None = None) -> DataFrame:
     """Item 4. One page of sales, newest first, with buyer and partner slug.
 
     The partner side is a left join, so orders attributed to a missing partner stay.
     Ties on ``created_at`` are broken by order id (descending).  The newest
     ``offset + limit`` orders are cut first and joined; only if the buyer join drops
     some of them (missing user, search term) is the full join paged.
+
+    ``last_seen``, the (created_at, id) of the row before the page, pages by key: a predicate on the
+    orders, no job while the plan is made and no offset.  ``index`` is a trigram index of the
+    users' e-mail and name: the matching buyers are found first and only their orders joined.
     """
     o = where(orders, eq_if("status", status), eq_if("product", product),
               day_range("created_at", start, None) if start else None,
@@ -90,13 +96,21 @@ def sales_page(orders: DataFrame, users: DataFrame, partners: DataFrame, status=
                      F.col("name").alias("buyer_name"))
     p = partners.select(F.col("id").alias("p_id"), F.col("slug").alias("partner_slug"))
 
+    if index is not None:
+        u = indexed_search(u, "buyer_id", ["buyer_email", "buyer_name"], term, index)
+
     def joiner(left: DataFrame) -> DataFrame:
         j = left.join(u, left["user_id"] == u["buyer_id"], "inner")
-        j = where(j, search(term, "buyer_email", "buyer_name"))
+        j = j if index is not None else where(j, search(term, "buyer_email", "buyer_name"))
         return (j.join(p, j["referral_partner_id"] == p["p_id"], "left")
                 .select("id", "product", "amount", "promo_code", "status", "created_at",
                         "paid_at", "buyer_email", "buyer_name", "partner_slug"))
 
+    if last_seen is not None or (index is not None and term):
+        seen = o if last_seen is None else o.where(after(NEWEST, last_seen))
+        if last_seen is None and page_no > 1:
+            return page(joiner(seen), [F.col("created_at").desc(), F.col("id").desc()], page_no, limit)
+        return page_after(joiner(seen), NEWEST, None, limit)
     # Exact early cut: the page is taken from the newest orders when none of them is
     # dropped by the buyer join (see functions.filters.page_joined).
     return page_joined(o, joiner, [F.col("created_at").desc(), F.col("id").desc()],

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PARTNERSHIP_PRODUCT, PLAN_DAYS
-from ..functions.filters import eq_if, page_joined, search, since, where
+from ..functions.filters import BROADCAST_KEYS, eq_if, page_joined, search, since, where
+from ..functions.keyset import NEWEST, after, page_after
 from ..functions.money import money_sum, percent_of
 
 
@@ -42,13 +43,14 @@ def plan_end(product: F.Column, start: F.Column, plan_days: dict | None = None)
 
 def subscription_page(orders: DataFrame, users: DataFrame, progress: DataFrame,
                       lessons: DataFrame, status=None, term=None, page_no: int = 1,
-                      limit: int = 20, plan_days: dict | None = None) -> DataFrame:
+                      limit: int = 20, plan_days: dict | None = None, last_seen: tuple | None = None) -> DataFrame:
     """Item 8. One page of course subscriptions with progress and plan dates.
 
     The page is cut first (bounded top-k over orders, joined to buyers; the full join
     only when that drops rows), then only the page's users are looked up in
     ``course_progress``: the progress scan is filtered by a
-    semi-join against at most ``limit`` ids before it is aggregated.
+    semi-join against at most ``limit`` ids before it is aggregated.  ``last_seen``, the
+    (created_at, id) of the row before the page, pages by key instead of by number.
     """
     o = where(orders.filter(F.col("product") != F.lit(PARTNERSHIP_PRODUCT)),
               eq_if("status", status))
@@ -61,11 +63,14 @@ def subscription_page(orders: DataFrame, users: DataFrame, progress: DataFrame,
         return rows.select("id", "product", "amount", "promo_code", "status", "created_at",
                            "paid_at", "buyer_email", "buyer_name", "user_id")
 
-    top = page_joined(o, joiner, [F.col("created_at").desc(), F.col("id").desc()],
-                      page_no, limit)
+    if last_seen is not None:
+        top = page_after(joiner(o.where(after(NEWEST, last_seen))), NEWEST, None, limit)
+    else:
+        top = page_joined(o, joiner, [F.col("created_at").desc(), F.col("id").desc()],
+                          page_no, limit)
 
     page_users = top.select(F.col("user_id").alias("puid")).distinct()
-    done = (progress.join(F.broadcast(page_users), progress["user_id"] == page_users["puid"],
+    done = (progress.join(F.broadcast(page_users) if int(limit or 20) <= BROADCAST_KEYS else page_users, progress["user_id"] == page_users["puid"],
                           "left_semi")
             .groupBy(F.col("user_id").alias("cp_user"))
             .agg(F.count_if(F.col("completed")).alias("completed_count")))

@@ -8,29 +8,41 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import eq_if, page, search, ts_lit, where
 from ..functions.keys import latest_per_key
+from ..functions.keyset import NEWEST, page_after
+from ..functions.trigrams import Index, indexed_search
 
 USER_PUBLIC_COLUMNS = ["id", "email", "name", "role", "email_verified", "created_at"]
 
 
 def user_directory(users: DataFrame, role=None, term=None, page_no: int = 1,
-                   limit: int = 20) -> DataFrame:
-    """Item 6. Filtered users, newest first, without credentials (id breaks ties)."""
-    rows = where(users, eq_if("role", role), search(term, "email", "name"))
+                   limit: int = 20, last_seen: tuple | None = None, index: Index | None = None) -> DataFrame:
+    """Item 6. Filtered users, newest first, without credentials (id breaks ties).
+
+    ``last_seen``, the (created_at, id) of the row before the page, pages by key instead of by
+    number.  ``index`` is a trigram index of e-mail and name (``functions.trigrams``).
+    """
+    rows = where(users, eq_if("role", role))
+    rows = where(rows, search(term, "email", "name")) if index is None else indexed_search(rows, "id", ["email", "name"], term, index)
     rows = rows.select(*USER_PUBLIC_COLUMNS)
+    if last_seen is not None:
+        return page_after(rows, NEWEST, last_seen, limit)
     return page(rows, [F.col("created_at").desc(), F.col("id").desc()], page_no, limit)
 
 
 def application_queue(applications: DataFrame, status=None, term=None, page_no: int = 1,
-                      limit: int = 20) -> DataFrame:
+                      limit: int = 20, last_seen: tuple | None = None) -> DataFrame:
     """Item 9. Applications, pending first then newest, searched on name/email/telegram.
 
     Each row also carries ``total``, the number of applications matching the filters.
+    ``last_seen``: (0 if pending else 1, created_at, id) of the row before the page.
     """
     rows = where(applications, eq_if("status", status),
                  search(term, "name", "email", "telegram"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    order = [F.when(F.col("status") == "pending", 0).otherwise(1),
-             F.col("created_at").desc(), F.col("id").desc()]
+    place = F.when(F.col("status") == "pending", 0).otherwise(1)
+    if last_seen is not None:
+        return page_after(rows, [(place, True), *NEWEST], last_seen, limit).crossJoin(total)
+    order = [place, F.col("created_at").desc(), F.col("id").desc()]
     return page(rows, order, page_no, limit).crossJoin(total)
 
 
