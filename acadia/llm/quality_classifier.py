@@ -7,9 +7,12 @@ unlabelled document is scored by both; what one view is sure of becomes a pseudo
 the other, and both are fitted again.  Held-out labels calibrate each view, and the two
 calibrated log-odds are added up into the score of every document.
 
-Features are computed where the text is, scoring runs over all documents; only fitting uses
-samples, whose bounds are parameters: ``max_labelled`` labelled documents, and
-``max_exchanged`` pseudo-labelled ones per view and round, both taken by hash order.
+Features are computed where the text is; scoring and teaching run over all documents.  The
+metadata view is fitted on counts of its patterns (at most 16 * 64 * 24), the text view by
+Newton steps whose sums every task adds up over its rows, so every document that a view is
+sure of teaches the other.  Together the taught documents weigh as much as the labelled ones,
+each class by its share in the labels, and none more than ``TAUGHT`` of a labelled one.  Only
+labelled rows are sampled: ``max_labelled`` of them, by hash order.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BINS, HASHED = 8, 64
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b".,;:?'\"()-", b"!", b"\n"]
 DENSE = 16
 SURE = 0.95
+TAUGHT = 0.3
+SLOTS = 64
 _META = 16 + 64 + 24
 
 
@@ -177,23 +182,97 @@ def _columns(batch: pa.RecordBatch) -> dict:
     return {c: batch.column(c).to_pylist() for c in ("xt", "xm")}
 
 
+def _taught_weights(counts: dict, labelled: float, prior: float) -> dict:
+    """Weight of a pseudo-labelled row by label, from the rows of each label."""
+    return {k: min(TAUGHT, labelled * share / counts[k]) if counts.get(k) else 0.0 for k, share in ((0, 1 - prior), (1, prior))}
+
+
+def _sure_labels(z: np.ndarray) -> np.ndarray:
+    """1 and 0 where the log-odds are sure, -1 elsewhere."""
+    limit = np.log(SURE / (1 - SURE))
+    return np.where(z >= limit, 1, np.where(z <= -limit, 0, -1))
+
+
 def _sure(model: Model):
-    """Rows that a view is sure of, with the label it gives: ``view`` 0 text, 1 metadata."""
+    """How often each view is sure of each label: for what the text view is sure of, by metadata."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, int] = {}
+        for batch in batches:
+            xt, xm = _arrays(_columns(batch))
+            zt, zm = model.logits(xt, xm)
+            for view, z, patterns in ((0, zt, xm), (1, zm, np.zeros_like(xm))):
+                label = _sure_labels(z)
+                some = label >= 0
+                keys, n = np.unique(np.column_stack([label[some], patterns[some]]), axis=0, return_counts=True)
+                for key, c in zip(keys.tolist(), n.tolist()):
+                    counts[view, *key] = counts.get((view, *key), 0) + c
+        if counts:
+            view, label, *pattern = zip(*counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(view, pa.int32()), pa.array(label, pa.int32()), pa.array([bytes(p) for p in zip(*pattern)], pa.binary()),
+                 pa.array(list(counts.values()), pa.int64())], names=["view", "label", "xm", "n"])
+    return run
+
+
+def _moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the weighted loss at ``beta``, in one array."""
+    x = x.astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    hess = (x * (weight * p * (1 - p) + 1e-9 * (weight > 0))[:, None]).T @ x
+    return np.concatenate([[x.T @ (weight * (p - y))], hess])
+
+
+def _taught_moments(model: Model, weights: dict, beta: np.ndarray):
+    """Each task's moments of the text view over the rows that the metadata view is sure of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.log(SURE / (1 - SURE))
+        from pyspark import TaskContext
+        total = np.zeros((len(beta) + 1, len(beta)))
         for batch in batches:
-            for view, z in enumerate(model.logits(*_arrays(_columns(batch)))):
-                at = np.flatnonzero(np.abs(z) >= limit)
+            xt, xm = _arrays(_columns(batch))
+            label = _sure_labels(_meta_matrix(xm) @ model.meta)
+            for lo in range(0, len(xt), 4096):
+                at = lo + np.flatnonzero(label[lo:lo + 4096] >= 0)
                 if len(at):
-                    part = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("order"), part.column("xt"), part.column("xm"), pa.array(np.full(len(at), view, np.int32)),
-                         pa.array((z[at] > 0).astype(np.int32))], names=["order", "xt", "xm", "view", "label"])
+                    w = np.where(label[at] == 1, weights[1], weights[0])
+                    total += _moments(_text_matrix(xt[at]), label[at].astype(float), w, beta)
+        yield _sums(TaskContext.get().partitionId() % SLOTS, total)
     return run
 
 
-def co_train(features: DataFrame, labels: DataFrame, rounds: int = 3, max_labelled: int = 20_000,
-             max_exchanged: int = 4_000) -> Model:
+def _sums(slot: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for blob in batch.column("sums").to_pylist():
+            part = np.frombuffer(blob)
+            total = part if total is None else total + part
+    if total is not None:
+        yield _sums(0, total)
+
+
+def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
+    """The tasks' moments, added up in two steps; the driver gets at most ``SLOTS`` arrays."""
+    parts = rows.mapInArrow(run, "slot int, sums binary").repartition(SLOTS, "slot").mapInArrow(_added, "slot int, sums binary").collect()
+    return sum((np.frombuffer(r.sums).reshape(size + 1, size) for r in parts), np.zeros((size + 1, size)))
+
+
+def fit_taught(x: np.ndarray, y: np.ndarray, taught, beta: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton steps on the labelled rows and on ``taught(beta)``, the moments of the others."""
+    keep = np.full(x.shape[1], ridge)
+    keep[-1] = 1e-3
+    for _ in range(8):
+        sums = _moments(x, y, np.ones(len(y)), beta) + taught(beta)
+        step = np.linalg.solve(sums[1:] + np.diag(keep), sums[0] + keep * beta)
+        beta = beta - step
+        if np.abs(step).max() < 1e-2:
+            break
+    return beta
+
+
+def co_train(features: DataFrame, labels: DataFrame, rounds: int = 3, max_labelled: int = 20_000) -> Model:
     """Fits both views on ``labels(doc_id, quality)`` and on what they teach each other."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"))
     joined = staged(features.join(known, "doc_id", "left"), "quality-features")
@@ -207,33 +286,23 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = 3, max_labell
     fit, prior = ~held, float(np.clip(y.mean(), 0.01, 0.99))
     if not held.any() or len(set(y[held])) < 2 or len(set(y[fit])) < 2:
         held = fit = np.ones(len(y), bool)
-    plain = ((1.0, 0.0), (1.0, 0.0))
-    taught: list[list[tuple]] = [[], []]  # per view the pseudo-labelled (xt, xm, label) it is given
-    open_rows = joined.where("label IS NULL")
-
-    def fitted() -> Model:
-        weights = []
-        for view, matrix, own in ((0, _text_matrix, xt), (1, _meta_matrix, xm)):
-            extra = taught[view]
-            x = np.concatenate([own[fit], *[e[view] for e in extra]])
-            t = np.concatenate([y[fit], *[e[2] for e in extra]])
-            w = np.concatenate([np.ones(fit.sum()), *[np.full(len(e[2]), 0.3) for e in extra]])
-            weights.append(fit_logistic(matrix(x), t, w))
-        return Model(weights[0], weights[1], plain, prior)
-
-    model = fitted()
+    plain, own = ((1.0, 0.0), (1.0, 0.0)), np.ones(int(fit.sum()))
+    open_rows = joined.where("label IS NULL").select("xt", "xm")
+    text, meta = _text_matrix(xt[fit]), _meta_matrix(xm[fit])
+    model = Model(fit_logistic(text, y[fit], own), fit_logistic(meta, y[fit], own), plain, prior)
     for _ in range(rounds):
-        sure = open_rows.mapInArrow(_sure(model), "order long, xt binary, xm binary, view int, label int")
-        taught, counts = [[], []], (round(max_exchanged * (1 - prior)), round(max_exchanged * prior))
-        parts = [sure.where((F.col("view") == v) & (F.col("label") == k)).orderBy("order").limit(max(1, counts[k]))
-                 for v in range(2) for k in range(2)]
-        got = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).toPandas()
-        for view in range(2):
-            own = got[got["view"] == view]
-            if len(own):
-                a, b = _arrays(own)
-                taught[1 - view].append((a, b, own["label"].to_numpy(dtype=float)))
-        model = fitted()
+        sure = open_rows.mapInArrow(_sure(model), "view int, label int, xm binary, n long")
+        sure = sure.groupBy("view", "label", "xm").agg(F.sum("n").alias("n")).toPandas()
+        by = sure.groupby(["view", "label"])["n"].sum().to_dict()
+        weights = [_taught_weights({k: by.get((view, k), 0) for k in (0, 1)}, len(own), prior) for view in (0, 1)]
+        seen = sure[sure["view"] == 0]
+        label = seen["label"].to_numpy(dtype=float)
+        patterns = np.frombuffer(b"".join(seen["xm"]), np.uint8).reshape(-1, 3)
+        mass = seen["n"].to_numpy(dtype=float) * np.where(label == 1, weights[0][1], weights[0][0])
+        size = len(model.text)
+        beta = fit_taught(text, y[fit], lambda b: _summed(open_rows, _taught_moments(model, weights[1], b), size), model.text)
+        model = Model(beta, fit_logistic(np.concatenate([meta, _meta_matrix(patterns)]), np.concatenate([y[fit], label]),
+                                         np.concatenate([own, mass])), plain, prior)
 
     calibration = []
     for z in model.logits(xt[held], xm[held]):
@@ -258,7 +327,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bound
     Without labels of both kinds every score is the labels' share of good (1 without any).
     Null texts count as empty, null languages and sources as '', null lengths as 0.  Rows that
     repeat a doc_id are scored one by one.  Other columns are ignored; an empty table gives
-    no rows.  ``bounds``: ``rounds``, ``max_labelled``, ``max_exchanged``.
+    no rows.  ``bounds``: ``rounds``, ``max_labelled``.
     """
     features = staged(features_of(docs), "quality-views")
     model = co_train(features, labels, **bounds)
