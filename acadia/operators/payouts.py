@@ -94,18 +94,18 @@ def payout_status_batch(updates: DataFrame, payouts: DataFrame, partners: DataFr
     ``as_of`` if any of them is paid or rejected, and kept otherwise; each step into
     'rejected' from another status refunds the amount to the partner's balance.
     """
-    u = updates.withColumn("_valid", F.col("status").isin(*allowed))
+    # Updates of unknown payouts meet no row in the join below, so only the rejects look keys up.
+    u = updates.withColumn("_valid", F.coalesce(F.col("status").isin(*allowed), F.lit(False)))
     known = payouts.select(*[F.col(k).alias(f"_k_{k}") for k in key]).distinct()
     on = None
     for k in key:
         c = u[k] == known[f"_k_{k}"]
         on = c if on is None else on & c
-    u = u.join(known, on, "left").withColumn("_found", F.col(f"_k_{key[0]}").isNotNull()) \
-        .drop(*[f"_k_{k}" for k in key])
-    rejects = u.where(~F.col("_valid") | ~F.col("_found")).select(
+    found = F.col(f"_k_{key[0]}").isNotNull()
+    rejects = u.join(known, on, "left").where(~F.col("_valid") | ~found).select(
         *updates.columns, F.when(~F.col("_valid"), F.lit("bad_status"))
         .otherwise(F.lit("not_found")).alias("reason"))
-    ok = u.where(F.col("_valid") & F.col("_found"))
+    ok = u.where("_valid")
     ok = ok.withColumn("_prev", F.lag("status").over(Window.partitionBy(*key).orderBy("ts", "status")))
     place = F.struct("ts", "status")
     last = ok.groupBy(*key).agg(
