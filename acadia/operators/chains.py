@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..constants import APPLICATION_STATUSES, USER_ROLES
+from ..constants import APPLICATION_STATUSES, CHANGE_EMAIL_PREFIX, USER_ROLES
 from ..functions.filters import ts_lit
+from ..functions.keys import flag_exists, flag_first
 from ..functions.sequence import sequence_number
 from ..functions.text import trimmed
 from ..sources.domain import write_version
@@ -126,3 +127,50 @@ def verify_steps(attempts: DataFrame, as_of) -> list[Step]:
                                                    {"updated_at": ts_lit(as_of)})[0]}
 
     return [codes, users]
+
+
+def email_changes(attempts: DataFrame, codes: DataFrame, users: DataFrame, as_of) -> DataFrame:
+    """Item 38. ``attempts(attempt_id, user_id, email, code)`` to move a user's address to the one a
+    ``change_email:<address>`` code names: ``attempt_id, user_id, code_id, new_email, outcome``.
+
+    The outcome is that of ``code_check`` (``invalid``, ``used``, ``expired``), else ``not_found`` (no such
+    user), ``email_taken`` (by a user, or by an earlier good attempt), ``superseded`` (the user's
+    address has changed by an earlier good attempt) or ``changed``.
+    """
+    checked = sessions.code_check(attempts.select("attempt_id", "email", F.lit(CHANGE_EMAIL_PREFIX).alias("purpose"), "code"), codes, as_of)
+    r = checked.join(attempts.select(F.col("attempt_id").alias("_a"), "user_id"), F.col("attempt_id") == F.col("_a")).drop("_a")
+    r = flag_exists(r, users, "user_id", "id", "_known")
+    r = flag_exists(r, users, "new_email", "email", "_taken")
+    good = (F.col("result") == "ok") & F.col("_known") & ~F.col("_taken")
+    r = flag_first(r, ["user_id"], ["attempt_id"], "_first_user", when=good)
+    r = flag_first(r, ["new_email"], ["attempt_id"], "_first_email", when=good & F.col("_first_user"))
+    outcome = (F.when(F.col("result") != "ok", F.col("result")).when(~F.col("_known"), "not_found").when(F.col("_taken"), "email_taken")
+               .when(~F.col("_first_user"), "superseded").when(~F.col("_first_email"), "email_taken").otherwise("changed"))
+    return r.select("attempt_id", "user_id", "code_id", "new_email", outcome.alias("outcome"))
+
+
+def email_change_steps(attempts: DataFrame, as_of) -> list[Step]:
+    """Items 38 + 42 + 46: good codes are used up, their users get the new address, and all their
+    sessions end."""
+    judged: list[DataFrame] = []
+
+    def codes(t: State) -> dict[str, DataFrame]:
+        judged.append(email_changes(attempts, t["otp_codes"], t["users"], as_of).where("outcome = 'changed'"))
+        done = judged[0].select(F.col("code_id").alias("_done"))
+        marked = t["otp_codes"].join(done, F.col("id") == F.col("_done"), "left")
+        return {"otp_codes": marked.select(*[(F.col("used") | F.col("_done").isNotNull()).alias("used") if c == "used" else F.col(c)
+                                             for c in t["otp_codes"].columns])}
+
+    def users(t: State) -> dict[str, DataFrame]:
+        new = judged[0].select(F.col("user_id").alias("_uid"), "new_email")
+        rows, old = t["users"].join(new, F.col("id") == F.col("_uid"), "left"), t["users"].columns
+        stamp = F.when(F.col("_uid").isNotNull(), ts_lit(as_of))
+        stamp = F.coalesce(stamp, F.col("updated_at")) if "updated_at" in old else stamp
+        return {"users": rows.select(*[F.coalesce("new_email", "email").alias("email") if c == "email" else F.col(c) for c in old if c != "updated_at"],
+                                     stamp.alias("updated_at"))}
+
+    def tokens(t: State) -> dict[str, DataFrame]:
+        out = judged[0].select(F.col("user_id").alias("_uid"))
+        return {"refresh_tokens": t["refresh_tokens"].join(out, F.col("user_id") == F.col("_uid"), "left_anti")}
+
+    return [codes, users, tokens]

@@ -107,6 +107,52 @@ WITH {_GOOD}
 SELECT c.* REPLACE (c.used OR c.id IN (SELECT id FROM good) AS used) FROM codes c
 """)(_verified("otp_codes"))
 
+# Every code asks for a new address; some of these are taken, some asked for twice.
+B_CHANGE_CODES = """
+SELECT c.id, u.email, c.code, concat('change_email:', CASE WHEN c.id % 8 = 0 THEN concat('customer.00000000', CAST(1 + c.id % 9 AS STRING))
+       ELSE concat('new', CAST(c.id % 700 AS STRING)) END, '@example.test') AS purpose, c.created_at,
+       c.expires_at + INTERVAL '1' DAY * CAST(c.id % 20 AS INT) AS expires_at, c.used
+FROM f_otp_codes c JOIN f_users u ON c.email = concat('u', CAST(u.id AS STRING), '@example.test')"""
+B_CHANGES = f"""
+SELECT c.id AS attempt_id, CASE WHEN c.id % 31 = 0 THEN u.id + 100000000 ELSE u.id END AS user_id, c.email,
+       CASE WHEN c.id % 9 = 1 THEN 'wrong' ELSE c.code END AS code
+FROM ({B_CHANGE_CODES}) c JOIN f_users u ON u.email = c.email"""
+_CHANGES_SQL = f"""
+codes AS ({B_CHANGE_CODES}),
+tries AS (SELECT a.attempt_id, a.user_id, n.id AS code_id, substr(n.purpose, 14) AS new_email,
+            CASE WHEN n.id IS NULL THEN 'invalid' WHEN n.used THEN 'used' WHEN {AS_OF_CODES_SQL} > n.expires_at THEN 'expired'
+                 WHEN a.user_id NOT IN (SELECT id FROM f_users) THEN 'not_found'
+                 WHEN substr(n.purpose, 14) IN (SELECT email FROM f_users) THEN 'email_taken' END AS fault
+          FROM ({B_CHANGES}) a LEFT JOIN (SELECT * FROM codes QUALIFY row_number() OVER (PARTITION BY email, code ORDER BY created_at DESC, id DESC) = 1) n
+            ON n.email = lower(trim(a.email)) AND n.code = a.code),
+own AS (SELECT *, fault IS NULL AND row_number() OVER (PARTITION BY user_id, fault IS NULL ORDER BY attempt_id) = 1 AS mine FROM tries),
+changes AS (SELECT attempt_id, user_id, code_id, new_email, CASE WHEN fault IS NOT NULL THEN fault WHEN NOT mine THEN 'superseded'
+              WHEN row_number() OVER (PARTITION BY new_email, mine ORDER BY attempt_id) > 1 THEN 'email_taken' ELSE 'changed' END AS outcome FROM own)"""
+
+
+def _changed(name: str):
+    return lambda fx: _published(fx, {"users": fx.users, "otp_codes": fx.sql(B_CHANGE_CODES), "refresh_tokens": fx.refresh_tokens},
+                                 chains.email_change_steps(fx.sql(B_CHANGES), AS_OF_CODES), name)
+
+
+query("email_changes", sql=f"WITH {_CHANGES_SQL} SELECT * FROM changes")(
+    lambda fx: chains.email_changes(fx.sql(B_CHANGES), fx.sql(B_CHANGE_CODES), fx.users, AS_OF_CODES))
+query("chain_email_users", sql=f"""
+WITH {_CHANGES_SQL},
+won AS (SELECT user_id, new_email FROM changes WHERE outcome = 'changed')
+SELECT u.id, coalesce(won.new_email, u.email) AS email, u.name, u.role, u.email_verified, u.created_at,
+       CASE WHEN won.user_id IS NOT NULL THEN {AS_OF_CODES_SQL} END AS updated_at
+FROM f_users u LEFT JOIN won ON won.user_id = u.id
+""")(_changed("users"))
+query("chain_email_codes", sql=f"""
+WITH {_CHANGES_SQL}
+SELECT c.* REPLACE (c.used OR c.id IN (SELECT code_id FROM changes WHERE outcome = 'changed') AS used) FROM codes c
+""")(_changed("otp_codes"))
+query("chain_email_tokens", sql=f"""
+WITH {_CHANGES_SQL}
+SELECT * FROM f_refresh_tokens WHERE user_id NOT IN (SELECT user_id FROM changes WHERE outcome = 'changed')
+""")(_changed("refresh_tokens"))
+
 # ------------------------------------------ item 31 on the stored, bucketed table
 
 def _upserted(fx) -> DataFrame:

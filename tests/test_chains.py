@@ -93,3 +93,23 @@ def test_verification_changes_users_and_codes(spark):
     users, codes = (QUERIES[n](spark, SF) for n in ("chain_verify_users", "chain_verify_codes"))
     assert users.where("updated_at IS NOT NULL").count() > 0 and users.where("updated_at IS NULL").count() > 0
     assert codes.where("used").count() > codes.where("used AND id % 2 = 0").count()
+
+
+def test_email_changes(spark, tmp_path):
+    base, day = str(tmp_path / "t"), dt.timedelta(1)
+    people = _people(spark)["users"].unionByName(spark.createDataFrame([(5, "dee@x", "Dee", "user", True)], _people(spark)["users"].schema))
+    code = lambda i, who, new, used=False, late=False: (i, who, f"c{i}", f"change_email:{new}", T0, T0 if late else AS_OF + day, used)
+    codes = [code(1, "ann@x", "a@y"), code(2, "ann2@x", "a@y"), code(3, "bob@x", "cid@x"), code(4, "cid@x", "c@y", used=True),
+             code(5, "cid@x", "c@y", late=True), code(6, "ann@x", "b@y"), code(7, "dee@x", "d@y")]
+    tables = {"users": people, "otp_codes": spark.createDataFrame(codes, "id long, email string, code string, purpose string, created_at timestamp, "
+                                                                  "expires_at timestamp, used boolean"),
+              "refresh_tokens": spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 5), (5, None)], "id long, user_id long")}
+    schemas = _stored(spark, base, tables)
+    tries = spark.createDataFrame([(1, 1, "Ann@x ", "c1"), (2, 2, "ann2@x", "c2"), (3, 3, "bob@x", "c3"), (4, 4, "cid@x", "c4"), (5, 4, "cid@x", "c5"),
+                                   (6, 1, "ann@x", "c6"), (7, 99, "dee@x", "c7"), (8, 5, "dee@x", "no")], "attempt_id long, user_id long, email string, code string")
+    got = chains.email_changes(tries, tables["otp_codes"], people, AS_OF)
+    assert {r.attempt_id: r.outcome for r in got.collect()} == {1: "changed", 2: "email_taken", 3: "email_taken", 4: "used", 5: "expired", 6: "superseded",
+                                                                7: "not_found", 8: "invalid"}
+    _, state = chains.run_chain(spark, base, schemas, chains.email_change_steps(tries, AS_OF))
+    assert {r.id: (r.email, r.updated_at) for r in state["users"].collect() if r.updated_at} == {1: ("a@y", AS_OF)}
+    assert {r.id for r in state["otp_codes"].where("used").collect()} == {1, 4} and {r.id for r in state["refresh_tokens"].collect()} == {3, 4, 5}
