@@ -27,7 +27,7 @@ from . import _words as W
 SHINGLE = 5
 SCALE_BITS = 2  # one hash in 2**SCALE_BITS is retained
 KEPT_BYTES = 5
-MAX_RUNS, ROWS_PER_RUN = 1000, 1000
+MAX_RUNS, ROWS_PER_RUN = 1_000_000, 1000  # runs follow the rows; their bounds are a list on the driver
 
 _ROWS = "doc_id long, text string, row_key long, run int, ahead boolean"
 _OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -166,7 +166,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     found = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("first"),
                      F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     runs = max(1, min(MAX_RUNS, found.n // ROWS_PER_RUN))
-    marks = docs.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [0.5], 10_000).alias("b")).first().b
+    marks = docs.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [0.5], max(10_000, 4 * runs)).alias("b")).first().b
     bounds = sorted({b for b in marks or [] if runs > 1 and b > found.first})
     dealt = docs.withColumn("row_key", F.xxhash64("text")).mapInArrow(_deal(bounds, found.first, bool(found.nulls)), _ROWS)
     ordered = dealt.repartition("run").sortWithinPartitions("run", "ahead", "doc_id", "row_key")
