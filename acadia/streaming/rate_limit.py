@@ -78,16 +78,18 @@ def _starts(hits: DataFrame, cells: DataFrame, w: int) -> DataFrame:
     longest = cells.where("many").agg(F.max("cells").alias("n")).first().n
     if longest is None:
         return firsts
-    jump = stored(_next(hits, cells, w), "rate-jump")
-    marked = stored(cells.where("opens AND many").select("client_key", F.col("lo").alias("start")), "rate-marked")
-    for k in range(math.ceil(math.log2(longest))):
-        if k:
-            far = jump.select(F.col("client_key").alias("c2"), F.col("t").alias("t2"), F.col("nxt").alias("n2"))
-            jump = stored(jump.where("nxt IS NOT NULL").join(far, F.col("client_key").eqNullSafe(F.col("c2")) & (F.col("nxt") == F.col("t2")))
-                          .select("client_key", "t", F.col("n2").alias("nxt")), "rate-jump")
+    jumps = [stored(_next(hits, cells, w), "rate-jump")]
+    for _ in range(math.ceil(math.log2(longest)) - 1):
+        near = jumps[-1].where("nxt IS NOT NULL")
+        far = near.select(F.col("client_key").alias("c2"), F.col("t").alias("t2"), F.col("nxt").alias("n2"))
+        jumps.append(stored(near.join(far, F.col("client_key").eqNullSafe(F.col("c2")) & (F.col("nxt") == F.col("t2")))
+                            .select("client_key", "t", F.col("n2").alias("nxt")), "rate-jump"))
+    # A start's number in its session is a sum of powers of two: each is reached once, in one plan.
+    marked = cells.where("opens AND many").select("client_key", F.col("lo").alias("start"))
+    for jump in reversed(jumps):
         to = jump.where("nxt IS NOT NULL").select(F.col("client_key").alias("c2"), "t", "nxt")
-        ahead = marked.join(to, F.col("client_key").eqNullSafe(F.col("c2")) & (F.col("start") == F.col("t")))
-        marked = stored(marked.unionByName(ahead.select("client_key", F.col("nxt").alias("start"))), "rate-marked")
+        ahead = marked.join(to, F.col("client_key").eqNullSafe(F.col("c2")) & (F.col("start") == F.col("t")), "left")
+        marked = ahead.select("client_key", F.explode(F.array("start", "nxt")).alias("start")).where("start IS NOT NULL")
     return cells.where("opens AND NOT many").select("client_key", F.col("lo").alias("start")).unionByName(marked)
 
 

@@ -52,7 +52,7 @@ def test_a_busy_client_takes_logarithmic_rounds(spark, monkeypatch):
     monkeypatch.setattr(rate_limit, "stored", lambda df, name: made.append(name) or real(df, name))
     hits = [(1, t) for t in range(0, 6000, 7)] + [(2, 5)]
     assert _got(rate_limit_report(_table(spark, hits), "1 minute", 9)) == _loop(hits, 60)
-    assert made.count("rate-marked") <= 8  # a hundred windows
+    assert made.count("rate-jump") <= 7  # a hundred windows
 
 
 def test_no_requests_and_requests_without_time(spark):
