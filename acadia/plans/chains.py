@@ -116,7 +116,7 @@ FROM f_otp_codes c JOIN f_users u ON c.email = concat('u', CAST(u.id AS STRING),
 B_CHANGES = f"""
 SELECT c.id AS attempt_id, CASE WHEN c.id % 31 = 0 THEN u.id + 100000000 ELSE u.id END AS user_id, c.email,
        CASE WHEN c.id % 9 = 1 THEN 'wrong' ELSE c.code END AS code
-FROM ({B_CHANGE_CODES}) c JOIN f_users u ON u.email = c.email"""
+FROM ({B_CHANGE_CODES}) c JOIN f_users u ON u.email = c.email WHERE u.id % 4 <> 1"""
 _CHANGES_SQL = f"""
 codes AS ({B_CHANGE_CODES}),
 tries AS (SELECT a.attempt_id, a.user_id, n.id AS code_id, substr(n.purpose, 14) AS new_email,

@@ -84,9 +84,9 @@ B_ACCESS_USERS = "SELECT id AS user_id FROM f_users"
 
 B_PURGE_USERS = "SELECT id AS user_id FROM f_users WHERE id % 25 = 1 OR id = 150"
 PURGE_ACTOR = 150
-# Every fifth partner has no attributed orders left, so that partners can be purged too.
+# Every fifth partner but the first has no attributed orders left, so that partners can be purged too.
 B_PURGE_ORDERS = """
-SELECT id, user_id, product, amount, CASE WHEN referral_partner_id % 5 <> 0 THEN referral_partner_id END AS referral_partner_id,
+SELECT id, user_id, product, amount, CASE WHEN referral_partner_id % 5 <> 0 OR referral_partner_id = 0 THEN referral_partner_id END AS referral_partner_id,
        promo_code, status, created_at, paid_at
 FROM f_orders"""
 
