@@ -9,12 +9,14 @@ from pyspark.sql import SparkSession
 
 # Settings every operator assumes.  The time zone is fixed to UTC so DATE()/date_trunc
 # buckets do not depend on the host zone; AQE re-plans joins (broadcast vs sort-merge),
-# coalesces small shuffle partitions and splits skewed ones at run time.
+# coalesces small shuffle partitions and splits skewed ones at run time.  Batches handed to
+# Python are bounded by bytes, as ten thousand long texts would not fit a worker's memory.
 LIBRARY_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
