@@ -415,7 +415,7 @@ def test_plan_places_every_piece_once():
 def test_query_matches_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
