@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WINDOW = 1 << 19
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 _rng = np.random.default_rng(20240229)
