@@ -254,9 +254,12 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
-    """The tasks' moments, added up in two steps; the driver gets at most ``SLOTS`` arrays."""
-    parts = rows.mapInArrow(run, "slot int, sums binary").repartition(SLOTS, "slot").mapInArrow(_added, "slot int, sums binary").collect()
-    return sum((np.frombuffer(r.sums).reshape(size + 1, size) for r in parts), np.zeros((size + 1, size)))
+    """The tasks' moments added up.  The driver gets at most ``SLOTS`` arrays: more tasks than that
+    are added up by slot first."""
+    parts = rows.mapInArrow(run, "slot int, sums binary")
+    if rows.rdd.getNumPartitions() > SLOTS:
+        parts = parts.repartition(SLOTS, "slot").mapInArrow(_added, "slot int, sums binary")
+    return sum((np.frombuffer(r.sums).reshape(size + 1, size) for r in parts.collect()), np.zeros((size + 1, size)))
 
 
 def fit_taught(x: np.ndarray, y: np.ndarray, taught, beta: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -63,6 +63,13 @@ def test_scores_match_training_in_one_place(spark):
     assert sum(got[i].kept != (p >= 0.5) for i, p in want.items()) <= 1
 
 
+def test_many_tasks_are_added_up_by_slot(spark, monkeypatch):
+    monkeypatch.setattr(qc, "SLOTS", 3)
+    rows = spark.range(0, 40, 1, 7)
+    ones = lambda batches: iter([qc._sums(0, np.ones((3, 2)) * sum(b.num_rows for b in batches))])
+    assert (qc._summed(rows, ones, 2) == 40).all() and (qc._summed(rows.coalesce(2), ones, 2) == 40).all()
+
+
 def test_every_sure_document_teaches_whatever_the_number(spark):
     # The same documents four times over: four times the sure rows at a quarter of the weight, above the bound.
     assert qc._taught_weights({0: 1000, 1: 4000}, 200, 0.5) == {0: 0.1, 1: 0.025}
