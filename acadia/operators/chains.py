@@ -20,6 +20,7 @@ from ..constants import APPLICATION_STATUSES, CHANGE_EMAIL_PREFIX, USER_ROLES
 from ..functions.filters import ts_lit
 from ..functions.keys import flag_exists, flag_first
 from ..functions.sequence import sequence_number
+from ..functions.stored import stored
 from ..functions.text import trimmed
 from ..sources.domain import write_version
 from ..sources.versions import Snapshot, publish_on, read_version, snapshot
@@ -111,13 +112,14 @@ def review_steps(updates: DataFrame, as_of) -> list[Step]:
 def verify_steps(attempts: DataFrame, as_of) -> list[Step]:
     """Items 38 + 42: codes that good attempts use up, then the addresses that they verify.
 
-    Both steps judge the attempts by the codes as published, before they are used up.
+    Both steps judge the attempts by the codes as published, before they are used up; the judgement
+    is stored, so it is made once.
     """
     judged: list[DataFrame] = []
 
     def codes(t: State) -> dict[str, DataFrame]:
-        judged.append(sessions.code_check(attempts, t["otp_codes"], as_of))
-        return {"otp_codes": sessions.codes_after_check(attempts, t["otp_codes"], as_of)}
+        judged.append(stored(sessions.code_check(attempts, t["otp_codes"], as_of), "judged"))
+        return {"otp_codes": sessions.mark_spent(t["otp_codes"], judged[0])}
 
     def users(t: State) -> dict[str, DataFrame]:
         good = judged[0].where("result = 'ok' AND purpose = 'verify_email'")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import CHANGE_EMAIL_PREFIX, KEEP_TOKENS
 from ..functions.filters import ts_lit
 from ..functions.keys import flag_first, latest_per_key, top_n_per_key
+from ..functions.stored import stored
 from ..functions.text import trimmed
 
 
@@ -76,6 +77,8 @@ def code_check(attempts: DataFrame, codes: DataFrame, as_of) -> DataFrame:
     ``change_email:<address>`` code, and reports the address.  The attempt's address is
     trimmed and lower-cased for the lookup.  A code works once: of a batch's good attempts
     on one code the first (by attempt_id) is ``ok``, the others are ``used``.
+
+    The attempts with their codes are stored once, as the search for the first reads them twice.
     """
     newest = latest_per_key(
         codes.withColumn("_kind", F.when(F.col("purpose").startswith(CHANGE_EMAIL_PREFIX),
@@ -84,13 +87,15 @@ def code_check(attempts: DataFrame, codes: DataFrame, as_of) -> DataFrame:
     n = newest.select(F.col("email").alias("_e"), F.col("_kind"), F.col("code").alias("_c"),
                       F.col("id").alias("code_id"), "used", "expires_at",
                       _target(F.col("purpose")).alias("new_email"))
-    j = attempts.join(n, (F.lower(trimmed(attempts["email"])) == n["_e"]) & (attempts["purpose"] == n["_kind"])
-                      & (attempts["code"] == n["_c"]), "left")
+    # The address is a column of its own: a sort by an expression evaluates it at every comparison.
+    a = attempts.select("attempt_id", "email", "purpose", "code", F.lower(trimmed(F.col("email"))).alias("_address"))
+    j = a.join(n, (a["_address"] == n["_e"]) & (a["purpose"] == n["_kind"]) & (a["code"] == n["_c"]), "left")
     result = (F.when(F.col("code_id").isNull(), F.lit("invalid"))
               .when(F.col("used"), F.lit("used"))
               .when(ts_lit(as_of) > F.col("expires_at"), F.lit("expired"))
               .otherwise(F.lit("ok")))
-    j = flag_first(j.withColumn("result", result), ["code_id"], ["attempt_id"], "_first", when=F.col("result") == "ok")
+    j = stored(j.select("attempt_id", "email", "purpose", "code", "code_id", result.alias("result"), "new_email"), "code-check")
+    j = flag_first(j, ["code_id"], ["attempt_id"], "_first", when=F.col("result") == "ok")
     spent = (F.col("result") == "ok") & ~F.col("_first")
     return j.select("attempt_id", "email", "purpose", "code", "code_id",
                     F.when(spent, "used").otherwise(F.col("result")).alias("result"), "new_email")
@@ -98,7 +103,12 @@ def code_check(attempts: DataFrame, codes: DataFrame, as_of) -> DataFrame:
 
 def codes_after_check(attempts: DataFrame, codes: DataFrame, as_of) -> DataFrame:
     """Item 38 (new state). The codes table with every code that an attempt used up marked."""
-    spent = code_check(attempts, codes, as_of).where(F.col("result") == "ok").select(F.col("code_id").alias("_cid"))
+    return mark_spent(codes, code_check(attempts, codes, as_of))
+
+
+def mark_spent(codes: DataFrame, checked: DataFrame) -> DataFrame:
+    """The codes table with every code marked as used that ``checked`` (of ``code_check``) used up."""
+    spent = checked.where(F.col("result") == "ok").select(F.col("code_id").alias("_cid"))
     marked = codes.join(spent, codes["id"] == spent["_cid"], "left")
     return marked.select(*[(F.col("used") | F.col("_cid").isNotNull()).alias("used") if c == "used" else F.col(c)
                            for c in codes.columns])
