@@ -138,11 +138,15 @@ def email_changes(attempts: DataFrame, codes: DataFrame, users: DataFrame, as_of
     The outcome is that of ``code_check`` (``invalid``, ``used``, ``expired``), else ``not_found`` (no such
     user), ``email_taken`` (by a user, or by an earlier good attempt), ``superseded`` (the user's
     address has changed by an earlier good attempt) or ``changed``.
+
+    The attempts and what is known of each are stored, as each search for a first one reads them twice.
     """
+    attempts = stored(attempts.select("attempt_id", "user_id", "email", "code"), "changes")
     checked = sessions.code_check(attempts.select("attempt_id", "email", F.lit(CHANGE_EMAIL_PREFIX).alias("purpose"), "code"), codes, as_of)
     r = checked.join(attempts.select(F.col("attempt_id").alias("_a"), "user_id"), F.col("attempt_id") == F.col("_a")).drop("_a")
     r = flag_exists(r, users, "user_id", "id", "_known")
     r = flag_exists(r, users, "new_email", "email", "_taken")
+    r = stored(r.select("attempt_id", "user_id", "code_id", "new_email", "result", "_known", "_taken"), "changes-known")
     good = (F.col("result") == "ok") & F.col("_known") & ~F.col("_taken")
     r = flag_first(r, ["user_id"], ["attempt_id"], "_first_user", when=good)
     r = flag_first(r, ["new_email"], ["attempt_id"], "_first_email", when=good & F.col("_first_user"))
@@ -153,11 +157,11 @@ def email_changes(attempts: DataFrame, codes: DataFrame, users: DataFrame, as_of
 
 def email_change_steps(attempts: DataFrame, as_of) -> list[Step]:
     """Items 38 + 42 + 46: good codes are used up, their users get the new address, and all their
-    sessions end."""
+    sessions end.  What changes is stored, so the three steps do not judge the attempts anew."""
     judged: list[DataFrame] = []
 
     def codes(t: State) -> dict[str, DataFrame]:
-        judged.append(email_changes(attempts, t["otp_codes"], t["users"], as_of).where("outcome = 'changed'"))
+        judged.append(stored(email_changes(attempts, t["otp_codes"], t["users"], as_of).where("outcome = 'changed'"), "judged"))
         done = judged[0].select(F.col("code_id").alias("_done"))
         marked = t["otp_codes"].join(done, F.col("id") == F.col("_done"), "left")
         return {"otp_codes": marked.select(*[(F.col("used") | F.col("_done").isNotNull()).alias("used") if c == "used" else F.col(c)
