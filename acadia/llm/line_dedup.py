@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +33,91 @@ from .jaccard_join import _overlaps
 SHINGLE = 12
 BANDS = 8
 ROWS = 3
+BAND_NAMES = [f"band_{b}" for b in range(BANDS)]
 BLOCK_LINES = 512
 BLOCK_CHARS = 1_000_000
 BATCH_BYTES = 1 << 20
+STEP = 1 << 15
 BROADCAST_KEYS = 2_000_000
 
 
+def _run_hashes(raw: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Hash of the ``SHINGLE`` characters from each character on, as ``W.word_hashes`` gives it;
+    ``chars`` is where each character starts, and the end."""
+    power, inverse = W._pow()
+    out = np.empty(max(len(chars) - SHINGLE, 0), dtype=np.uint64)
+    for lo in range(0, len(out), STEP):
+        at = chars[lo:lo + STEP + SHINGLE]
+        a, b = int(at[0]), int(at[-1])
+        total = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(W._BYTE[raw[a:b]] * power[:b - a], out=total[1:])
+        at = at - a
+        sums = total[at]
+        out[lo:lo + STEP] = W.mix((sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[at[:-SHINGLE]] + (at[SHINGLE:] - at[:-SHINGLE]).astype(np.uint64))
+    return out
+
+
 def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of each line (with repeats), and each line's offsets
     into them.  An empty line has one as well."""
     raw, offsets = W.text_buffer(lines)
     chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character starts
-    first, last = np.searchsorted(chars, offsets[:-1]), np.searchsorted(chars, offsets[1:])
-    counts = np.maximum(last - first - SHINGLE + 1, 1)
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    at = np.repeat(first - cuts[:-1], counts) + np.arange(cuts[-1])
-    return W.word_hashes(raw, chars[at], chars[np.minimum(at + SHINGLE, np.repeat(last, counts))]), cuts
+    at = np.searchsorted(chars, offsets)
+    first, last = at[:-1], at[1:]
+    cuts = np.concatenate([[0], np.cumsum(np.maximum(last - first - SHINGLE + 1, 1))])
+    short = last - first < SHINGLE
+    inside = np.zeros(len(chars) + 1, dtype=np.int8)
+    inside[first[~short]] = 1
+    inside[last[~short] - SHINGLE + 1] = -1
+    runs = _run_hashes(raw, chars)
+    runs = runs[np.cumsum(inside[:len(runs)], dtype=np.int8).view(bool)]
+    if not short.any():
+        return runs, cuts
+    out, long = np.empty(cuts[-1], dtype=np.uint64), np.ones(cuts[-1], dtype=bool)
+    long[cuts[:-1][short]] = False
+    out[long] = runs
+    out[~long] = W.word_hashes(raw, offsets[:-1][short], offsets[1:][short])
+    return out, cuts
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set of ``hashes``, in order."""
+    own = np.sort(hashes)
+    new = own[1:] != own[:-1]
+    return own if new.all() else own[np.append(True, new)]
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches the threshold."""
+    if threshold * max(len(a), len(b)) > min(len(a), len(b)) + 1e-9:
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= threshold * (len(both) - shared) - 1e-9
+
+
+def _minima(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """``BANDS * ROWS`` minima per row, each over the hashes' upper halves times an odd number
+    of its own (32 bits: half the bytes, and products that the processor makes eight at a time)."""
+    rng = np.random.default_rng(7)
+    odd = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    flip = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((BANDS * ROWS, len(cuts) - 1), dtype=np.uint32)
+    for lo in range(0, out.shape[1], 256):  # keeps a row group's hashes in the processor cache
+        hi = min(lo + 256, out.shape[1])
+        part, at = upper[cuts[lo]:cuts[hi]], cuts[lo:hi] - cuts[lo]
+        v = np.empty_like(part)
+        for k in range(BANDS * ROWS):
+            np.multiply(part, odd[k], out=v)
+            np.bitwise_xor(v, flip[k], out=v)
+            out[k, lo:hi] = np.minimum.reduceat(v, at)
+    return out.T
 
 
 def band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """One key per row and band, from the minima of the row's hashes."""
-    minima = W.minhash(hashes, cuts, BANDS * ROWS).astype(np.uint64)
+    minima = _minima(hashes, cuts).astype(np.uint64)
     keys = np.empty((len(cuts) - 1, BANDS), dtype=np.uint64)
     for b in range(BANDS):
         keys[:, b] = b + 1
@@ -66,23 +131,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch, "line", BATCH_BYTES):
             keys = band_keys(*shingle_hashes(part.column("line")))
-            ends = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
-            bands = pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*part.columns, bands], names=[*part.schema.names, "bands"])
+            bands = [pa.array(k) for k in np.ascontiguousarray(keys.T).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *bands], names=[*part.schema.names, *BAND_NAMES])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, line_no, line, c1, c2, bands``, one row per line that has a word."""
+    """``doc_id, row_key, line_no, line, c1, c2`` and one key per band, one row per line that has a word."""
     lines = docs.select(F.col("doc_id"), "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.regexp_like("line", F.lit(r"\S")))
     lines = lines.select("doc_id", "row_key", "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(_signed, f"{kinds}, bands array<bigint>")
+    return lines.mapInArrow(_signed, ", ".join([kinds, *[f"{b} bigint" for b in BAND_NAMES]]))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """Per class: its number of lines and one key per band."""
-    return lines.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
+    return lines.groupBy("c1", "c2").agg(F.count("*").alias("n"), *[F.first(b).alias(b) for b in BAND_NAMES])
 
 
 def _near(threshold: float):
@@ -93,31 +157,18 @@ def _near(threshold: float):
                 (own, at), (other, to) = (shingle_hashes(part.column(c)) for c in ("line", "head_line"))
                 near = np.zeros(part.num_rows, dtype=bool)
                 for i in range(part.num_rows):
-                    a, b = np.unique(own[at[i]:at[i + 1]]), np.unique(other[to[i]:to[i + 1]])
-                    if threshold * max(len(a), len(b)) <= min(len(a), len(b)) + 1e-9:
-                        both = np.sort(np.concatenate([a, b]))
-                        shared = int((both[1:] == both[:-1]).sum())
-                        near[i] = shared >= threshold * (len(both) - shared) - 1e-9
+                    near[i] = _alike(_distinct(own[at[i]:at[i + 1]]), _distinct(other[to[i]:to[i + 1]]), threshold)
                 near = pa.array(near)
                 yield pa.RecordBatch.from_arrays([part.column("cls").filter(near), part.column("head").filter(near)], names=["a", "b"])
     return run
 
 
-def _verify_unit(rows: list[dict], threshold: float) -> tuple[list[dict], list[dict]]:
-    """Both ends of the links that connect the components of one unit: a spanning forest."""
-    hashes, cuts = shingle_hashes(pa.array([r["line"] for r in rows], pa.string()))
-    sets = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    lens = np.array([len(s) for s in sets])
+def _verify_unit(sets: list[np.ndarray], components: list[tuple], minor: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The links (two places) that connect the components of one unit: a spanning forest."""
     names = {}
-    component = np.array([names.setdefault((r["component"]["c1"], r["component"]["c2"]), len(names)) for r in rows])
-    minor = np.array([r["minor"] for r in rows])
+    component = np.array([names.setdefault(c, len(names)) for c in components])
     left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
-    inter = _overlaps(sets, left, right)
-    close = inter >= threshold * (lens[left][:, None] + lens[right][None, :] - inter) - 1e-9
-    a, b = np.nonzero(close & (component[left][:, None] != component[right][None, :]))
-    a, b = left[a], right[b]
-    at = np.unique(component[a] * len(names) + component[b], return_index=True)[1]
-    parent, links = list(range(len(names))), ([], [])
+    parent, links = list(range(len(names))), []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -125,32 +176,55 @@ def _verify_unit(rows: list[dict], threshold: float) -> tuple[list[dict], list[d
             x = parent[x]
         return x
 
-    for i, j in zip(a[at].tolist(), b[at].tolist()):
+    if len(left) * len(right) <= 16:
+        known, near = False, ((i, j) for i in left.tolist() for j in right.tolist())
+    else:
+        lens = np.array([len(s) for s in sets])
+        inter = _overlaps(sets, left, right)
+        close = inter >= threshold * (lens[left][:, None] + lens[right][None, :] - inter) - 1e-9
+        a, b = np.nonzero(close & (component[left][:, None] != component[right][None, :]))
+        a, b = left[a], right[b]
+        at = np.unique(component[a] * len(names) + component[b], return_index=True)[1]
+        known, near = True, zip(a[at].tolist(), b[at].tolist())
+    for i, j in near:
         x, y = root(component[i]), root(component[j])
-        if x != y:
+        if x != y and (known or _alike(sets[i], sets[j], threshold)):
             parent[x] = y
-            links[0].append(rows[i]["cls"])
-            links[1].append(rows[j]["cls"])
+            links.append((i, j))
     return links
 
 
 def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
+    def unit_links(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        """Links of the units that start at ``cuts`` (the last one is the end)."""
+        component = list(zip(*(batch.column("component").field(c).to_pylist() for c in ("c1", "c2"))))
+        minor = batch.column("minor").to_numpy(zero_copy_only=False)
+        sizes = np.append(0, np.cumsum(pc.binary_length(batch.column("line")).to_numpy()))
+        links, lo = [], 0
+        while lo < len(cuts) - 1:  # some units at a time, as their shingles are held at once
+            hi = max(int(np.searchsorted(sizes[cuts], sizes[cuts[lo]] + BATCH_BYTES, side="right")) - 1, lo + 1)
+            start, end = int(cuts[lo]), int(cuts[hi])
+            hashes, at = shingle_hashes(batch.column("line").slice(start, end - start))
+            for a, b in zip(cuts[lo:hi].tolist(), cuts[lo + 1:hi + 1].tolist()):
+                sets = [_distinct(hashes[at[k]:at[k + 1]]) for k in range(a - start, b - start)]
+                links += [(a + i, a + j) for i, j in _verify_unit(sets, component[a:b], minor[a:b], threshold)]
+            lo = hi
+        cls = batch.column("cls")
+        return pa.RecordBatch.from_arrays([cls.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-        def done():
-            a, b = _verify_unit(rows, threshold) if rows else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
-
-        unit, rows = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            for r in batch.to_pylist():
-                key = (r["band"], r["i"], r["j"])
-                if key != unit:
-                    yield done()
-                    unit, rows = key, []
-                rows.append(r)
-        yield done()
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            keys = [held[0].column(c).to_numpy() for c in ("band", "i", "j")]
+            cuts = np.append(0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1)
+            if len(cuts) > 1:
+                yield unit_links(held[0], cuts)
+                held = [held[0].slice(int(cuts[-1]))]
+        for batch in held:
+            yield unit_links(batch, np.array([0, batch.num_rows]))
     return run
 
 
@@ -162,7 +236,7 @@ def _small(keys: DataFrame) -> DataFrame:
 def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` between classes (structs of c1, c2) whose lines are alike."""
     cls = F.struct("c1", "c2")
-    band = classes.select("c1", "c2", "n", F.explode("bands").alias("band"))
+    band = classes.select("c1", "c2", "n", F.explode(F.array(*BAND_NAMES)).alias("band"))
     met = band.groupBy("band").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo != hi")
     met = staged(met.select("band"), "line-met")
     shared = band.join(_small(met), "band", "left_semi").select("band", "n", cls.alias("cls"))
@@ -204,10 +278,12 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 
 def line_groups(lines: DataFrame, threshold: float) -> DataFrame:
-    """``c1, c2, g1, g2``: the component of each class that is linked to another."""
+    """``c1, c2, g1, g2``: the component of each class that is linked to another or has several lines."""
     classes = staged(_signatures(lines), "line-classes")
     group = components(_links(classes, lines, threshold))
-    return group.select("node.c1", "node.c2", F.col("component.c1").alias("g1"), F.col("component.c2").alias("g2"))
+    group = group.select("node.c1", "node.c2", F.col("component.c1").alias("g1"), F.col("component.c2").alias("g2"))
+    own = classes.where("n > 1").select("c1", "c2", F.col("c1").alias("g1"), F.col("c2").alias("g2"))
+    return group.union(own.join(group, ["c1", "c2"], "left_anti"))
 
 
 def judge_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -220,15 +296,16 @@ def judge_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     docs = keyed(docs)
     lines = staged(lines_of(docs), "lines")
     groups = line_groups(lines, threshold)
-    named = lines.select("doc_id", "row_key", "line_no", "c1", "c2").join(groups, ["c1", "c2"], "left").select(
-        "doc_id", "row_key", "line_no", F.coalesce("g1", "c1").alias("g1"), F.coalesce("g2", "c2").alias("g2"))
+    named = lines.select("doc_id", "row_key", "line_no", "c1", "c2").join(groups, ["c1", "c2"], "left")
     named = staged(named, "line-groups")
+    alone = named.where("g1 is null").select("doc_id", "row_key", "line_no", F.col("c1").alias("g1"), F.col("c2").alias("g2"), F.lit(True).alias("kept"))
+    named = named.where("g1 is not null").drop("c1", "c2")
     first = named.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "row_key", "line_no")).alias("f"))
     first = first.select("f.doc_id", "f.row_key", "f.line_no", F.lit(True).alias("first"))
     # Joined by line, not by group: a group may hold a third of all lines.
     same = named.alias("n").join(first.alias("f"), F.col("n.doc_id").eqNullSafe(F.col("f.doc_id"))
                                  & (F.col("n.row_key") == F.col("f.row_key")) & (F.col("n.line_no") == F.col("f.line_no")), "left")
-    return same.select("n.doc_id", "n.row_key", "n.line_no", "n.g1", "n.g2", F.coalesce("f.first", F.lit(False)).alias("kept"))
+    return alone.union(same.select("n.doc_id", "n.row_key", "n.line_no", "n.g1", "n.g2", F.coalesce("f.first", F.lit(False)).alias("kept")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from acadia.llm import line_dedup
@@ -39,3 +40,28 @@ def test_bands_find_short_lines_as_often_as_long_ones(shared, total):
     a, b = (line_dedup.band_keys(np.ascontiguousarray(x).ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in sides)
     found = (a == b).any(axis=1).mean()
     assert found >= 0.99 and found == pytest.approx(1 - (1 - (shared / total) ** line_dedup.ROWS) ** line_dedup.BANDS, abs=0.003)
+
+
+def test_minima_are_over_the_upper_halves():
+    rng = np.random.default_rng(5)
+    cuts = np.append(0, np.cumsum(rng.integers(1, 40, 700)))
+    hashes = rng.integers(0, 2**64, cuts[-1], dtype=np.uint64)
+    got = line_dedup.band_keys(hashes, cuts)
+    assert got.dtype == np.uint64 and got.shape == (700, line_dedup.BANDS)
+    assert (line_dedup.band_keys(hashes | np.uint64(0xFFFFFFFF), cuts) == got).all()
+    alone = [line_dedup.band_keys(hashes[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:])]
+    assert (np.stack(alone) == got).all()
+
+
+def test_a_unit_cut_by_batches_is_verified_whole():
+    rng = random.Random(8)
+    text = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(12)]
+    name = lambda k: {"c1": k, "c2": -k}
+    rows = [{"band": u, "i": 0, "j": 0, "cls": name(10 * u + k), "component": name(10 * u + k), "minor": k == 0, "line": text[u] + "xy"[:k] if k < 2 else text[u - 1]}
+            for u in range(3) for k in range(3)]
+    kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64())])
+    schema = pa.schema([("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cls", kind), ("component", kind), ("minor", pa.bool_()), ("line", pa.string())])
+    for size in (1, 2, 4, 9):
+        batches = [pa.RecordBatch.from_pylist(rows[k:k + size], schema=schema) for k in range(0, 9, size)]
+        got = [r for b in line_dedup._verify(0.8)(iter(batches)) for r in b.to_pylist()]
+        assert got == [{"a": name(10 * u), "b": name(10 * u + 1)} for u in range(3)]
