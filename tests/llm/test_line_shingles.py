@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from acadia.llm import line_dedup
+from acadia.llm._store import staged
 
 
 def _jaccard(a, b, k=12):
@@ -42,15 +43,13 @@ def test_bands_find_short_lines_as_often_as_long_ones(shared, total):
     assert found >= 0.99 and found == pytest.approx(1 - (1 - (shared / total) ** line_dedup.ROWS) ** line_dedup.BANDS, abs=0.003)
 
 
-def test_minima_are_over_the_upper_halves():
-    rng = np.random.default_rng(5)
-    cuts = np.append(0, np.cumsum(rng.integers(1, 40, 700)))
-    hashes = rng.integers(0, 2**64, cuts[-1], dtype=np.uint64)
-    got = line_dedup.band_keys(hashes, cuts)
-    assert got.dtype == np.uint64 and got.shape == (700, line_dedup.BANDS)
-    assert (line_dedup.band_keys(hashes | np.uint64(0xFFFFFFFF), cuts) == got).all()
-    alone = [line_dedup.band_keys(hashes[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:])]
-    assert (np.stack(alone) == got).all()
+def test_a_single_unlinked_line_is_in_no_group(spark):
+    docs = spark.createDataFrame([(1, "alone\nsame"), (2, "same\nother")], "doc_id long, text string")
+    lines = staged(line_dedup.lines_of(line_dedup.keyed(docs)), "lines")
+    same = lines.where("line = 'same'").select("c1", "c2", "c1", "c2").distinct()
+    assert line_dedup.line_groups(lines, 0.8).collect() == same.collect()
+    rows = line_dedup.judge_lines(docs).collect()
+    assert {(r.doc_id, r.line_no, r.kept) for r in rows} == {(1, 0, True), (1, 1, True), (2, 0, False), (2, 1, True)}
 
 
 def test_a_unit_cut_by_batches_is_verified_whole():
