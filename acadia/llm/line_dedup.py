@@ -1,4 +1,4 @@
-"""Fuzzy line dedup.
+"""Fuzzy line dedup, in DataFrame operations.
 
 Every line of every text becomes its set of character shingles: all runs of ``SHINGLE``
 characters, one from each character on, overlapping; a shorter line is one shingle.  Lines
@@ -6,207 +6,106 @@ with equal texts form one class.  A class is signed with ``BANDS * ROWS`` MinHas
 classes that agree on a band are candidates, the Jaccard similarity of the whole sets
 decides, and connected classes form a component, of which the first line is kept.
 
-Shingles are hashed in numpy, on Arrow batches, and held for one batch only: what is stored
-and shuffled are texts of lines and band keys, a sixth of what the sets would take.
+Lines are cut in UTF-32, where a shingle is found without counting characters.  ``STEP``
+shingles make one row for the minima's aggregate, which folds them before anything is
+shuffled; the sets of two lines are built where the lines meet.  What is stored and shuffled
+are texts of lines, minima and band keys, never shingles.
 
 Within a band the members are held against the band's most frequent class first.  Members
 outside of the band's main component then meet all members of other components, in blocks
-of bounded size, one task unit per pair of blocks, so a large group of near copies neither
-makes a row for each of its pairs nor meets in one task.
+of bounded size, one join key per pair of blocks, so a large group of near copies neither
+stores a row for each of its pairs nor meets in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._components import components
+from ._line_reference import _verify  # noqa: F401
 from ._store import staged
-from .jaccard_join import _overlaps
 
 SHINGLE = 12
+STEP = 8
 BANDS = 8
 ROWS = 3
 BAND_NAMES = [f"band_{b}" for b in range(BANDS)]
+MASKS = np.random.default_rng(7).integers(1, 2**63, BANDS).tolist()
+SHIFTS = [0, 21, 42]  # a hash is ordered by its upper, middle and lower bits: three functions
 BLOCK_LINES = 512
 BLOCK_CHARS = 1_000_000
-BATCH_BYTES = 1 << 20
-STEP = 1 << 15
 BROADCAST_KEYS = 2_000_000
 
 
-def _run_hashes(raw: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Hash of the ``SHINGLE`` characters from each character on, as ``W.word_hashes`` gives it;
-    ``chars`` is where each character starts, and the end."""
-    power, inverse = W._pow()
-    out = np.empty(max(len(chars) - SHINGLE, 0), dtype=np.uint64)
-    for lo in range(0, len(out), STEP):
-        at = chars[lo:lo + STEP + SHINGLE]
-        a, b = int(at[0]), int(at[-1])
-        total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(W._BYTE[raw[a:b]] * power[:b - a], out=total[1:])
-        at = at - a
-        sums = total[at]
-        out[lo:lo + STEP] = W.mix((sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[at[:-SHINGLE]] + (at[SHINGLE:] - at[:-SHINGLE]).astype(np.uint64))
-    return out
-
-
-def shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of each line (with repeats), and each line's offsets
-    into them.  An empty line has one as well."""
-    raw, offsets = W.text_buffer(lines)
-    chars = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where each character starts
-    at = np.searchsorted(chars, offsets)
-    first, last = at[:-1], at[1:]
-    cuts = np.concatenate([[0], np.cumsum(np.maximum(last - first - SHINGLE + 1, 1))])
-    short = last - first < SHINGLE
-    inside = np.zeros(len(chars) + 1, dtype=np.int8)
-    inside[first[~short]] = 1
-    inside[last[~short] - SHINGLE + 1] = -1
-    runs = _run_hashes(raw, chars)
-    runs = runs[np.cumsum(inside[:len(runs)], dtype=np.int8).view(bool)]
-    if not short.any():
-        return runs, cuts
-    out, long = np.empty(cuts[-1], dtype=np.uint64), np.ones(cuts[-1], dtype=bool)
-    long[cuts[:-1][short]] = False
-    out[long] = runs
-    out[~long] = W.word_hashes(raw, offsets[:-1][short], offsets[1:][short])
-    return out, cuts
-
-
-def _distinct(hashes: np.ndarray) -> np.ndarray:
-    """The set of ``hashes``, in order."""
-    own = np.sort(hashes)
-    new = own[1:] != own[:-1]
-    return own if new.all() else own[np.append(True, new)]
-
-
-def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+def _shingle(code: Column, at: Column) -> Column:
+    """Hash of the shingle from character ``at`` on; ``code`` is the line in UTF-32."""
+    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def _last(code: Column) -> Column:
+    """Where the last shingle starts."""
+    return F.greatest(F.shiftright(F.length(code), 2) - SHINGLE, F.lit(0))
+
+
+def shingle_set(line: Column) -> Column:
+    """Hashes of the different shingles of a line.  An empty line has one as well."""
+    own = lambda code: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(code)), lambda at: _shingle(code, at)))
+    return F.transform(F.array(F.encode(line, "UTF-32")), own)[0]
+
+
+def _alike(a: Column, b: Column, threshold: float) -> Column:
     """Whether the Jaccard similarity of two sets reaches the threshold."""
-    if threshold * max(len(a), len(b)) > min(len(a), len(b)) + 1e-9:
-        return False
-    both = np.sort(np.concatenate([a, b]))
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared >= threshold * (len(both) - shared) - 1e-9
+    sizes = F.size(a) + F.size(b)
+    possible = threshold * F.greatest(F.size(a), F.size(b)) <= F.least(F.size(a), F.size(b)) + 1e-9
+    return possible & ((1 + threshold) * F.size(F.array_intersect(a, b)) >= threshold * sizes - 1e-9)
+
+
+def _rehashed(h: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of bigints."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    x = turn((turn(h * p2, 31) * p1) ^ (np.uint64(42 + 8) + p5), 27) * p1 + p4
+    x = (x ^ x >> np.uint64(33)) * p2
+    x = (x ^ x >> np.uint64(29)) * p3
+    return x ^ x >> np.uint64(32)
 
 
 def band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """One key per row and band, from the minima of the row's hashes."""
-    minima = W.minhash(hashes, cuts, BANDS * ROWS).astype(np.uint64)
+    """One key per row and band, from the minima that ``_signatures`` takes of the row's hashes
+    (in numpy, to measure what the bands find)."""
     keys = np.empty((len(cuts) - 1, BANDS), dtype=np.uint64)
     for b in range(BANDS):
         keys[:, b] = b + 1
-        for r in range(ROWS):
-            keys[:, b] = W.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * ROWS + r])
+        own = _rehashed(hashes ^ np.uint64(MASKS[b]))
+        for shift in SHIFTS:
+            least = (np.minimum.reduceat((own << np.uint64(shift)).view(np.int64), cuts[:-1]) >> 32).view(np.uint64)
+            keys[:, b] = W.mix(keys[:, b] * np.uint64(0x9E3779B97F4A7C15) + least)
     return keys
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches with one key per band."""
-    for batch in batches:
-        for part in W.slices(batch, "line", BATCH_BYTES):
-            keys = band_keys(*shingle_hashes(part.column("line")))
-            bands = [pa.array(k) for k in np.ascontiguousarray(keys.T).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *bands], names=[*part.schema.names, *BAND_NAMES])
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, line_no, line, c1, c2`` and one key per band, one row per line that has a word."""
+    """``doc_id, row_key, line_no, line, c1, c2``, one row per line that has a word."""
     lines = docs.select(F.col("doc_id"), "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.regexp_like("line", F.lit(r"\S")))
-    lines = lines.select("doc_id", "row_key", "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(_signed, ", ".join([kinds, *[f"{b} bigint" for b in BAND_NAMES]]))
+    return lines.select("doc_id", "row_key", "line_no", "line", F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """Per class: its number of lines and one key per band."""
-    return lines.groupBy("c1", "c2").agg(F.count("*").alias("n"), *[F.first(b).alias(b) for b in BAND_NAMES])
-
-
-def _near(threshold: float):
-    """Pairs ``(a, b)`` of the rows whose lines ``line`` and ``head_line`` are alike."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "line", BATCH_BYTES):
-                (own, at), (other, to) = (shingle_hashes(part.column(c)) for c in ("line", "head_line"))
-                near = np.zeros(part.num_rows, dtype=bool)
-                for i in range(part.num_rows):
-                    near[i] = _alike(_distinct(own[at[i]:at[i + 1]]), _distinct(other[to[i]:to[i + 1]]), threshold)
-                near = pa.array(near)
-                yield pa.RecordBatch.from_arrays([part.column("cls").filter(near), part.column("head").filter(near)], names=["a", "b"])
-    return run
-
-
-def _verify_unit(sets: list[np.ndarray], components: list[tuple], minor: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """The links (two places) that connect the components of one unit: a spanning forest."""
-    names = {}
-    component = np.array([names.setdefault(c, len(names)) for c in components])
-    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
-    parent, links = list(range(len(names))), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    if len(left) * len(right) <= 16:
-        known, near = False, ((i, j) for i in left.tolist() for j in right.tolist())
-    else:
-        lens = np.array([len(s) for s in sets])
-        inter = _overlaps(sets, left, right)
-        close = inter >= threshold * (lens[left][:, None] + lens[right][None, :] - inter) - 1e-9
-        a, b = np.nonzero(close & (component[left][:, None] != component[right][None, :]))
-        a, b = left[a], right[b]
-        at = np.unique(component[a] * len(names) + component[b], return_index=True)[1]
-        known, near = True, zip(a[at].tolist(), b[at].tolist())
-    for i, j in near:
-        x, y = root(component[i]), root(component[j])
-        if x != y and (known or _alike(sets[i], sets[j], threshold)):
-            parent[x] = y
-            links.append((i, j))
-    return links
-
-
-def _verify(threshold: float):
-    def unit_links(batch: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
-        """Links of the units that start at ``cuts`` (the last one is the end)."""
-        component = list(zip(*(batch.column("component").field(c).to_pylist() for c in ("c1", "c2"))))
-        minor = batch.column("minor").to_numpy(zero_copy_only=False)
-        sizes = np.append(0, np.cumsum(pc.binary_length(batch.column("line")).to_numpy()))
-        links, lo = [], 0
-        while lo < len(cuts) - 1:  # some units at a time, as their shingles are held at once
-            hi = max(int(np.searchsorted(sizes[cuts], sizes[cuts[lo]] + BATCH_BYTES, side="right")) - 1, lo + 1)
-            start, end = int(cuts[lo]), int(cuts[hi])
-            hashes, at = shingle_hashes(batch.column("line").slice(start, end - start))
-            for a, b in zip(cuts[lo:hi].tolist(), cuts[lo + 1:hi + 1].tolist()):
-                sets = [_distinct(hashes[at[k]:at[k + 1]]) for k in range(a - start, b - start)]
-                links += [(a + i, a + j) for i, j in _verify_unit(sets, component[a:b], minor[a:b], threshold)]
-            lo = hi
-        cls = batch.column("cls")
-        return pa.RecordBatch.from_arrays([cls.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
-            keys = [held[0].column(c).to_numpy() for c in ("band", "i", "j")]
-            cuts = np.append(0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1)
-            if len(cuts) > 1:
-                yield unit_links(held[0], cuts)
-                held = [held[0].slice(int(cuts[-1]))]
-        for batch in held:
-            yield unit_links(batch, np.array([0, batch.num_rows]))
-    return run
+    code = lines.select("c1", "c2", F.encode("line", "UTF-32").alias("code"))
+    code = code.select("c1", "c2", "code", _last(F.col("code")).alias("last"))
+    rows = code.select("c1", "c2", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
+    # Minima of 32 bits are shuffled.  Beyond the last shingle it is taken again, which changes no minimum.
+    rows = rows.select("c1", "c2", "at", *[_shingle(F.col("code"), F.least(F.col("at") + j, F.col("last"))).alias(f"h_{j}") for j in range(STEP)])
+    hashed = lambda b, j: F.xxhash64(F.col(f"h_{j}").bitwiseXOR(F.lit(MASKS[b])))
+    least = {f"m{b}_{shift}": F.least(*[F.shiftleft(hashed(b, j), shift) if shift else hashed(b, j) for j in range(STEP)])
+             for b in range(BANDS) for shift in SHIFTS}
+    minima = rows.groupBy("c1", "c2").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("n"), *[F.min(F.shiftright(x, 32)).alias(m) for m, x in least.items()])
+    keys = [F.xxhash64(F.lit(b), *[f"m{b}_{shift}" for shift in SHIFTS]).alias(name) for b, name in enumerate(BAND_NAMES)]
+    return minima.select("c1", "c2", "n", *keys)
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -218,8 +117,7 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` between classes (structs of c1, c2) whose lines are alike."""
     cls = F.struct("c1", "c2")
     band = classes.select("c1", "c2", "n", F.explode(F.array(*BAND_NAMES)).alias("band"))
-    met = band.groupBy("band").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo != hi")
-    met = staged(met.select("band"), "line-met")
+    met = staged(band.groupBy("band").agg(F.count("*").alias("met")).where("met > 1").select("band"), "line-met")
     shared = band.join(_small(met), "band", "left_semi").select("band", "n", cls.alias("cls"))
     head = shared.groupBy("band").agg(F.max(F.struct("n", "cls")).alias("head")).select("band", F.col("head.cls").alias("head"))
     shared = staged(shared.join(head, "band").select("band", "cls", "head"), "line-bands")
@@ -231,8 +129,9 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
     heads = texts.select(F.col("cls").alias("head"), F.col("line").alias("head_line"))
     pairs = shared.where("cls != head").select("cls", "head").distinct()
-    name = "struct<c1: bigint, c2: bigint>"
-    star = staged(pairs.join(texts, "cls").join(heads, "head").mapInArrow(_near(threshold), f"a {name}, b {name}"), "line-star")
+    near = _alike(F.col("set"), F.col("head_set"), threshold)
+    star = pairs.join(texts, "cls").join(heads, "head").select("cls", "head", shingle_set(F.col("line")).alias("set"), shingle_set(F.col("head_line")).alias("head_set"))
+    star = staged(star.where(near).select(F.col("cls").alias("a"), F.col("head").alias("b")), "line-star")
 
     group = components(star)
     member = (shared.join(group.withColumnRenamed("node", "cls"), "cls", "left")
@@ -246,16 +145,23 @@ def _links(classes: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     minor = F.col("component") != F.col("main")
     many = lambda own: F.greatest(F.ceil(F.sum(F.when(own, 1)) / BLOCK_LINES), F.ceil(F.sum(F.when(own, F.col("chars"))) / BLOCK_CHARS)).cast("int")
     blocks = rest.groupBy("band").agg(many(minor).alias("minors"), many(F.lit(True)).alias("all"))
-    dealt = rest.join(blocks, "band").select("band", "cls", "component", "minors", "all", F.explode(
+    dealt = rest.join(blocks, "band").select("band", "cls", "component", "minors", "all", minor.alias("own_minor"), F.explode(
         F.when(minor, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("minor"))
     own = F.pmod(F.xxhash64("cls"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("all"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("all")).otherwise(F.col("minors")) - 1))
-    units = dealt.select("band", "cls", "component", "minor", own.alias("own"), other.alias("other")).select(
-        "band", "cls", "component", "minor", F.when(F.col("minor"), F.col("own")).otherwise(F.col("other")).alias("i"),
+    units = dealt.select("band", "cls", "component", "own_minor", "minor", own.alias("own"), other.alias("other")).select(
+        "band", "cls", "component", "own_minor", "minor", F.when(F.col("minor"), F.col("own")).otherwise(F.col("other")).alias("i"),
         F.when(F.col("minor"), F.col("other")).otherwise(F.col("own")).alias("j"))
-    more = (units.join(texts, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-            .mapInArrow(_verify(threshold), f"a {name}, b {name}"))
-    return star.union(more)
+    known = texts.join(rest.groupBy("cls").agg(F.collect_set("band").alias("bands")), "cls")
+    units = units.join(known, "cls").repartition("band", "i", "j").select(
+        "band", "i", "j", "component", "own_minor", "minor", "bands", shingle_set(F.col("line")).alias("set"))
+    one, two = units.where("minor").alias("x"), units.where("not minor").alias("y")
+    # Two members of several bands are compared in one of them, and once where both are minor.
+    met = one.join(two, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "i", "j")]
+                   + [F.col("x.component") != F.col("y.component"), ~F.col("y.own_minor") | (F.col("x.component") < F.col("y.component")),
+                      F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band"), _alike(F.col("x.set"), F.col("y.set"), threshold)])
+    # A component's name is one of its classes, so linking the names links the components.
+    return star.union(met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct())
 
 
 def line_groups(lines: DataFrame, threshold: float) -> DataFrame:
